@@ -5,20 +5,58 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_text
+from . import bpe, host_reputation, mixing, near_text, quality_rules, substring
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring.remove_repeats(_read(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = _read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels")
+    good = labels.where("quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.min(F.expr("quality = 1 AND toxic = 0")).alias("good"))
+    numbered = pages.select(F.col("page_id").alias("id"), host_reputation.page_number(F.col("url")).alias("doc_id"))
+    outcomes = numbered.join(good, "doc_id").select("id", "good")
+    return host_reputation.judge_urls(pages, outcomes, host_reputation.RULES)
+
+
+def op9_bpe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counted = bpe.token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text.link_documents(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pareto_mixing": op1_pareto_mixing,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_super_kmers": op5_super_kmers,
+    "op6_host_reputation": op6_host_reputation,
+    "op9_bpe_counts": op9_bpe_counts,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_quality_rules": quality_rules.SQL,
+    "op6_host_reputation": host_reputation.SQL,
+}
