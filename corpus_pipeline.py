@@ -1,8 +1,68 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: rules, near duplicates, repeated passages, mixing, packing.
 
-STAGES = []
+Each stage takes the documents that the stage before has kept, as a Parquet table,
+and all but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tideline.llm import mixing, near_text, packing, quality_rules, substring
+from tideline.llm.storage import written
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the certified cutoffs."""
+    judged = quality_rules.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.join(judged.where("kept").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group of near duplicates."""
+    linked = near_text.link_documents(docs)
+    firsts = linked.where("n_shingles = 0 OR component_id = doc_id").select("doc_id")
+    return docs.join(firsts, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that occur earlier; a document left without words goes."""
+    kept = substring.remove_repeats(docs).where("n_words > n_removed").select("doc_id", F.col("text").alias("kept"))
+    texts = docs.drop("text", "n_chars").join(kept, "doc_id")
+    return texts.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it."""
+    taken = mixing.mix(docs).where("copies > 0").select("doc_id", "copies")
+    return docs.join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+
+
+def bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The bin and the place in it of every piece of every copy."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality),
+    ("ngram_jaccard", near_duplicates),
+    ("super_kmers", passages),
+    ("pareto_mixing", mixture),
+    ("best_fit_packing", bins),
+]
+
+#: SQL cannot express the mixing and the packing.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, host_reputation, mixing, near_text, quality_rules, substring
+from . import bpe, host_reputation, mixing, near_text, near_vectors, packing, quality_model, quality_rules, shards, storage, substring
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +18,19 @@ def op1_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.link_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op3_size_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    batch = F.pmod(F.xxhash64("doc_id"), F.lit(8))
+    table = shards.arrive(spark, docs, storage.new_path(spark, "shards"), batch, 8)
+    listed = table.shards()
+    sizes = spark.createDataFrame([(s.name, s.bytes, table.tier(s)) for s in listed], "_shard string, shard_bytes long, tier int")
+    return table.read().select("doc_id", "_shard").join(sizes, "_shard").select("doc_id", F.col("_shard").alias("shard"), "shard_bytes", "tier", F.lit(table.version()).alias("version"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -36,6 +49,14 @@ def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_reputation.judge_urls(pages, outcomes, host_reputation.RULES)
 
 
+def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
 def op9_bpe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,9 +70,13 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mixing": op1_pareto_mixing,
+    "op2_pivot_index": op2_pivot_index,
+    "op3_size_tiers": op3_size_tiers,
     "op4_quality_rules": op4_quality_rules,
     "op5_super_kmers": op5_super_kmers,
     "op6_host_reputation": op6_host_reputation,
+    "op7_pu_quality": op7_pu_quality,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_bpe_counts": op9_bpe_counts,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
