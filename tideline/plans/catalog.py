@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import bars, evaluation, features, joins, levels, recursion, streams, texts, windows  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-
-FLAGSHIP = ""
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+FLAGSHIP = "gold_features_daily"
