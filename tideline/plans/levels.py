@@ -1 +1,176 @@
-"""Queries."""
+"""Queries over price levels."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import bars as bar_ops
+from ..operators import levels as ops
+from ..operators import windows as win
+from ..sources.tables import BARS, bars_daily, table
+from .bars import rounded
+from .registry import query
+from .windows import all_rounded, frame, swing_sql
+
+TODAY = "1998-06-18"
+_LAST = "last_ AS (SELECT symbol, arg_max(close, day) AS close FROM bars GROUP BY symbol)"
+_PERIOD = f"""per AS (SELECT symbol, CAST(date_trunc('month', day) AS DATE) AS bucket, max(high) AS high, min(low) AS low, arg_max(close, day) AS close FROM bars GROUP BY 1, 2),
+pm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bucket DESC) AS r FROM per WHERE CAST(bucket + INTERVAL 1 MONTH AS DATE) <= DATE '{TODAY}') WHERE r = 1)"""
+_PIVOTS = "piv AS (SELECT symbol, unnest(['p', 'r1', 's1', 'r2', 's2', 'r3', 's3', 'fr1', 'fr2', 'fr3', 'fs1', 'fs2', 'fs3']) AS name, unnest([p, 2 * p - low, 2 * p - high, p + s, p - s, high + 2 * (p - low), low - 2 * (high - p), p + 0.382::DOUBLE * s, p + 0.618::DOUBLE * s, p + s, p - 0.382::DOUBLE * s, p - 0.618::DOUBLE * s, p - s]) AS price FROM (SELECT *, (high + low + close) / 3 AS p, high - low AS s FROM pm))"
+
+
+def _pivots(bars: DataFrame) -> DataFrame:
+    return ops.pivots(bar_ops.last_complete(bars, "month", F.lit(TODAY).cast("date")))
+
+
+def _last(bars: DataFrame) -> DataFrame:
+    return bars.groupBy("symbol").agg(F.max_by("close", "day").alias("close"))
+
+
+@query(f"WITH {BARS}, {_PERIOD}, {_PIVOTS} SELECT symbol, name, round(price, 6) AS price FROM piv")
+def pivots_classic_fib(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_rounded(_pivots(bars_daily(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {BARS}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY day DESC) AS r FROM bars) WHERE r <= 250),
+e AS (SELECT symbol, arg_min(day, (-high, day)) AS td, max(high) AS top, arg_min(day, (low, day)) AS bd, min(low) AS bottom FROM b GROUP BY symbol)
+SELECT symbol, bd < td AS upward, round(top, 8) AS top, round(bottom, 8) AS bottom, ratio, round(CASE WHEN bd < td THEN top - ratio * (top - bottom) ELSE bottom + ratio * (top - bottom) END, 6) AS price
+FROM e, (SELECT unnest([0.236::DOUBLE, 0.382::DOUBLE, 0.5::DOUBLE, 0.618::DOUBLE, 0.786::DOUBLE]) AS ratio)"""
+)
+def fib_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rounded(ops.fibonacci(bars_daily(spark, sf_dir)), "price", digits=6), "top", "bottom")
+
+
+@query(
+    f"""WITH {BARS}, {_PERIOD}, {_PIVOTS}, {_LAST}, l AS (SELECT piv.*, close, CASE WHEN price > close THEN 'resistance' ELSE 'support' END AS side FROM piv JOIN last_ USING (symbol) WHERE abs(price / close - 1) <= 0.12),
+r AS (SELECT *, row_number() OVER (PARTITION BY symbol, side ORDER BY abs(price - close), name) AS rank FROM l)
+SELECT symbol, side, CAST(rank AS INTEGER) AS rank, name, round(price, 6) AS price, round(price / close - 1, 6) AS gap FROM r WHERE rank <= 3"""
+)
+def level_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = bars_daily(spark, sf_dir)
+    return all_rounded(ops.ladder(_pivots(b), _last(b)))
+
+
+@query(f"WITH {BARS}, {_PERIOD}, {_PIVOTS}, {_LAST} SELECT symbol, round(max(price) FILTER (WHERE price < close), 6) AS support, round(min(price) FILTER (WHERE price > close), 6) AS resistance FROM piv JOIN last_ USING (symbol) GROUP BY symbol")
+def nearest_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = bars_daily(spark, sf_dir)
+    return all_rounded(ops.nearest(_pivots(b), _last(b)))
+
+
+_SWINGS = f"{swing_sql(5)}, lv AS (SELECT symbol, price, CASE kind WHEN 'high' THEN 1 ELSE 2 END AS priority, kind || strftime(day, '%Y%m%d') AS name FROM swing)"
+
+
+def _swing_levels(bars: DataFrame) -> DataFrame:
+    s = win.swings(bars, 5)
+    return s.select("symbol", "price", F.when(F.col("kind") == "high", 1).otherwise(2).alias("priority"), F.concat("kind", F.date_format("day", "yyyyMMdd")).alias("name"))
+
+
+@query(
+    f"""WITH {BARS}, {_SWINGS}, n AS (SELECT *, CASE WHEN price - lag(price) OVER w > 5 THEN 1 ELSE 0 END AS new FROM lv WINDOW w AS (PARTITION BY symbol ORDER BY price, priority, name)),
+c AS (SELECT *, CAST(sum(new) OVER (PARTITION BY symbol ORDER BY price, priority, name) AS BIGINT) AS cluster FROM n)
+SELECT symbol, cluster, round(avg(price), 6) AS price, arg_min(name, (priority, name)) AS name, count(*) AS n FROM c GROUP BY symbol, cluster"""
+)
+def cluster_single_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_rounded(ops.cluster(_swing_levels(bars_daily(spark, sf_dir)), F.lit(5.0)).drop("names"))
+
+
+@query(
+    f"""WITH RECURSIVE {BARS}, {_SWINGS}, o AS (SELECT symbol, price, row_number() OVER (PARTITION BY symbol ORDER BY price) AS i FROM lv),
+g AS (SELECT symbol, i, 0 AS cluster, price AS sum, 1 AS n FROM o WHERE i = 1 UNION ALL
+  SELECT o.symbol, o.i, CASE WHEN abs(o.price - g.sum / g.n) <= 0.005 * g.sum / g.n THEN g.cluster ELSE g.cluster + 1 END, CASE WHEN abs(o.price - g.sum / g.n) <= 0.005 * g.sum / g.n THEN g.sum + o.price ELSE o.price END,
+    CASE WHEN abs(o.price - g.sum / g.n) <= 0.005 * g.sum / g.n THEN g.n + 1 ELSE 1 END FROM g JOIN o ON o.symbol = g.symbol AND o.i = g.i + 1)
+SELECT symbol, CAST(cluster AS INTEGER) AS cluster, round(arg_max(sum, i) / arg_max(n, i), 6) AS price, CAST(max(n) AS INTEGER) AS n FROM g GROUP BY symbol, cluster"""
+)
+def cluster_running_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_rounded(ops.cluster_to_mean(_swing_levels(bars_daily(spark, sf_dir)), 0.005))
+
+
+@query(
+    f"""WITH {BARS}, {_LAST} SELECT symbol, CAST(price AS BIGINT) AS price, CASE WHEN price % 100 = 0 THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END AS weight
+FROM (SELECT symbol, unnest(generate_series(CAST(ceil(close * 0.94 / 50) * 50 AS BIGINT), CAST(floor(close * 1.06 / 50) * 50 AS BIGINT), 50)) AS price FROM last_)"""
+)
+def round_number_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.round_levels(_last(bars_daily(spark, sf_dir)))
+
+
+@query(f"WITH {BARS}, s AS (SELECT symbol, day, {', '.join(f'avg(close) OVER {frame(n)} AS m{n}' for n in (50, 100, 200))} FROM bars) SELECT symbol, unnest(['sma50', 'sma100', 'sma200']) AS name, unnest([round(arg_max(m50, day), 6), round(arg_max(m100, day), 6), round(arg_max(m200, day), 6)]) AS price FROM s GROUP BY symbol")
+def moving_average_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = win.moving_averages(bars_daily(spark, sf_dir), (50, 100, 200)).groupBy("symbol").agg(F.max_by(F.struct("sma_50", "sma_100", "sma_200"), "day").alias("m"))
+    named = F.explode(F.array(*(F.struct(F.lit(f"sma{n}").alias("name"), F.col(f"m.sma_{n}").alias("price")) for n in (50, 100, 200))))
+    return all_rounded(s.select("symbol", named.alias("l")).select("symbol", "l.name", "l.price").where("price IS NOT NULL"))
+
+
+@query(f"WITH {BARS} SELECT symbol, round(max(high), 8) AS price, arg_min(day, (-high, day)) AS day FROM bars GROUP BY symbol")
+def all_time_high(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = bars_daily(spark, sf_dir).groupBy("symbol").agg(F.max("high").alias("price"), F.min_by("day", F.struct(-F.col("high"), "day")).alias("day"))
+    return rounded(b, "price")
+
+
+@query(
+    f"""WITH {BARS}, {_SWINGS}, x AS (SELECT symbol, max(day) AS last FROM bars GROUP BY symbol), sw AS (SELECT swing.symbol, price, exp(-ln(2) * datediff('day', day, last) / 126.0) AS w FROM swing JOIN x ON x.symbol = swing.symbol)
+SELECT symbol, round(sum(price * w) / sum(w), 6) AS centre, round(sum(w), 6) AS score, count(*) AS touches FROM sw GROUP BY symbol"""
+)
+def weighted_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Swings weighted by recency (half-life of 126 days)."""
+    import math
+
+    b = bars_daily(spark, sf_dir)
+    s = win.swings(b, 5).join(b.groupBy("symbol").agg(F.max("day").alias("last")), "symbol")
+    w = F.exp(F.lit(-math.log(2)) * F.datediff("last", "day") / 126.0)
+    s = s.withColumn("w", w).groupBy("symbol").agg((F.sum(F.col("price") * F.col("w")) / F.sum("w")).alias("centre"), F.sum("w").alias("score"), F.count("*").alias("touches"))
+    return all_rounded(s)
+
+
+@query(
+    f"""WITH {BARS}, {_PERIOD}, {_PIVOTS}, {_LAST}, v AS (SELECT symbol, arg_max(s, day) AS s FROM (SELECT symbol, day, stddev_pop(r) OVER {frame(63)} AS s FROM (SELECT *, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY day)) AS r FROM bars)) GROUP BY symbol),
+z AS (SELECT piv.symbol, name, price, abs(ln(price / close)) / (s * sqrt(5)) AS reach FROM piv JOIN last_ USING (symbol) JOIN v ON v.symbol = piv.symbol WHERE price > 0)
+SELECT symbol, name, round(reach, 6) AS reach, round(1 / (1 + exp(-greatest(-40, least(40, 2 * (1 - reach))))), 6) AS score, CASE WHEN reach <= 0.5 THEN 'near' WHEN reach <= 1.5 THEN 'possible' ELSE 'far' END AS label FROM z"""
+)
+def break_potential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far a level is in deviations of five bars, as a score between 0 and 1 and a label."""
+    b = bars_daily(spark, sf_dir)
+    r = b.withColumn("r", win.log_return()).select("symbol", "day", F.stddev_pop("r").over(win.last_rows(63)).alias("s"))
+    v = r.groupBy("symbol").agg(F.max_by("s", "day").alias("s"))
+    z = _pivots(b).join(_last(b), "symbol").join(v, "symbol").where("price > 0")
+    z = z.withColumn("reach", F.abs(F.log(F.col("price") / F.col("close"))) / (F.col("s") * F.sqrt(F.lit(5.0))))
+    label = F.when(F.col("reach") <= 0.5, "near").when(F.col("reach") <= 1.5, "possible").otherwise("far")
+    return all_rounded(z.select("symbol", "name", "reach", ops.logistic(2 * (1 - F.col("reach"))).alias("score"), label.alias("label")))
+
+
+@query(
+    f"""WITH {BARS}, {swing_sql(5)}, pos AS (SELECT symbol, day, close, row_number() OVER (PARTITION BY symbol ORDER BY day) AS x FROM bars),
+five AS (SELECT w.symbol, kind, x, price FROM (SELECT *, row_number() OVER (PARTITION BY symbol, kind ORDER BY day DESC) AS r FROM swing) w JOIN pos ON pos.symbol = w.symbol AND pos.day = w.day WHERE r <= 5),
+li AS (SELECT a.symbol, a.kind, a.x AS xa, b.x AS xb, a.price AS pa, b.price AS pb, (b.price - a.price) / (b.x - a.x) AS slope FROM five a JOIN five b ON a.symbol = b.symbol AND a.kind = b.kind AND a.x < b.x),
+t AS (SELECT li.*, (SELECT sum((abs(price / (pa + slope * (x - xa)) - 1) <= 0.01)::INT) FROM five f WHERE f.symbol = li.symbol AND f.kind = li.kind) AS touches,
+  (SELECT max((CASE WHEN li.kind = 'low' THEN close < (pa + slope * (x - xa)) * 0.99 ELSE close > (pa + slope * (x - xa)) * 1.01 END)::INT) FROM pos WHERE pos.symbol = li.symbol AND x > xb) AS broken FROM li)
+SELECT symbol, kind, CAST(xa AS INTEGER) AS xa, CAST(xb AS INTEGER) AS xb, round(pa, 8) AS pa, round(pb, 8) AS pb, CAST(touches AS BIGINT) AS touches, CAST(broken AS INTEGER) AS broken FROM (
+  SELECT *, row_number() OVER (PARTITION BY symbol, kind ORDER BY 1 - broken DESC, touches DESC, xb DESC, xa) AS k FROM t WHERE broken IS NOT NULL) WHERE k = 1"""
+)
+def trend_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = bars_daily(spark, sf_dir)
+    return rounded(ops.trend_lines(win.swings(b, 5), b), "pa", "pb")
+
+
+@query(
+    f"""WITH {BARS}, {_LAST}, a AS (SELECT symbol, arg_max(atr, day) AS atr FROM (SELECT symbol, day, avg(tr) OVER {frame(14)} AS atr FROM (
+  SELECT *, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY day))) GROUP BY symbol)
+SELECT symbol, round(close - atr, 6) AS entry, round(close - 2.5 * atr, 6) AS stop, round(close + 2 * atr, 6) AS target, floor(1000 / (1.5 * atr))::BIGINT AS units FROM last_ JOIN a USING (symbol)"""
+)
+def trade_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entry, stop, target and units for a risk of 1000, from the last close and the mean true range of 14 bars."""
+    b = bars_daily(spark, sf_dir)
+    a = b.withColumn("tr", win.true_range()).select("symbol", "day", F.avg("tr").over(win.last_rows(14)).alias("atr")).groupBy("symbol").agg(F.max_by("atr", "day").alias("atr"))
+    z = _last(b).join(a, "symbol")
+    atr, close = F.col("atr"), F.col("close")
+    return all_rounded(z.select("symbol", (close - atr).alias("entry"), (close - 2.5 * atr).alias("stop"), (close + 2 * atr).alias("target"), F.floor(1000 / (1.5 * atr)).alias("units")))
+
+
+@query("SELECT p_partkey AS id, round(p_retailprice, 2) AS price, CASE WHEN p_retailprice * 0.98 < p_retailprice AND p_size % 9 <> 0 THEN round(least(100, greatest(0, 100 * (p_size - 10) / 30.0::DOUBLE)), 6) END AS position FROM part")
+def quote_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of a quote in its day's range, clipped to 0 to 100; null for an implausible quote."""
+    p = table(spark, sf_dir, "part")
+    plausible = (F.col("p_retailprice") * 0.98 < F.col("p_retailprice")) & (F.col("p_size") % 9 != 0)
+    place = F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100 * (F.col("p_size") - 10) / F.lit(30.0)))
+    return p.select(F.col("p_partkey").alias("id"), F.round("p_retailprice", 2).alias("price"), F.when(plausible, F.round(place, 6)).alias("position"))
