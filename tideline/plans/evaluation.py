@@ -1 +1,256 @@
-"""Queries."""
+"""Queries that evaluate forecasts and keep their ledger."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import asof
+from ..operators import evaluate as ops
+from ..sources.tables import BARS, FORECASTS, bars_daily, forecasts
+from .bars import rounded
+from .joins import LABELS
+from .registry import query
+from .windows import all_rounded
+
+_PAIRS = f"""{LABELS}, mom AS (SELECT symbol, day, close / lag(close, 28) OVER (PARTITION BY symbol ORDER BY day) - 1 AS m FROM bars),
+pairs AS (SELECT l.symbol, l.horizon, l.day, l.target_return AS actual, m * l.horizon / 28 AS pred, m FROM labels_ l JOIN mom ON mom.symbol = l.symbol AND mom.day = l.day WHERE target_return IS NOT NULL AND m IS NOT NULL)"""
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Momentum forecasts against what happened."""
+    from ..operators.features import momentum_labels
+
+    b = bars_daily(spark, sf_dir)
+    m = momentum_labels(b).where("momentum IS NOT NULL")
+    l = asof.forward_return(b).where("target_return IS NOT NULL")
+    return l.join(m, ["symbol", "day"]).select("symbol", "horizon", "day", F.col("target_return").alias("actual"), (F.col("momentum") * F.col("horizon") / 28).alias("pred"), F.col("momentum").alias("m"))
+
+
+@query(
+    f"""WITH {BARS}, {_PAIRS} SELECT symbol, horizon, count(*) AS n, round(avg(abs(pred - actual)), 6) AS mae, round(sqrt(avg((pred - actual) ** 2)), 6) AS rmse, round(quantile_cont(abs(pred - actual), 0.5), 6) AS median_ae, round(avg(pred - actual), 6) AS bias,
+  round(avg(CASE WHEN pred <> 0 AND actual <> 0 THEN (sign(pred) = sign(actual))::INT END), 6) AS direction, round(corr(pred, actual), 6) AS correlation, round(regr_slope(actual, pred), 6) AS slope,
+  round(1 - avg(abs(pred - actual)) / nullif(avg(abs(actual)), 0), 6) AS skill_mae, round(1 - avg((pred - actual) ** 2) / nullif(avg(actual * actual), 0), 6) AS skill_mse FROM pairs GROUP BY symbol, horizon"""
+)
+def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_rounded(ops.metrics(pairs(spark, sf_dir), ["symbol", "horizon"]))
+
+
+@query(
+    f"""WITH {BARS}, {_PAIRS}, s AS (SELECT symbol, horizon, CASE WHEN regr_sxx(actual, pred) < 1e-18 THEN 0 ELSE least(greatest(regr_slope(actual, pred), 0), 1) END AS w FROM pairs GROUP BY 1, 2)
+SELECT symbol, horizon, CASE WHEN avg((w * pred - actual) ** 2) < avg(actual * actual) THEN round(any_value(w), 6) ELSE 0::DOUBLE END AS weight FROM pairs JOIN s USING (symbol, horizon) GROUP BY symbol, horizon"""
+)
+def shrinkage_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_rounded(ops.shrinkage(pairs(spark, sf_dir), ["symbol", "horizon"]))
+
+
+_CONFORMAL = "c AS (SELECT symbol, horizon, n, width FROM (SELECT symbol, horizon, abs(pred - actual) AS width, row_number() OVER (PARTITION BY symbol, horizon ORDER BY abs(pred - actual)) AS r, count(*) OVER (PARTITION BY symbol, horizon) AS n FROM pairs WHERE day < DATE '1996-01-01') WHERE r = least(n, ceil((n + 1) * 0.8::DOUBLE)))"
+
+
+def _widths(p: DataFrame) -> DataFrame:
+    return ops.conformal(p.where("day < DATE '1996-01-01'").withColumn("score", F.abs(F.col("pred") - F.col("actual"))), ["symbol", "horizon"], 0.8)
+
+
+@query(f"WITH {BARS}, {_PAIRS}, {_CONFORMAL} SELECT symbol, horizon, n, round(width, 6) AS width FROM c")
+def conformal_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_rounded(_widths(pairs(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {BARS}, {_PAIRS}, {_CONFORMAL} SELECT symbol, horizon, round(avg((abs(pred - actual) <= width)::INT), 6) AS covered, round(avg(2 * width), 6) AS mean_width,
+  round(avg(2 * width + 10 * greatest(abs(pred - actual) - width, 0)), 6) AS interval_score FROM pairs JOIN c USING (symbol, horizon) WHERE day >= DATE '1996-01-01' GROUP BY symbol, horizon"""
+)
+def interval_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pairs(spark, sf_dir)
+    errors = p.where("day >= DATE '1996-01-01'").withColumn("error", F.col("pred") - F.col("actual"))
+    return all_rounded(ops.coverage(errors, _widths(p).drop("n"), ["symbol", "horizon"], 0.8))
+
+
+@query(
+    f"""WITH {BARS}, {_PAIRS}, t AS (SELECT quantile_cont(m, 1.0 / 3) AS c1, quantile_cont(m, 2.0 / 3) AS c2 FROM pairs WHERE day < DATE '1996-01-01'),
+r AS (SELECT pairs.*, CASE WHEN m <= c1 THEN 'low' WHEN m <= c2 THEN 'middle' ELSE 'high' END AS regime FROM pairs, t WHERE day >= DATE '1996-01-01')
+SELECT regime, horizon, count(*) AS n, round(avg(abs(pred - actual)), 6) AS mae, round(avg(pred - actual), 6) AS bias FROM r GROUP BY regime, horizon"""
+)
+def regime_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirds of momentum with thresholds of the training rows only."""
+    p = pairs(spark, sf_dir)
+    q = p.where("day < DATE '1996-01-01'").agg(F.percentile("m", [1 / 3, 2 / 3]).alias("q")).select(F.col("q")[0].alias("c1"), F.col("q")[1].alias("c2"))
+    e = F.col("pred") - F.col("actual")
+    r = ops.regimes(p.where("day >= DATE '1996-01-01'"), "m", q)
+    return all_rounded(r.groupBy("regime", "horizon").agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias")))
+
+
+@query(
+    f"""WITH {BARS}, {LABELS} SELECT symbol, horizon, count(target_return) AS n, round(avg(target_return), 6) AS mean, round(quantile_cont(target_return, 0.5), 6) AS median, round(stddev_pop(target_return), 6) AS sd, round(kurtosis_pop(target_return), 6) AS kurtosis,
+  round(min(target_return), 6) AS min, round(max(target_return), 6) AS max, round(avg((abs(target_return) > 0.5)::INT), 6) AS tail FROM labels_ GROUP BY symbol, horizon"""
+)
+def target_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_rounded(ops.distribution(asof.forward_return(bars_daily(spark, sf_dir)), ["symbol", "horizon"], "target_return", 0.5))
+
+
+@query(
+    f"""WITH {BARS}, {_PAIRS}, r AS (SELECT *, rank() OVER (PARTITION BY symbol, horizon ORDER BY pred) + (count(*) OVER (PARTITION BY symbol, horizon, pred) - 1) / 2.0 AS rp,
+  rank() OVER (PARTITION BY symbol, horizon ORDER BY actual) + (count(*) OVER (PARTITION BY symbol, horizon, actual) - 1) / 2.0 AS ra FROM pairs)
+SELECT symbol, horizon, round(corr(pred, actual), 6) AS pearson, round(corr(rp, ra), 6) AS spearman FROM r GROUP BY symbol, horizon"""
+)
+def corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_rounded(ops.spearman(pairs(spark, sf_dir), ["symbol", "horizon"], "pred", "actual"))
+
+
+@query(
+    f"WITH {BARS}, {LABELS} SELECT horizon, CAST(greatest(0, least(41, floor((target_return + 0.2) / 0.011) + 1)) AS BIGINT) AS bin, count(*) AS n FROM labels_ WHERE target_return IS NOT NULL GROUP BY 1, 2"
+)
+def error_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty bins from -0.2 to 0.24; 0 and 41 take what lies outside."""
+    l = asof.forward_return(bars_daily(spark, sf_dir)).where("target_return IS NOT NULL")
+    b = F.greatest(F.lit(0), F.least(F.lit(41), F.floor((F.col("target_return") + 0.2) / 0.011) + 1)).cast("long")
+    return l.groupBy("horizon", b.alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {BARS}, {_PAIRS} SELECT symbol, day, horizon, round(abs(pred - actual), 6) AS error FROM pairs ORDER BY abs(pred - actual) DESC, symbol, day, horizon LIMIT 20"""
+)
+def largest_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pairs(spark, sf_dir).withColumn("error", F.abs(F.col("pred") - F.col("actual")))
+    return all_rounded(p.orderBy(F.desc("error"), "symbol", "day", "horizon").limit(20).select("symbol", "day", "horizon", "error"))
+
+
+@query()
+def block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pairs(spark, sf_dir).where("horizon = 7")
+    d = p.select("symbol", "day", (F.abs(F.col("pred") - F.col("actual")) - F.abs("actual")).alias("gain"))
+    return all_rounded(ops.block_bootstrap(d, "gain"))
+
+
+_FIRST = """first_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY instrument, version, horizon, origin ORDER BY issued_at, id) AS k FROM forecasts) WHERE k = 1),
+ranked AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY instrument, version, horizon ORDER BY origin DESC) AS rank FROM first_) WHERE rank <= 180)"""
+
+
+@query(f"WITH {FORECASTS}, {_FIRST} SELECT id, instrument, version, horizon, origin, CAST(rank AS INTEGER) AS rank FROM ranked")
+def ledger_first_issuance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.first_issuance(forecasts(spark, sf_dir)).select("id", "instrument", "version", "horizon", "origin", "rank")
+
+
+def _settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked forecasts with the price of their due day: base moved as the instrument N moved."""
+    f = ops.first_issuance(forecasts(spark, sf_dir)).withColumns({"due": F.date_add("origin", F.col("horizon")), "symbol": F.lit("N")})
+    n = bars_daily(spark, sf_dir).where("symbol = 'N'").select("symbol", F.col("day").alias("due"), F.col("close").alias("c"))
+    a = asof.forward(f.select("symbol", F.col("origin").alias("due")), n.withColumnRenamed("c", "c0"), ["symbol"], "due", "c0").select(F.col("due").alias("origin"), "c0")
+    b = asof.forward(f.select("symbol", "due"), n.withColumnRenamed("c", "c1"), ["symbol"], "due", "c1").select("due", "c1")
+    return f.join(a, "origin", "left").join(b, "due", "left").withColumn("price", F.col("base") * (1 + (F.col("c1") / F.col("c0") - 1) / 20)).drop("c0", "c1")
+
+
+_SETTLED = f"""{_FIRST}, nb AS (SELECT day, close FROM bars WHERE symbol = 'N'), s0 AS (SELECT r.*, nb.close AS c0 FROM ranked r ASOF LEFT JOIN nb ON r.origin <= nb.day),
+settled AS (SELECT s0.*, base * (1 + (nb.close / c0 - 1) / 20) AS price FROM s0 ASOF LEFT JOIN nb ON s0.origin + s0.horizon <= nb.day)"""
+
+
+@query(
+    f"""WITH {FORECASTS}, {BARS}, {_SETTLED}, x AS (SELECT *, p50 / base - 1 AS mv, price / base - 1 AS ac FROM settled, (SELECT unnest([30, 90]) AS win)),
+g AS (SELECT instrument, version, horizon, CAST(win AS INTEGER) AS "window", count(*) FILTER (WHERE rank <= win AND price IS NOT NULL) AS settled, avg(abs(mv - ac)) FILTER (WHERE rank <= win) AS mae, avg(mv - ac) FILTER (WHERE rank <= win) AS bias,
+  avg(abs(p50 - price)) FILTER (WHERE rank <= win) AS price_mae, avg(CASE WHEN ac <> 0 AND mv <> 0 THEN (sign(mv) = sign(ac))::INT END) FILTER (WHERE rank <= win) AS direction,
+  avg((price BETWEEN p10 AND p90)::INT) FILTER (WHERE rank <= win AND price IS NOT NULL) AS coverage, avg(mv) FILTER (WHERE rank <= win) - avg(mv) FILTER (WHERE rank > win AND rank <= 2 * win) AS drift FROM x GROUP BY ALL)
+SELECT instrument, version, horizon, "window", settled, round(mae, 6) AS mae, round(bias, 6) AS bias, round(price_mae, 6) AS price_mae, round(direction, 6) AS direction, round(coverage, 6) AS coverage, round(drift, 6) AS drift, coalesce(coverage < 0.6 OR direction < 0.4, false) AS alert FROM g"""
+)
+def monitoring_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_rounded(ops.monitoring(_settled(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {FORECASTS}, {BARS}, {_SETTLED}, p AS (SELECT *, greatest(0.1 * (price - p10), -0.9 * (price - p10)) AS a, greatest(0.5 * (price - p50), -0.5 * (price - p50)) AS b, greatest(0.9 * (price - p90), -0.1 * (price - p90)) AS c FROM settled WHERE price IS NOT NULL)
+SELECT horizon, count(*) AS n, round(avg((price BETWEEN p10 AND p90)::INT), 6) AS coverage, round(avg((a + b + c) / 3), 4) AS pinball, round(avg(CASE WHEN price <> base THEN ((p50 > base) = (price > base))::INT END), 6) AS direction FROM p GROUP BY horizon"""
+)
+def ledger_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _settled(spark, sf_dir).where("price IS NOT NULL")
+    price = F.col("price")
+    loss = sum((ops.pinball(price, F.col(c), q) for c, q in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9))), F.lit(0.0)) / 3
+    hit = F.when(price != F.col("base"), ((F.col("p50") > F.col("base")) == (price > F.col("base"))).cast("double"))
+    g = s.groupBy("horizon").agg(F.count("*").alias("n"), F.avg(price.between(F.col("p10"), F.col("p90")).cast("double")).alias("coverage"), F.avg(loss).alias("pinball"), F.avg(hit).alias("direction"))
+    return rounded(rounded(g, "coverage", "direction", digits=6), "pinball", digits=4)
+
+
+def _adaptive(rows: pd.DataFrame) -> pd.DataFrame:
+    """Adaptive conformal widths of one series: the miscoverage level follows the misses, known once a target has matured."""
+    rows = rows.sort_values("day", ignore_index=True)
+    score = (rows["pred"] - rows["actual"]).abs().to_numpy()
+    alpha, widths, lag = 0.2, [], int(rows["horizon"].iloc[0])
+    for i in range(len(rows)):
+        past = score[max(0, i - lag - 126) : max(0, i - lag)]
+        width = float(np.quantile(past, 1 - alpha)) if len(past) >= 30 else float("nan")
+        widths.append(width)
+        j = i - lag
+        if j >= 0 and widths[j] == widths[j]:
+            alpha = float(np.clip(alpha + 0.01 * (0.2 - (score[j] > widths[j])), 0.01, 0.99))
+    known = ~np.isnan(widths)
+    return pd.DataFrame({"symbol": rows["symbol"].iloc[:1], "horizon": rows["horizon"].iloc[:1], "n": [int(known.sum())], "covered": [float(np.mean(score[known] <= np.array(widths)[known])) if known.any() else None], "last_alpha": [alpha]})
+
+
+@query()
+def adaptive_conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_rounded(pairs(spark, sf_dir).groupBy("symbol", "horizon").applyInPandas(_adaptive, "symbol string, horizon int, n long, covered double, last_alpha double"))
+
+
+def _mlp(rows: pd.DataFrame) -> pd.DataFrame:
+    """Walk-forward error of a small tanh network (3 seeds, averaged) on one symbol and horizon, against the zero forecast."""
+    rows = rows.sort_values("day", ignore_index=True)
+    x = rows[[c for c in rows.columns if c.startswith("x_")]].to_numpy()
+    y = rows["actual"].to_numpy()
+    cut = int(len(rows) * 0.7)
+    purged = rows["target_day"].iloc[:cut].to_numpy() < rows["day"].iloc[cut] if cut < len(rows) else np.zeros(cut, bool)
+    if purged.sum() < 100:
+        return pd.DataFrame(columns=["symbol", "horizon", "n", "mae", "mae_zero"])
+    mean, sd = x[:cut][purged].mean(0), x[:cut][purged].std(0)
+    z = np.clip((x - mean) / np.where(sd < 1e-9, 1, sd), -6, 6)
+    a, t = z[:cut][purged], y[:cut][purged]
+    scale = t.std() or 1.0
+    predictions = []
+    for seed in (17, 42, 91):
+        g = np.random.default_rng(seed)
+        w1, b1, w2, b2 = g.normal(0, 0.3, (a.shape[1], 8)), np.zeros(8), g.normal(0, 0.3, 8), 0.0
+        for _ in range(300):
+            h = np.tanh(a @ w1 + b1)
+            e = (h @ w2 + b2 - t / scale) / len(t)
+            d = np.outer(e, w2) * (1 - h * h)
+            w2, b2, w1, b1 = w2 - 0.5 * (h.T @ e + 1e-4 * w2), b2 - 0.5 * e.sum(), w1 - 0.5 * (a.T @ d + 1e-4 * w1), b1 - 0.5 * d.sum(0)
+        predictions.append((np.tanh(z[cut:] @ w1 + b1) @ w2 + b2) * scale)
+    p = np.mean(predictions, axis=0)
+    return pd.DataFrame({"symbol": rows["symbol"].iloc[:1], "horizon": rows["horizon"].iloc[:1], "n": [len(p)], "mae": [float(np.abs(p - y[cut:]).mean())], "mae_zero": [float(np.abs(y[cut:]).mean())]})
+
+
+def _design(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.features import GOLD
+    from ..operators.windows import gold_features
+
+    b = bars_daily(spark, sf_dir)
+    x = gold_features(b).select("symbol", "day", *(F.col(c).alias(f"x_{c}") for c in GOLD))
+    l = asof.forward_return(b).where("target_return IS NOT NULL").withColumnRenamed("target_return", "actual")
+    return l.join(x, ["symbol", "day"])
+
+
+@query()
+def mlp_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One small network for each symbol and horizon: independent fits that Spark deals out."""
+    return all_rounded(_design(spark, sf_dir).groupBy("symbol", "horizon").applyInPandas(_mlp, "symbol string, horizon int, n long, mae double, mae_zero double"))
+
+
+@query()
+def ridge_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ridge by the normal equations: sums of products are aggregated in Spark, and each group solves its small system."""
+    from ..operators.features import GOLD
+
+    d = _design(spark, sf_dir)
+    names = [f"x_{c}" for c in GOLD]
+    sums = [F.sum(F.col(a) * F.col(b)).alias(f"s_{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
+    sums += [F.sum(F.col(a) * F.col("actual")).alias(f"t_{i}") for i, a in enumerate(names)]
+    g = d.groupBy("symbol", "horizon").agg(F.count("*").alias("n"), *sums)
+
+    def solve(batches):
+        k = len(names)
+        for rows in batches:
+            for r in rows.to_dict("records"):
+                a = np.array([[r[f"s_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+                w = np.linalg.solve(a + 0.01 * r["n"] * np.eye(k), np.array([r[f"t_{i}"] for i in range(k)]))
+                yield pd.DataFrame({"symbol": r["symbol"], "horizon": r["horizon"], "n": r["n"], "feature": GOLD, "weight": np.round(w, 6)})
+
+    return g.mapInPandas(solve, "symbol string, horizon int, n long, feature string, weight double")
