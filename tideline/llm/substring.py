@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import written
-from .words import WordCodes, mixed, split, windows
+from .words import codes_of, mixed, split, windows
 
 #: Words in the sequences that minimisers are chosen from, and windows in a packed string at most.
-SEQUENCE, LONGEST = 3, 2048
+SEQUENCE, LONGEST = 2, 2048
 #: Recurring strings that a task remembers from batch to batch, and words that a bucket sorts at once.
-REMEMBERED, ROOM = 50_000, 2_000_000
+REMEMBERED, ROOM = 50_000, 1_000_000
 LAST = (1 << 63) - 1
 
 PACKED = "key long, doc long, row long, first int, n int, packed binary"
@@ -57,7 +57,6 @@ def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBat
     Only the earliest of equal strings is sent; all windows of the others start
     earlier elsewhere, so these leave as decided spans (without a string).
     """
-    codes = WordCodes()
     known: dict[bytes, tuple] = {}
     for batch in batches:
         best: dict[bytes, tuple] = {}
@@ -67,7 +66,7 @@ def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBat
             words = split(text)
             if len(words) < width:
                 continue
-            for first, n, low in zip(*(x.tolist() for x in cut_points(codes.of(words), width)), strict=True):
+            for first, n, low in zip(*(x.tolist() for x in cut_points(codes_of(words), width)), strict=True):
                 packed = b" ".join(words[first : first + n + width - 1])
                 at = (doc, first, row, n, low)
                 was = best.get(packed)
@@ -114,14 +113,15 @@ def _recurring(words: list[bytes], at: np.ndarray, code: np.ndarray, width: int)
     return np.array([ids.setdefault(tuple(words[i : i + width]), len(ids)) for i in starts])
 
 
-def settle(doc: np.ndarray, row: np.ndarray, first: np.ndarray, n: np.ndarray, packed: list[bytes], codes: WordCodes, width: int) -> tuple[np.ndarray, ...]:
+def settle(doc: np.ndarray, row: np.ndarray, first: np.ndarray, n: np.ndarray, packed: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     """Spans (doc, row, first word, word after the last) of windows that start earlier elsewhere."""
     words = b" ".join(packed).split()
     size = n + width - 1
     inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     at = np.repeat(np.cumsum(size) - size, n) + inner
     of = np.repeat(np.arange(len(n)), n)
-    code = windows(codes.of(words), width)[at]
+    # codes need only agree within this task
+    code = windows(np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64), width)[at]
     order = np.argsort(code)
     equal = code[order[1:]] == code[order[:-1]]
     order = order[np.concatenate([equal, [False]]) | np.concatenate([[False], equal])]
@@ -142,7 +142,6 @@ def settle(doc: np.ndarray, row: np.ndarray, first: np.ndarray, n: np.ndarray, p
 
 def _settle(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Spans of buckets; batches come sorted by key, and a bucket is judged whole."""
-    codes = WordCodes()
     names = [x.split()[0] for x in SPANS.split(", ")]
 
     def out(*spans: np.ndarray) -> pa.RecordBatch:
@@ -150,7 +149,7 @@ def _settle(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
 
     def judged(t: pa.Table) -> pa.RecordBatch:
         doc, row, first, n = (t[c].to_numpy() for c in ("doc", "row", "first", "n"))
-        return out(*settle(doc, row, first, n, t["packed"].to_pylist(), codes, width))
+        return out(*settle(doc, row, first, n, t["packed"].to_pylist(), width))
 
     held: list[pa.RecordBatch] = []
     size = 0

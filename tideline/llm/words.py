@@ -10,20 +10,10 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-KEPT_CODES = 1 << 20
 
-
-class WordCodes(dict):
-    """64-bit code of each word seen by a task; forgotten when there are too many, as they can be had again."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_CODES:
-            self.clear()
-        code = self[word] = xxhash.xxh3_64_intdigest(word)
-        return code
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def codes_of(words: list[bytes]) -> np.ndarray:
+    """The same 64-bit code for a word everywhere."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def split(text: str | None, lower: bool = False) -> list[bytes]:
@@ -41,13 +31,22 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 def windows(codes: np.ndarray, width: int) -> np.ndarray:
-    """A code for every ``width`` consecutive words; empty if there are fewer."""
+    """A code for every ``width`` consecutive words; empty if there are fewer.
+
+    Codes of 1, 2, 4, ... words are joined to those that ``width`` is the sum of.
+    """
     n = len(codes) - width + 1
     if n <= 0:
         return codes[:0]
-    out = codes[:n]
-    for j in range(1, width):
-        out = mixed(out, j) + codes[j : j + n]
+    out, done, part, span = None, 0, codes, 1
+    while span <= width:
+        if width & span:
+            here = part[done : done + n]
+            out = here if out is None else mixed(out, span) + here
+            done += span
+        if 2 * span <= width:
+            part = mixed(part[:-span], span + 1) + part[span:]
+        span *= 2
     return mixed(out)
 
 
