@@ -1 +1,62 @@
-"""Queries."""
+"""Queries over streams, and their batch counterparts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..sources.tables import HOURS, bars_hourly, table
+from ..streaming import feeds
+from .registry import query
+
+
+@query(f"WITH {HOURS} SELECT symbol, ts, round(o, 6) AS o, round(h, 6) AS h, round(l, 6) AS l, round(c, 6) AS c, v FROM hours")
+def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = feeds.drained(feeds.bars(feeds.ticks(spark, sf_dir)), "complete")
+    return b.withColumns({c: F.round(c, 6) for c in "ohlc"})
+
+
+@query("SELECT event_id, event_type AS symbol, value FROM events")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event arrives twice and is kept once."""
+    twice = feeds.ticks(spark, sf_dir).withColumn("n", F.explode(F.array(F.lit(1), F.lit(2)))).drop("n")
+    return feeds.drained(feeds.deduplicated(twice), "append").select("event_id", "symbol", "value")
+
+
+@query()
+def stream_trigger_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.drained(feeds.triggers(feeds.ticks(spark, sf_dir)), "append")
+
+
+@query(
+    f"""WITH {HOURS}, l AS (SELECT symbol, max(ts) FILTER (WHERE hour(ts) < 18) AS p, max(ts) FILTER (WHERE hour(ts) % 2 = 1) AS f FROM hours GROUP BY symbol),
+a AS (SELECT *, (epoch(TIMESTAMP '2024-01-30 20:30:00') - epoch(p)) / 60 AS age FROM l)
+SELECT symbol, CASE WHEN p IS NULL AND f IS NULL THEN NULL WHEN p IS NULL OR (age > 60 AND f > p) THEN 'fallback' ELSE 'primary' END AS source, CASE WHEN p IS NULL THEN 'missing' WHEN age > 60 THEN 'stale' ELSE 'fresh' END AS reason, CAST(floor(age) AS BIGINT) AS age_minutes FROM a"""
+)
+def feed_failover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The primary feed ends at 18:00; the fallback has every second hour."""
+    h = bars_hourly(spark, sf_dir)
+    last = h.groupBy("symbol").agg(F.max(F.when(F.hour("ts") < 18, F.col("ts"))).alias("primary"), F.max(F.when(F.hour("ts") % 2 == 1, F.col("ts"))).alias("fallback"))
+    return feeds.failover(last, "2024-01-30 20:30:00")
+
+
+@query("SELECT event_type AS symbol, event_id, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 90")
+def tick_ring_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last 90 ticks of each symbol."""
+    e = table(spark, sf_dir, "events")
+    k = F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id")))
+    return e.withColumn("k", k).where("k <= 90").select(F.col("event_type").alias("symbol"), "event_id", "ts", "value")
+
+
+@query("SELECT event_type AS symbol, max(event_id) AS event_id, max(ts) AS ts, round(arg_max(value, (ts, event_id)), 6) AS value, count(*) AS n FROM events GROUP BY event_type")
+def latest_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.groupBy(F.col("event_type").alias("symbol")).agg(F.max("event_id").alias("event_id"), F.max("ts").alias("ts"), F.round(F.max_by("value", F.struct("ts", "event_id")), 6).alias("value"), F.count("*").alias("n"))
+
+
+@query("SELECT event_type AS symbol, CAST(ts AS DATE) AS day, count(*) AS n, sum(CASE WHEN value > 0 THEN 1 ELSE 0 END)::BIGINT AS positive, CAST(ts AS DATE) = DATE '2024-01-30' AS partial FROM events GROUP BY event_type, CAST(ts AS DATE)")
+def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks by day; today's day is marked partial."""
+    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    g = e.groupBy(F.col("event_type").alias("symbol"), "day").agg(F.count("*").alias("n"), F.sum(F.when(F.col("value") > 0, 1).otherwise(0)).alias("positive"))
+    return g.withColumn("partial", F.col("day") == F.lit("2024-01-30").cast("date"))
