@@ -42,7 +42,7 @@ def windows(codes: np.ndarray, width: int) -> np.ndarray:
     while span <= width:
         if width & span:
             here = part[done : done + n]
-            out = here if out is None else mixed(out, span) + here
+            out = here if out is None else mixed(out, -span) + here
             done += span
         if 2 * span <= width:
             part = mixed(part[:-span], span + 1) + part[span:]
