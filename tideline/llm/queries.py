@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, host_reputation, mixing, near_text, near_vectors, packing, quality_model, quality_rules, shards, storage, substring
+from . import bpe, host_reputation, mixing, near_text, near_vectors, packing, quality_model, quality_rules, shards, sql, storage, substring
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -82,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_pivot_index": sql.PIVOT_INDEX,
     "op4_quality_rules": quality_rules.SQL,
+    "op5_super_kmers": sql.SUPER_KMERS,
     "op6_host_reputation": host_reputation.SQL,
+    "op10_ngram_jaccard": sql.NGRAM_JACCARD,
 }
