@@ -82,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_pareto_mixing": sql.PARETO_MIXING,
     "op2_pivot_index": sql.PIVOT_INDEX,
     "op4_quality_rules": quality_rules.SQL,
     "op5_super_kmers": sql.SUPER_KMERS,

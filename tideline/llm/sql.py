@@ -37,3 +37,36 @@ nodes AS (SELECT vec_id AS id FROM embeddings), {_REACH},
 n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
 SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.root AS component_id, c.root = vec_id AS kept FROM embeddings LEFT JOIN n ON n.a = vec_id JOIN c ON c.id = vec_id
 """
+
+
+def _shares(table: str, by: str, order: str, total: str, weight: str, cap: str, name: str) -> str:
+    """SQL of ``mixing.capped_shares``: rows of ``table`` and their share of ``total``."""
+    part = f"PARTITION BY {by} " if by else ""
+    before = f"OVER ({part}ORDER BY r, {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    whole = f"OVER ({part.strip()})"
+    return f"""SELECT * EXCLUDE (t_, w_, c_, r, used, gone, all_, lev, level), CASE WHEN level IS NULL OR r <= level THEN c_ ELSE w_ * level END AS {name} FROM (
+  SELECT *, first_value(CASE WHEN r > lev THEN lev END IGNORE NULLS) OVER ({part}ORDER BY r, {order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS level FROM (
+    SELECT *, (t_ - used) / (all_ - gone) AS lev FROM (
+      SELECT *, coalesce(sum(c_) {before}, 0) AS used, coalesce(sum(w_) {before}, 0) AS gone, sum(w_) {whole} AS all_ FROM (
+        SELECT *, c_ / w_ AS r FROM (SELECT *, ({total})::DOUBLE AS t_, ({weight})::DOUBLE AS w_, ({cap})::DOUBLE AS c_ FROM {table})))))"""
+
+
+PARETO_MIXING = rf"""
+WITH sizes AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {WORDS}))::BIGINT AS size FROM documents),
+src AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS weight FROM (SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source)),
+tgt AS ({_shares("src", "", "source", "(SELECT sum(source_size) FROM src)", "weight", "source_size * 3", "target")}),
+cls0 AS (SELECT s.source, length(bin(size)) - 1 AS class, sum(size)::BIGINT AS words, any_value(target) AS target FROM sizes s JOIN tgt ON tgt.source IS NOT DISTINCT FROM s.source WHERE size > 0 GROUP BY 1, 2),
+cls1 AS ({_shares("cls0", "source", "class", "target", "words * pow(2.0, -0.125 * class)", "words * 3", "part")}),
+cls AS (SELECT *, floor(round(part / words, 9))::BIGINT AS whole, round(part / words, 9) - floor(round(part / words, 9)) AS odd FROM cls1),
+lft AS (SELECT *, target - sum(whole * words) OVER (PARTITION BY source) AS left_ FROM cls),
+u AS (SELECT s.doc_id, s.source, s.size, whole, odd, left_, (('0x' || substr(md5(coalesce(s.doc_id::VARCHAR, 'null') || ':17'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496 AS u
+  FROM sizes s LEFT JOIN lft ON lft.source IS NOT DISTINCT FROM s.source AND s.size > 0 AND lft.class = length(bin(s.size)) - 1),
+o AS (SELECT *, CASE WHEN odd > 0 THEN (u / (1 - u)) / (odd / (1 - odd)) END AS q FROM u),
+k AS (SELECT *, floor(q / (1 + q) * 1099511627776)::BIGINT AS rank FROM o),
+x AS (SELECT *, CASE WHEN rank IS NOT NULL AND sum(CASE WHEN rank IS NOT NULL THEN size END) OVER (PARTITION BY source, rank IS NULL ORDER BY rank, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= left_ THEN 1 ELSE 0 END AS extra FROM k),
+g AS (SELECT source, max(left_) - sum(extra * size) AS missing FROM x GROUP BY source),
+f AS (SELECT source, doc_id, size FROM (SELECT x.source, doc_id, size, row_number() OVER (PARTITION BY x.source ORDER BY abs(missing - size), size, coalesce(rank, -1), doc_id) AS n FROM x JOIN g ON g.source IS NOT DISTINCT FROM x.source
+  WHERE extra = 0 AND size > 0 AND whole < 3 AND abs(missing - size) < missing) WHERE n = 1)
+SELECT x.doc_id, x.size, source_size, target, ((coalesce(whole, 0) + extra + CASE WHEN f.doc_id IS NOT NULL AND extra = 0 THEN 1 ELSE 0 END) * x.size)::BIGINT AS taken
+FROM x JOIN tgt ON tgt.source IS NOT DISTINCT FROM x.source LEFT JOIN f ON f.source IS NOT DISTINCT FROM x.source AND f.doc_id = x.doc_id AND f.size = x.size
+"""
