@@ -5,7 +5,7 @@ import pytest
 
 from tideline.plans import catalog
 
-DATA = "/root/testdata/sf0.001"
+DATA = "/root/testdata/sf0.01"
 
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))

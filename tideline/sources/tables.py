@@ -56,7 +56,7 @@ def macro_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A month's first vintage averages the orders of even key and is known 15 days
     after the month began and 30 more; the revision averages all and is known a
-    year later.
+    year later. Averages are in cents, rounded in whole numbers.
     """
     month = F.trunc("o_orderdate", "MM").alias("obs_date")
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
@@ -66,8 +66,8 @@ def macro_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     vintages = F.explode(
         F.array(
-            F.struct(F.lit("initial").alias("vintage"), F.date_add("obs_date", 45).alias("available"), F.round(F.col("s0") / F.col("n0") / 100, 2).alias("value")),
-            F.struct(F.lit("revised").alias("vintage"), F.date_add("obs_date", 410).alias("available"), F.round(F.col("s1") / F.col("n1") / 100, 2).alias("value")),
+            F.struct(F.lit("initial").alias("vintage"), F.date_add("obs_date", 45).alias("available"), F.expr("((2 * s0 + n0) div (2 * n0)) / 100D").alias("value")),
+            F.struct(F.lit("revised").alias("vintage"), F.date_add("obs_date", 410).alias("available"), F.expr("((2 * s1 + n1) div (2 * n1)) / 100D").alias("value")),
         )
     ).alias("v")
     rows = sums.select("series", "obs_date", vintages).where("v.value IS NOT NULL")
@@ -77,8 +77,8 @@ def macro_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 MACRO = """sums AS (SELECT o_orderpriority AS series, CAST(date_trunc('month', o_orderdate) AS DATE) AS obs_date,
   sum(c) FILTER (WHERE o_orderkey % 2 = 0) AS s0, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS n0, sum(c) AS s1, count(*) AS n1
   FROM (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS c FROM orders) GROUP BY 1, 2),
-macro AS (SELECT series, obs_date, CAST(obs_date + 45 AS TIMESTAMP) AS available_at, round(s0::DOUBLE / n0 / 100, 2) AS value, 'initial' AS vintage FROM sums WHERE n0 > 0
-  UNION ALL SELECT series, obs_date, CAST(obs_date + 410 AS TIMESTAMP), round(s1::DOUBLE / n1 / 100, 2), 'revised' FROM sums)"""
+macro AS (SELECT series, obs_date, CAST(obs_date + 45 AS TIMESTAMP) AS available_at, ((2 * s0 + n0) // (2 * n0))::DOUBLE / 100 AS value, 'initial' AS vintage FROM sums WHERE n0 > 0
+  UNION ALL SELECT series, obs_date, CAST(obs_date + 410 AS TIMESTAMP), ((2 * s1 + n1) // (2 * n1))::DOUBLE / 100, 'revised' FROM sums)"""
 
 
 def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
