@@ -1,7 +1,10 @@
 """The corpus pipeline: rules, near duplicates, repeated passages, mixing, packing.
 
 Each stage takes the documents that the stage before has kept, as a Parquet table,
-and all but the last return the columns of ``documents``.
+and all but the last return the columns of ``documents``. Rows without an id go in
+the first four stages, and of rows that share an id the one of the smallest text
+stays (null texts first). Null texts, languages and sources are handled as the
+operators say; an empty table gives an empty table; further columns are dropped.
 """
 
 from __future__ import annotations
@@ -18,14 +21,25 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def by_id(docs: DataFrame) -> DataFrame:
+    """One row for each id. Rows are only aggregated, before they are shuffled, if some id is repeated."""
+    docs = docs.select(*COLUMNS).where("doc_id IS NOT NULL")
+    if not docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return docs
+    first = docs.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("r"))
+    return first.select("doc_id", *(F.col(f"r.{c}") for c in COLUMNS[1:]))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the certified cutoffs."""
+    docs = by_id(docs)
     judged = quality_rules.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.join(judged.where("kept").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near duplicates."""
+    docs = by_id(docs)
     linked = near_text.link_documents(docs)
     firsts = linked.where("n_shingles = 0 OR component_id = doc_id").select("doc_id")
     return docs.join(firsts, "doc_id", "left_semi").select(*COLUMNS)
@@ -33,6 +47,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that occur earlier; a document left without words goes."""
+    docs = by_id(docs)
     kept = substring.remove_repeats(docs).where("n_words > n_removed").select("doc_id", F.col("text").alias("kept"))
     texts = docs.drop("text", "n_chars").join(kept, "doc_id")
     return texts.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
@@ -40,6 +55,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
+    docs = by_id(docs)
     taken = mixing.mix(docs).where("copies > 0").select("doc_id", "copies")
     return docs.join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
