@@ -216,6 +216,17 @@ def test_classifier_of_odd_rows(docs, none, labels, rows):
     assert quality_model.score_quality(docs, labels.limit(0)).where("score != 0.5").count() == 0
 
 
+def test_stages_of_odd_rows(spark, docs, none):
+    sf = "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf).cache()
+        assert out.columns == list(corpus_pipeline.COLUMNS) and out.where("doc_id IS NULL").count() == 0
+        if name != "pareto_mixing":
+            assert out.count() == out.select("doc_id").distinct().count() > 50
+        assert stage(spark, none, sf).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, none, sf).count() == 0
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
