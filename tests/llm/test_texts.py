@@ -54,15 +54,18 @@ def test_near_text(docs, rows):
             assert r.component_id != r.component_id
 
 
-def test_near_text_of_a_large_group(spark):
+@pytest.mark.parametrize("large", [8, 64, 256])
+def test_near_text_of_a_large_group(spark, monkeypatch, large):
     """Near copies of one text, some of them too far from any other, with a common passage elsewhere."""
+    monkeypatch.setattr(near_text, "LARGE", large)
+    monkeypatch.setattr(near_text, "BUCKET", 30)
     g = np.random.default_rng(3)
     base = [f"b{i}" for i in range(120)]
     rows = []
     for k in range(150):
         w = list(base)
-        for j in g.choice(120, g.integers(0, 4), replace=False):
-            w[j] = f"e{k}x{j}"
+        for j in g.choice(120, g.integers(0, 7), replace=False):
+            w[j] = f"e{k % 40}x{j}"
         rows.append((k, " ".join(w)))
     rows += [(200 + k, " ".join(base[20:80] + [f"u{k}y{i}" for i in range(25)])) for k in range(60)]
     got = {r.doc_id: r.component_id for r in near_text.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

@@ -31,7 +31,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         lowest = _smallest(both, "lowest")
         up = now.select(F.col("v").alias("u"), F.col("u").alias("v"))
         up = up.join(lowest, "u", "left").select(F.col("v").alias("u"), F.coalesce("m", "u").alias("v"))
-        now = written(up.distinct(), "large-star")
+        now = written(up, "large-star")
         # small star: u and what is below it come to link to the smallest below u
         lowest = _smallest(now, "lowest")
         down = now.join(lowest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
