@@ -84,6 +84,24 @@ def test_near_text_of_a_large_group(spark, monkeypatch, large):
     assert got == {i: find(i) for i in root}
 
 
+def test_near_text_of_texts_with_words_added(spark):
+    """Pairs of which one text is the other plus 5 to 24 % of words, in one place or three."""
+    g = np.random.default_rng(11)
+    rows = []
+    for k in range(160):
+        n = int(g.integers(60, 220))
+        w = [f"p{k}w{i}" for i in range(n)]
+        extra = [f"p{k}x{i}" for i in range(round(n * g.uniform(0.05, 0.24)))]
+        at, more = sorted(g.integers(0, n + 1, 2).tolist()), np.array_split(extra, 3)
+        longer = [w + extra, extra + w, [*w[: at[0]], *more[0], *w[at[0] : at[1]], *more[1], *w[at[1] :], *more[2]]][k % 3]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(longer))]
+    got = {r.doc_id: r.component_id for r in near_text.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = dict((i, shingles(t)) for i, t in rows)
+    alike = [k for k in range(0, 320, 2) if 100 * len(sets[k] & sets[k + 1]) >= 80 * len(sets[k] | sets[k + 1])]
+    assert len(alike) > 100 and [k for k in alike if got[k + 1] != k] == []
+    assert all(got[k + 1] == k + 1 for k in range(0, 320, 2) if k not in alike)
+
+
 def test_substring(docs, rows):
     got = substring.remove_repeats(docs).toPandas()
     assert len(got) == len(rows)

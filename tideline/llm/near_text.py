@@ -5,7 +5,9 @@ all shingles, two sets with Jaccard similarity t share a shingle among the first
 n - ceil(t n) + 1 of each, so a pair that shares none there is no pair. That
 holds for *any* order, so a pair has to pass under several before it is
 verified: under each it must share enough prefix shingles that, together with
-all that can follow the shorter prefix, the needed overlap is still possible.
+all that can follow a prefix, the needed overlap is still possible. What two
+sets share beyond the prefix that ends first lies in that set's remainder; which
+one that is, is not kept, so the larger remainder counts.
 """
 
 from __future__ import annotations
@@ -265,7 +267,7 @@ def _possible(shared: Column, percent: int) -> Column:
     """Whether ``shared`` prefix shingles still allow the overlap that a link needs."""
     prefix = lambda n: n - F.ceil(n * percent / 100) + 1
     na, nb = F.col("na"), F.col("nb")
-    left = F.least(na - prefix(na), nb - prefix(nb))
+    left = F.greatest(na - prefix(na), nb - prefix(nb))
     return (shared + left) * (100 + percent) >= percent * (na + nb)
 
 
