@@ -31,9 +31,9 @@ def by_id(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the certified cutoffs."""
+    """Documents that pass the base rules and the certified cutoffs, of all languages together where one has too few labels."""
     docs = by_id(docs)
-    judged = quality_rules.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    judged = quality_rules.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), pooled=True)
     return docs.join(judged.where("kept").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
 
 

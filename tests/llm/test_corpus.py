@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tideline.llm import components, host_reputation, mixing, near_vectors, packing, quality_model, shards
+from tideline.llm import components, host_reputation, mixing, near_vectors, packing, quality_model, quality_rules, shards
 
 
 def test_components(spark):
@@ -227,6 +227,18 @@ def test_stages_of_odd_rows(spark, docs, none):
     assert corpus_pipeline.STAGES[-1][1](spark, none, sf).count() == 0
 
 
+def test_junk_goes_in_every_language(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    base = quality_rules.judge(docs, labels).where("NOT base_failed").select("doc_id")
+    kept = corpus_pipeline.quality(spark, docs, sf).select("doc_id", F.lit(1).alias("kept"))
+    got = base.join(docs, "doc_id").join(labels, "doc_id").join(kept, "doc_id", "left").groupBy("lang", "quality").agg(F.count("*").alias("n"), F.count("kept").alias("kept")).collect()
+    print(sorted(map(tuple, got)))
+    junk, clean = ({r.lang: r for r in got if r.quality == q} for q in (0, 1))
+    assert len(junk) == 4 and all(r.kept < 0.2 * r.n for r in junk.values())
+    assert all(r.kept >= 0.99 * r.n for r in clean.values())
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -6,7 +6,9 @@ rejects "more than ``alpha`` of the clean documents would be lost". The share
 ``alpha`` is split over the rules, so that together they lose at most ``alpha``
 of a stratum; the error level ``delta`` is split over all strata and rules
 (Bonferroni). Along the grid a rule's losses only grow as its cutoff tightens, so
-testing from the loosest cutoff on needs no further correction.
+testing from the loosest cutoff on needs no further correction. With ``pooled``,
+strata with too few labels take the cutoffs of all strata together, which are
+tested as one more stratum; the loss is then bounded over all strata together.
 """
 
 from __future__ import annotations
@@ -79,45 +81,54 @@ def most_losses(n: Column, alpha: float, level: Column) -> Column:
     )
 
 
-def certify(measured: DataFrame, labels: DataFrame, label_id: str, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, rule, cutoff) of every rule that can be certified; a document over a cutoff is rejected.
+def certify(measured: DataFrame, labels: DataFrame, label_id: str, alpha: float = ALPHA, delta: float = DELTA, pooled: bool = False) -> DataFrame:
+    """(pooled, stratum, rule, cutoff) of every rule that can be certified; a document over a cutoff is rejected.
 
     Clean documents are those whose labels are all 1; what already fails the base
-    rules is no loss of the method. A stratum with too few labels gets no cutoff.
+    rules is no loss of the method. A stratum with too few labels gets no cutoff;
+    with ``pooled``, rows of that mark and no stratum hold the cutoffs of all strata together.
     """
     clean = labels.where(F.col("quality").isNotNull()).groupBy(F.col(label_id).alias("id")).agg(F.min("quality").alias("q")).where("q = 1")
-    held = measured.where("NOT base_failed").join(clean, "id").select("stratum", *RULES)
-    long = held.select("stratum", F.expr(f"stack({len(RULES)}, " + ", ".join(f"'{r}', {r}" for r in RULES) + ") AS (rule, score)"))
-    # a cutoff of step j/GRID loses what scores above it, so losses add up from the last step down
-    steps = long.groupBy("stratum", "rule", F.least(F.lit(GRID), F.ceil(F.col("score") * GRID)).alias("step")).agg(F.count("*").alias("n"))
-    tables = steps.groupBy("stratum", "rule").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("step", "n"))).alias("n_at"))
+    held = measured.where("NOT base_failed").join(clean, "id").select(F.lit(False).alias("pooled"), "stratum", *RULES)
     strata = held.select(F.count_distinct(F.coalesce(F.col("stratum"), F.lit("\0")))).first()[0]
-    level = F.lit(delta / max(1, strata * len(RULES)))
+    if pooled:
+        held = held.union(held.withColumns({"pooled": F.lit(True), "stratum": F.lit(None).cast("string")}))
+    long = held.select("pooled", "stratum", F.expr(f"stack({len(RULES)}, " + ", ".join(f"'{r}', {r}" for r in RULES) + ") AS (rule, score)"))
+    # a cutoff of step j/GRID loses what scores above it, so losses add up from the last step down
+    steps = long.groupBy("pooled", "stratum", "rule", F.least(F.lit(GRID), F.ceil(F.col("score") * GRID)).alias("step")).agg(F.count("*").alias("n"))
+    tables = steps.groupBy("pooled", "stratum", "rule").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("step", "n"))).alias("n_at"))
+    level = F.lit(delta / max(1, (strata + pooled) * len(RULES)))
     tables = tables.withColumn("most", most_losses(F.col("total"), alpha / len(RULES), level)).where("most >= 0")
     lost = f"aggregate(sequence(j + 1, {GRID + 1}), 0L, (a, t) -> a + coalesce(n_at[CAST(t AS BIGINT)], 0L))"
     chosen = tables.withColumn("j", F.expr(f"array_min(filter(sequence(1, {GRID}), j -> {lost} <= most))"))
-    return chosen.select("stratum", "rule", (F.col("j") / GRID).alias("cutoff"))
+    return chosen.select("pooled", "stratum", "rule", (F.col("j") / GRID).alias("cutoff"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA, pooled: bool = False) -> DataFrame:
     """Counts, scores, ``base_failed`` and ``kept`` of every row, under id_col.
 
     Null and empty texts have no words and fail the base rules. A null stratum is
     a stratum of its own. Rows with null or repeated ids keep their rows; labels
     that are null are not used, and an id with labels of both kinds is not clean.
-    Every certified stratum needs some hundred labels at least, so the cutoffs
-    that are gathered on the driver are bounded by the labels' number over that.
+    At the defaults and four strata a stratum needs 1,642 clean labels that pass
+    the base rules; with fewer, only the base rules hold in it, or with ``pooled``
+    the cutoffs of all strata together, if these have enough. So the cutoffs that
+    are gathered on the driver are bounded by the labels' number over that.
     """
     measured = written(measure(docs, id_col, text_col, stratum_col), "measured")
-    cutoffs = certify(measured, labels, id_col, alpha, delta).collect()
+    cutoffs = certify(measured, labels, id_col, alpha, delta, pooled).collect()
     over = F.lit(False)
     for rule in RULES:
-        own = [(r.stratum, r.cutoff) for r in cutoffs if r.rule == rule]
+        own = [(r.stratum, r.cutoff) for r in cutoffs if r.rule == rule and not r.pooled]
         known = [F.lit(x) for s, c in own if s is not None for x in (s, c)]
         for none in [c for s, c in own if s is None]:
             over = over | (F.col("stratum").isNull() & (F.col(rule) > none))
         if known:
             over = over | F.coalesce(F.col(rule) > F.create_map(*known)[F.col("stratum")], F.lit(False))
+        for cutoff in [r.cutoff for r in cutoffs if r.rule == rule and r.pooled]:
+            named = [s for s, _ in own if s is not None]
+            has = F.coalesce(F.col("stratum").isin(named), F.lit(any(s is None for s, _ in own)))
+            over = over | (~has & (F.col(rule) > cutoff))
     return measured.withColumn("kept", ~F.col("base_failed") & ~over).withColumnRenamed("id", id_col)
 
 
