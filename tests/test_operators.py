@@ -182,3 +182,23 @@ def test_trigger_policy_does_not_depend_on_batches():
     first, state = streams.decide(t.iloc[:123], None)
     rest, _ = streams.decide(t.iloc[123:], state)
     assert whole == first + rest and whole[0][2] == "first" and max(pd.Series([x[0].date() for x in whole]).value_counts()) <= 6
+
+
+def test_rolling_baselines_of_all_horizons_and_days(spark):
+    from tideline.plans import catalog
+    from tideline.sources.tables import bars_daily
+
+    sf = "/root/testdata/sf0.001"
+    labels = asof.forward_return(bars_daily(spark, sf)).toPandas()
+    got = catalog.QUERIES["rolling_baselines_all"](spark, sf).toPandas().set_index(["symbol", "horizon", "day"])
+    assert len(got) == len(labels) > 0 and set(labels.horizon) == {7, 14, 30}
+    for (symbol, horizon), g in labels.groupby(["symbol", "horizon"]):
+        known = g.dropna(subset=["target_day", "target_return"]).sort_values(["target_day", "day"])
+        at, y = known.target_day.to_numpy(), known.target_return.to_numpy()
+        for d in g.day:
+            past, row = y[at < d], got.loc[(symbol, horizon, d)]
+            if not len(past):
+                assert math.isnan(row["mean"]) and math.isnan(row["rolling"])
+            else:
+                assert row["mean"] == pytest.approx(past.mean(), abs=2e-6) and row["rolling"] == pytest.approx(past[-126:].mean(), abs=2e-6)
+                assert row["majority"] == np.sign(np.sign(past).sum())
