@@ -202,3 +202,22 @@ def test_rolling_baselines_of_all_horizons_and_days(spark):
             else:
                 assert row["mean"] == pytest.approx(past.mean(), abs=2e-6) and row["rolling"] == pytest.approx(past[-126:].mean(), abs=2e-6)
                 assert row["majority"] == np.sign(np.sign(past).sum())
+
+
+def test_all_series_and_horizons(spark):
+    from tideline.plans import catalog
+    from tideline.sources.tables import bars_daily
+
+    sf = "/root/testdata/sf0.001"
+    q = {n: catalog.QUERIES[n](spark, sf) for n in ("macro_asof", "macro_asof_all", "macro_change_ratio_all", "feature_table", "feature_table_all", "block_bootstrap")}
+    seen = q["macro_asof_all"]
+    assert seen.select("series").distinct().count() == q["macro_change_ratio_all"].select("series").distinct().count() == 5
+    assert seen.count() == 5 * q["macro_asof"].count() and q["macro_asof"].exceptAll(seen).count() == 0
+    wide, narrow = q["feature_table_all"], q["feature_table"]
+    assert sum(c.endswith("_level") for c in wide.columns) == 5 and wide.count() > 0
+    assert wide.select(narrow.columns).exceptAll(narrow).count() == 0
+    got = {(r.symbol, r.horizon) for r in q["block_bootstrap"].collect()}
+    assert {h for _, h in got} == {7, 14, 30} and len(got) == 3 * len({s for s, _ in got})
+    days = bars_daily(spark, sf).agg(F.min("day")).first()[0]
+    macro = spark.createDataFrame([(f"s{i:03}", days - dt.timedelta(days=200), 1.0 + i) for i in range(70)], "series string, day date, value double")
+    assert sum(c.endswith("_level") for c in features.feature_table(bars_daily(spark, sf), macro).columns) == 70

@@ -108,18 +108,18 @@ def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return r.groupBy(*by).agg(F.corr(x, y).alias("pearson"), F.corr(f"rank_{x}", f"rank_{y}").alias("spearman"))
 
 
-def block_bootstrap(rows: DataFrame, value: str, block: int = 30, reps: int = 200, seed: int = 42) -> DataFrame:
-    """Mean of ``value`` and the 2.5 and 97.5 % points of its moving-block bootstrap.
+def block_bootstrap(rows: DataFrame, value: str, block: int = 30, reps: int = 200, seed: int = 42, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Mean of ``value`` and the 2.5 and 97.5 % points of its moving-block bootstrap, for each of ``by``.
 
     A replicate is a row of random block starts; block sums come from prefix sums,
     so a replicate joins blocks and not rows: reps * n / block pairs of sums.
     """
-    w = Window.partitionBy("symbol").orderBy("day")
-    r = rows.where(F.col(value).isNotNull()).select("symbol", F.row_number().over(w).alias("i"), F.col(value).alias("v"), F.count("*").over(Window.partitionBy("symbol")).alias("n"))
-    sums = r.select("symbol", "i", "n", F.sum("v").over(Window.partitionBy("symbol").orderBy("i").rowsBetween(0, block - 1)).alias("s")).where(F.col("i") <= F.col("n") - block + 1)
-    size = r.groupBy("symbol").agg(F.first("n").alias("n"), F.avg("v").alias("mean"))
+    w = Window.partitionBy(*by).orderBy("day")
+    r = rows.where(F.col(value).isNotNull()).select(*by, F.row_number().over(w).alias("i"), F.col(value).alias("v"), F.count("*").over(Window.partitionBy(*by)).alias("n"))
+    sums = r.select(*by, "i", "n", F.sum("v").over(Window.partitionBy(*by).orderBy("i").rowsBetween(0, block - 1)).alias("s")).where(F.col("i") <= F.col("n") - block + 1)
+    size = r.groupBy(*by).agg(F.first("n").alias("n"), F.avg("v").alias("mean"))
     draws = size.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("n") / block))))
-    draws = draws.withColumn("i", (F.pmod(F.xxhash64("symbol", "rep", "k", F.lit(seed)), F.col("n") - block + 1) + 1).cast("int"))
-    means = draws.join(sums.select("symbol", "i", "s"), ["symbol", "i"]).groupBy("symbol", "rep").agg((F.sum("s") / (F.count("*") * block)).alias("m"))
-    ci = means.groupBy("symbol").agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
-    return size.select("symbol", "n", "mean").join(ci, "symbol")
+    draws = draws.withColumn("i", (F.pmod(F.xxhash64(*by, "rep", "k", F.lit(seed)), F.col("n") - block + 1) + 1).cast("int"))
+    means = draws.join(sums.select(*by, "i", "s"), [*by, "i"]).groupBy(*by, "rep").agg((F.sum("s") / (F.count("*") * block)).alias("m"))
+    ci = means.groupBy(*by).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    return size.select(*by, "n", "mean").join(ci, list(by))

@@ -16,11 +16,11 @@ def feature_table(bars: DataFrame, macro: DataFrame, horizons: tuple[int, ...] =
 
     Bar windows count bars, macro look-backs calendar days. Days that lack any
     feature are left out; the tail without labels stays. ``macro`` is (series,
-    day, value); each of its series (64 at most, as columns) becomes a level and a change.
+    day, value); each of its series becomes two columns, a level and a change.
     """
     out = gold_features(bars)
     days = bars.select("day").distinct()
-    names = [r.series for r in macro.select("series").distinct().orderBy("series").limit(64).collect()]
+    names = [r.series for r in macro.select("series").distinct().orderBy("series").collect()]
     probes = days.withColumn("series", F.explode(F.array(*map(F.lit, names))))
     ch = asof.change(probes, macro, ["series"], "day", "value", 90)
     wide = ch.groupBy("day").pivot("series", names).agg(F.first("value").alias("level"), F.first("ratio").alias("change"))

@@ -119,9 +119,9 @@ def largest_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pairs(spark, sf_dir).where("horizon = 7")
-    d = p.select("symbol", "day", (F.abs(F.col("pred") - F.col("actual")) - F.abs("actual")).alias("gain"))
-    return all_rounded(ops.block_bootstrap(d, "gain"))
+    p = pairs(spark, sf_dir)
+    d = p.select("symbol", "horizon", "day", (F.abs(F.col("pred") - F.col("actual")) - F.abs("actual")).alias("gain"))
+    return all_rounded(ops.block_bootstrap(d, "gain", by=("symbol", "horizon")))
 
 
 _FIRST = """first_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY instrument, version, horizon, origin ORDER BY issued_at, id) AS k FROM forecasts) WHERE k = 1),

@@ -9,7 +9,7 @@ from ..operators import asof
 from ..operators import features as ops
 from ..sources.tables import BARS, MACRO, bars_daily, macro_observations, table
 from .bars import rounded
-from .joins import LABELS
+from .joins import LABELS, _first
 from .registry import SQL, query
 from .windows import all_rounded
 
@@ -40,6 +40,13 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(df, *[c for c, t in df.dtypes if t == "double" and c != "close" and not c.endswith("level")], digits=6), "close")
 
 
+@query()
+def feature_table_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With all macro series, where ``feature_table`` and its SQL take two."""
+    df = ops.feature_table(bars_daily(spark, sf_dir), _first(spark, sf_dir))
+    return rounded(rounded(df, *[c for c, t in df.dtypes if t == "double" and c != "close" and not c.endswith("level")], digits=6), "close")
+
+
 @query(
     f"""WITH {BARS}, b AS (SELECT symbol, day, high, floor(dayofyear(day) / 400) AS flat, CASE WHEN symbol = 'A' THEN NULL ELSE 1 END AS gap, row_number() OVER (PARTITION BY symbol ORDER BY day DESC) AS r FROM bars)
 SELECT symbol, f AS feature, CASE f WHEN 'high' THEN count(high) = 16 AND min(high) = max(high) WHEN 'flat' THEN count(flat) = 16 AND min(flat) = max(flat) ELSE count(gap) = 16 AND coalesce(min(gap) = max(gap), false) END AS frozen

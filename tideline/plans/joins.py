@@ -12,6 +12,7 @@ from .registry import query
 
 SERIES = "1-URGENT"
 _FIRST = "first AS (SELECT series, obs_date AS day, value FROM macro WHERE vintage = 'initial')"
+_ALL_DAYS = "days AS (SELECT DISTINCT b.day, s.series FROM bars b, (SELECT DISTINCT series FROM first) s)"
 _DAYS = f"days AS (SELECT DISTINCT day, '{SERIES}' AS series FROM bars)"
 
 
@@ -19,6 +20,10 @@ def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars_daily(spark, sf_dir).select("day").distinct().withColumn("series", F.lit(SERIES))
 
 
+def _all_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars_daily(spark, sf_dir).select("day").distinct().crossJoin(_first(spark, sf_dir).select("series").distinct())
+
+
 def _first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return macro_observations(spark, sf_dir).where("vintage = 'initial'").select("series", F.col("obs_date").alias("day"), "value")
 
@@ -37,6 +42,22 @@ def macro_change_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(asof.change(_days(spark, sf_dir), _first(spark, sf_dir), ["series"], "day", "value", 90), "difference", "ratio", digits=6)
 
 
+@query(f"WITH {BARS}, {MACRO}, {_FIRST}, {_ALL_DAYS} SELECT d.series, d.day, f.value, f.day AS seen FROM days d ASOF LEFT JOIN first f ON d.series = f.series AND d.day >= f.day")
+def macro_asof_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All series, where ``macro_asof`` and its SQL probe one."""
+    return asof.backward(_all_days(spark, sf_dir), _first(spark, sf_dir), ["series"], "day", "value")
+
+
+@query(
+    f"""WITH {BARS}, {MACRO}, {_FIRST}, {_ALL_DAYS}, n AS (SELECT d.series, d.day, f.value FROM days d ASOF LEFT JOIN first f ON d.series = f.series AND d.day >= f.day),
+b AS (SELECT d.series, d.day, f.value AS before FROM days d ASOF LEFT JOIN first f ON d.series = f.series AND d.day - 90 >= f.day)
+SELECT n.series, n.day, value, before, round(value - before, 6) AS difference, round(value / nullif(before, 0) - 1, 6) AS ratio FROM n JOIN b ON n.series = b.series AND n.day = b.day"""
+)
+def macro_change_ratio_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All series, where ``macro_change_ratio`` and its SQL probe one."""
+    return rounded(asof.change(_all_days(spark, sf_dir), _first(spark, sf_dir), ["series"], "day", "value", 90), "difference", "ratio", digits=6)
+
+
 @query(
     f"""WITH {MACRO}, p AS (SELECT DISTINCT series, CAST(obs_date + 100 AS TIMESTAMP) AS known_at, obs_date + 60 AS cutoff FROM macro),
 r AS (SELECT p.*, m.obs_date, m.available_at, m.value, row_number() OVER (PARTITION BY p.series, p.known_at, p.cutoff ORDER BY m.obs_date DESC, m.available_at DESC) AS k
