@@ -221,3 +221,20 @@ def test_all_series_and_horizons(spark):
     days = bars_daily(spark, sf).agg(F.min("day")).first()[0]
     macro = spark.createDataFrame([(f"s{i:03}", days - dt.timedelta(days=200), 1.0 + i) for i in range(70)], "series string, day date, value double")
     assert sum(c.endswith("_level") for c in features.feature_table(bars_daily(spark, sf), macro).columns) == 70
+
+
+def test_networks_walk_forward(spark):
+    from tideline.plans import catalog, evaluation
+
+    sf = "/root/testdata/sf0.01"
+    d = evaluation._design(spark, sf)
+    total = {(r.symbol, r.horizon): r.n for r in d.groupBy("symbol", "horizon").agg(F.count("*").alias("n")).collect()}
+    got = {(r.symbol, r.horizon): r for r in catalog.QUERIES["mlp_walk_forward"](spark, sf).collect()}
+    assert set(got) == set(total) and any(r.folds == 3 for r in got.values())
+    for key, r in got.items():
+        n = total[key]
+        if r.folds == 3:
+            assert r.n == n - math.floor(n * 0.55) and 0 <= r.weight <= 1 and 0 <= r.covered_50 <= r.covered_90 <= 1
+    # a group with few rows keeps its row
+    x = pd.DataFrame({"symbol": ["a"], "horizon": [7], "fold": [2], "part": ["test"], "day": [day(1)], "target_day": [day(9)], "actual": [0.1], "x_volatility_20": [0.2]})
+    assert evaluation._mlp(x).n.tolist() == [0]

@@ -68,8 +68,8 @@ def manifest(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum(part).alias("checksum"))
 
 
-def walk_forward(rows: DataFrame, folds: tuple[float, ...] = (0.55, 0.70, 0.85), calibration: float = 0.2, least: int = 30) -> DataFrame:
-    """(fold, symbol, horizon, part, n, first, last): purged expanding folds of labelled rows.
+def fold_rows(rows: DataFrame, folds: tuple[float, ...] = (0.55, 0.70, 0.85), calibration: float = 0.2, least: int = 30) -> DataFrame:
+    """(symbol, horizon, fold, day, target_day, part): the rows of purged expanding folds of labelled rows.
 
     A fold's test rows start at a share of the rows. What is trained on has a
     target that matured before the test starts; the last part of the training
@@ -87,7 +87,12 @@ def walk_forward(rows: DataFrame, folds: tuple[float, ...] = (0.55, 0.70, 0.85),
     f = f.withColumn("in_tail", F.col("usable") & (F.col("k") > F.col("m") - F.col("tail")))
     f = f.withColumn("tail_day", F.min(F.when(F.col("in_tail"), F.col("day"))).over(g))
     part = F.when((F.col("i") >= F.col("start")) & (F.col("i") < F.col("stop")), "test").when(F.col("in_tail"), "calibrate").when(F.col("usable") & (F.col("target_day") < F.col("tail_day")), "train").when(F.col("i") < F.col("start"), "purged")
-    f = f.withColumn("part", part).where("part IS NOT NULL")
+    return f.withColumn("part", part).where("part IS NOT NULL").select("symbol", "horizon", "fold", "day", "target_day", "part")
+
+
+def walk_forward(rows: DataFrame, folds: tuple[float, ...] = (0.55, 0.70, 0.85), calibration: float = 0.2, least: int = 30) -> DataFrame:
+    """(fold, symbol, horizon, part, n, first, last) of ``fold_rows``."""
+    f = fold_rows(rows, folds, calibration, least)
     return f.groupBy("symbol", "horizon", "fold", "part").agg(F.count("*").alias("n"), F.min("day").alias("first"), F.max("day").alias("last"))
 
 

@@ -191,31 +191,57 @@ def adaptive_conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_rounded(pairs(spark, sf_dir).groupBy("symbol", "horizon").applyInPandas(_adaptive, "symbol string, horizon int, n long, covered double, last_alpha double"))
 
 
-def _mlp(rows: pd.DataFrame) -> pd.DataFrame:
-    """Walk-forward error of a small tanh network (3 seeds, averaged) on one symbol and horizon, against the zero forecast."""
-    rows = rows.sort_values("day", ignore_index=True)
-    x = rows[[c for c in rows.columns if c.startswith("x_")]].to_numpy()
-    y = rows["actual"].to_numpy()
-    cut = int(len(rows) * 0.7)
-    purged = rows["target_day"].iloc[:cut].to_numpy() < rows["day"].iloc[cut] if cut < len(rows) else np.zeros(cut, bool)
-    if purged.sum() < 100:
-        return pd.DataFrame(columns=["symbol", "horizon", "n", "mae", "mae_zero"])
-    mean, sd = x[:cut][purged].mean(0), x[:cut][purged].std(0)
-    z = np.clip((x - mean) / np.where(sd < 1e-9, 1, sd), -6, 6)
-    a, t = z[:cut][purged], y[:cut][purged]
-    scale = t.std() or 1.0
+LEVELS = (50, 70, 80, 90)
+_FOLD = "symbol string, horizon int, fold int, n long, weight double, error double, raw_error double, zero_error double, " + ", ".join(f"width_{k} double, covered_{k} double" for k in LEVELS)
+
+
+def _fit_predict(a: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Mean forecast for ``x`` of small tanh networks (3 seeds), fitted and scaled on ``a`` and ``y`` alone."""
+    mean, sd = a.mean(0), a.std(0)
+    a, z = (np.clip((v - mean) / np.where(sd < 1e-9, 1, sd), -6, 6) for v in (a, x))
+    scale = y.std() or 1.0
     predictions = []
     for seed in (17, 42, 91):
         g = np.random.default_rng(seed)
         w1, b1, w2, b2 = g.normal(0, 0.3, (a.shape[1], 8)), np.zeros(8), g.normal(0, 0.3, 8), 0.0
         for _ in range(300):
             h = np.tanh(a @ w1 + b1)
-            e = (h @ w2 + b2 - t / scale) / len(t)
+            e = (h @ w2 + b2 - y / scale) / len(y)
             d = np.outer(e, w2) * (1 - h * h)
             w2, b2, w1, b1 = w2 - 0.5 * (h.T @ e + 1e-4 * w2), b2 - 0.5 * e.sum(), w1 - 0.5 * (a.T @ d + 1e-4 * w1), b1 - 0.5 * d.sum(0)
-        predictions.append((np.tanh(z[cut:] @ w1 + b1) @ w2 + b2) * scale)
-    p = np.mean(predictions, axis=0)
-    return pd.DataFrame({"symbol": rows["symbol"].iloc[:1], "horizon": rows["horizon"].iloc[:1], "n": [len(p)], "mae": [float(np.abs(p - y[cut:]).mean())], "mae_zero": [float(np.abs(y[cut:]).mean())]})
+        predictions.append((np.tanh(z @ w1 + b1) @ w2 + b2) * scale)
+    return np.mean(predictions, axis=0)
+
+
+def _mlp(rows: pd.DataFrame) -> pd.DataFrame:
+    """Sums over one fold's test rows: fitted on its training rows, weighted on the first 60 % of its calibration rows, with widths from the others.
+
+    A fold with under 100 training rows, or under 10 for the weight or the widths, tests nothing (n is 0).
+    """
+    rows = rows.sort_values("day", ignore_index=True)
+    train, cal, test = (rows[rows["part"] == p] for p in ("train", "calibrate", "test"))
+    cut = max(1, int(len(cal) * 0.6))
+    weigh, widen = cal[:cut], cal[cut:]
+    if len(widen):
+        weigh = weigh[weigh["target_day"] < widen["day"].iloc[0]]
+    out = {"symbol": rows["symbol"].iloc[:1], "horizon": rows["horizon"].iloc[:1], "fold": rows["fold"].iloc[:1]}
+    names = [c for c in rows.columns if c.startswith("x_")]
+    if len(train) < 100 or len(weigh) < 10 or len(widen) < 10 or not len(test):
+        return pd.DataFrame(out | {"n": [0]}).reindex(columns=[c.split()[0] for c in _FOLD.split(", ")])
+    p = _fit_predict(train[names].to_numpy(), train["actual"].to_numpy(), pd.concat([weigh, widen, test])[names].to_numpy())
+    pw, pi, pt = np.split(p, [len(weigh), len(weigh) + len(widen)])
+    yw, yi, yt = (d["actual"].to_numpy() for d in (weigh, widen, test))
+    centred = pw - pw.mean()
+    slope = float(np.clip(centred @ yw / (centred @ centred), 0, 1)) if centred @ centred >= 1e-18 else 0.0
+    weight = slope if np.mean((slope * pw - yw) ** 2) < np.mean(yw**2) else 0.0
+    usual = max(float(train["x_volatility_20"].median()), 1e-9)
+    si, st = (np.clip(d["x_volatility_20"].to_numpy() / usual, 0.75, 2.0) for d in (widen, test))
+    missed = np.abs(yt - weight * pt)
+    out |= {"n": [len(test)], "weight": [weight * len(test)], "error": [missed.sum()], "raw_error": [np.abs(yt - pt).sum()], "zero_error": [np.abs(yt).sum()]}
+    for k in LEVELS:
+        width = np.quantile(np.abs(yi - weight * pi) / si, k / 100) * st
+        out |= {f"width_{k}": [width.sum()], f"covered_{k}": [float((missed <= width).sum())]}
+    return pd.DataFrame(out)
 
 
 def _design(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,8 +256,19 @@ def _design(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def mlp_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One small network for each symbol and horizon: independent fits that Spark deals out."""
-    return all_rounded(_design(spark, sf_dir).groupBy("symbol", "horizon").applyInPandas(_mlp, "symbol string, horizon int, n long, mae double, mae_zero double"))
+    """Small networks, fitted anew on each purged fold of each symbol and horizon: independent fits that Spark deals out.
+
+    Means over the test rows of all folds that could be fitted; ``folds`` counts these.
+    """
+    from ..operators.features import fold_rows
+
+    d = _design(spark, sf_dir)
+    rows = fold_rows(d).drop("target_day").join(d, ["symbol", "horizon", "day"])
+    f = rows.groupBy("symbol", "horizon", "fold").applyInPandas(_mlp, _FOLD)
+    n = F.nullif(F.sum("n"), F.lit(0))
+    means = {"weight": "weight", "mae": "error", "mae_raw": "raw_error", "mae_zero": "zero_error"} | {f"{c}_{k}": f"{c}_{k}" for k in LEVELS for c in ("width", "covered")}
+    g = f.groupBy("symbol", "horizon").agg(F.count_if(F.col("n") > 0).alias("folds"), F.sum("n").alias("n"), *((F.sum(c) / n).alias(name) for name, c in means.items()))
+    return all_rounded(g)
 
 
 @query()
