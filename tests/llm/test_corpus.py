@@ -127,6 +127,13 @@ def test_compaction_leaves_no_full_tier(spark, tmp_path):
     assert table.read().count() == 1000
 
 
+def test_own_folder_where_none_is_set(spark):
+    from tideline.llm import storage
+
+    assert not spark.conf.get("spark.checkpoint.dir", None)
+    assert storage.written(spark.range(5), "five").count() == 5 and storage.shared_dir(spark) == storage.shared_dir(spark)
+
+
 def test_shards_of_nothing(spark, none, tmp_path):
     table = shards.arrive(spark, none, str(tmp_path / "t"), F.lit(0), 1)
     assert table.version() == 0 and table.read().count() == 0

@@ -149,6 +149,19 @@ def test_token_counts(docs, rows):
         assert counts[word] == len(t.encode(word, add_special_tokens=False).ids)
 
 
+def test_every_character(spark):
+    """All characters that can be letters, numbers or spaces in any version, and some of the others, where classes matter."""
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x40000 or c % 97 == 0)]
+    texts = [f"X'v{chr(c)}e X1{chr(c)}X 've {chr(c)}  {chr(c)}!" for c in points]
+    got = bpe.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).toPandas().sort_values("doc_id").n_tokens
+    want = [len(e.ids) for e in tokenizers.Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [hex(points[i]) for i in np.flatnonzero(got.to_numpy() != np.array(want))] == []
+
+
 def test_special_strings(spark):
     tokenizers = pytest.importorskip("tokenizers")
     import public_tokenizers

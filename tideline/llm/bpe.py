@@ -4,23 +4,30 @@ A pretoken starts as one symbol for each byte. Its symbols form a linked list,
 and a heap holds the adjacent pairs that may merge; the pair of lowest rank,
 leftmost first, is merged again and again. Each merge takes one symbol away, so
 the count is the number of bytes minus the number of merges.
+
+Which characters are letters and numbers depends on the Unicode version, and the
+library that a vocabulary belongs to has its own. Its answers are asked for once,
+on the driver, where they can differ from those of ``regex``.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
-from functools import partial
+from collections.abc import Callable, Iterator
+from functools import cache, partial
 
 import pyarrow as pa
 import regex
+import tokenizers
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: how byte-level vocabularies of this family cut a text into pretokens.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+#: Planes above this one hold no letters, numbers or spaces in any version.
+LAST_PLANE = 0x3FFFF
 #: Pretokens whose count a task remembers, and how long they may be.
 REMEMBERED, SHORT = 1 << 19, 64
 
@@ -43,6 +50,51 @@ def load(path: str) -> tuple[dict[tuple[bytes, bytes], int], list[str]]:
     return ranks, [t["content"] for t in told["added_tokens"]]
 
 
+def _probed(vocabulary: str, lead: str, points: list[int]) -> set[int]:
+    """The code points that the library keeps in one pretoken with ``lead`` before them."""
+    cut = tokenizers.Tokenizer.from_file(vocabulary).pre_tokenizer.pre_tokenize_str
+    together: set[int] = set()
+    for k in range(0, len(points), 1 << 15):
+        part = points[k : k + (1 << 15)]
+        pieces = cut("".join(f"{lead}{chr(c)}\n" for c in part))
+        together |= {part[start // 3] for _, (start, end) in pieces if start % 3 == 0 and end - start == 2}
+    return together
+
+
+@cache
+def departures(vocabulary: str) -> tuple[str, str, str]:
+    """Characters that the library takes for letters, for numbers, and for neither, other than ``regex`` does.
+
+    Asked for are those that are letters or numbers to ``regex`` (the library may
+    be older) and those that are unassigned to it (or newer).
+    """
+    every = "".join(map(chr, (c for c in range(LAST_PLANE + 1) if not 0xD800 <= c < 0xE000)))
+    letter, number, unknown = (set(map(ord, regex.findall(p, every))) for p in (r"\p{L}", r"\p{N}", r"\p{Cn}"))
+    asked = sorted(letter | number | unknown)
+    letters, numbers = _probed(vocabulary, "a", asked), _probed(vocabulary, "1", asked)
+    text = lambda points: "".join(map(chr, sorted(points)))
+    return text(letters - letter), text(numbers - number), text((letter | number) - letters - numbers)
+
+
+def pretokens(vocabulary: str) -> tuple[str, str, str]:
+    """The usual pattern, the characters that it places in another class than the library, and the pattern for texts with these."""
+    letters, numbers, others = departures(vocabulary)
+    moved = letters + numbers + others
+    if not moved:
+        return PRETOKEN, "", PRETOKEN
+
+    def runs(text: str) -> str:
+        """The characters of a set in brackets, as ranges."""
+        points = set(map(ord, text))
+        starts, ends = ([c for c in sorted(points) if c + step not in points] for step in (-1, 1))
+        return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in zip(starts, ends, strict=True))
+
+    own = lambda p, extra: rf"[[\p{{{p}}}{'||[' + runs(extra) + ']' if extra else ''}]--[{runs(''.join(c for c in moved if c not in set(extra)))}]]"
+    letter, number = own("L", letters), own("N", numbers)
+    exact = rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?[^\p{{White_Space}}{letter}{number}]+|\p{{White_Space}}+(?!\P{{White_Space}})|\p{{White_Space}}+"
+    return PRETOKEN, moved, exact
+
+
 def count_merged(word: bytes, ranks: dict[tuple[bytes, bytes], int]) -> int:
     """Symbols left of one pretoken."""
     left = len(word)
@@ -84,12 +136,20 @@ class Counts(dict):
         return n
 
 
-def _count(batches: Iterator[pa.RecordBatch], ranks: Broadcast, special: list[str]) -> Iterator[pa.RecordBatch]:
-    counts, find = Counts(ranks.value), regex.compile(PRETOKEN).finditer
+def _count(batches: Iterator[pa.RecordBatch], ranks: Broadcast, special: list[str], patterns: tuple[str, str, str]) -> Iterator[pa.RecordBatch]:
+    counts = Counts(ranks.value)
+    usual, exact, moved = regex.compile(patterns[0]).finditer, None, frozenset(patterns[1])
     cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
 
+    def finder(text: str) -> Callable:
+        nonlocal exact
+        if text.isascii() or moved.isdisjoint(text):
+            return usual
+        exact = exact or regex.compile(patterns[2]).finditer
+        return exact
+
     def tokens(text: str) -> int:
-        pieces = cut.split(text) if cut else [text]
+        pieces, find = cut.split(text) if cut else [text], finder(text)
         return len(pieces) - 1 + sum(counts[m.group()] for piece in pieces for m in find(piece))
 
     for batch in batches:
@@ -106,10 +166,11 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     Special strings inside a text count as one token each; none are added. Null
     and empty texts have 0 bytes and 0 tokens. Rows are independent: null,
     repeated and tied ids keep their rows, and other columns are not read. The
-    merge table, whose size is that of the vocabulary, is broadcast.
+    merge table, whose size is that of the vocabulary, is broadcast. Characters
+    are in the classes that the library gives them (see ``departures``).
     """
     ranks, special = load(vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(partial(_count, ranks=shared, special=special), f"id {kind}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(partial(_count, ranks=shared, special=special, patterns=pretokens(vocabulary)), f"id {kind}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)

@@ -9,19 +9,31 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@cache
+def _own_dir(application: str) -> str:
+    """A folder for an application whose session names none; only for a single machine."""
+    return tempfile.mkdtemp(prefix=f"spark-shared-{application}-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of its own where that is unset, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    """``spark.checkpoint.dir`` of the session; a folder of its own where that is unset, as in tests.
+
+    Without that setting a local folder serves, so a session on several machines
+    that sets none is refused.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if where:
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return _own_dir(spark.sparkContext.applicationId)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
