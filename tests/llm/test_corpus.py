@@ -1,5 +1,7 @@
 """Mixing, vectors, shards, packing, host reputation, the classifier, and the pipeline."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -110,7 +112,7 @@ def test_shards_round_trip(spark, docs, tmp_path):
     assert table.version() == before + 1 and table.read().count() == docs.count() + 5
     assert len(spark.read.schema(docs.schema).parquet(*(s.path for s in table.shards(before))).take(1)) == 1
     with pytest.raises(shards.Conflict):
-        table.commit(before + 1, [])
+        table.commit(before + 1, [], [])
     assert table.version() == before + 1
 
 
@@ -127,11 +129,45 @@ def test_compaction_leaves_no_full_tier(spark, tmp_path):
     assert table.read().count() == 1000
 
 
-def test_own_folder_where_none_is_set(spark):
+class Unset:
+    """A session that names no folder; ``master`` says whether it is on one machine."""
+
+    def __init__(self, master):
+        self.conf, self.sparkContext, self.master, self.applicationId = {}, self, master, "app-test"
+
+    def getConf(self):
+        return {}
+
+
+def test_own_folder_where_none_is_set():
     from tideline.llm import storage
 
-    assert not spark.conf.get("spark.checkpoint.dir", None)
-    assert storage.written(spark.range(5), "five").count() == 5 and storage.shared_dir(spark) == storage.shared_dir(spark)
+    assert os.path.isdir(storage.shared_dir(Unset("local[4]"))) and storage.shared_dir(Unset("local[4]")) == storage.shared_dir(Unset("local[4]"))
+    with pytest.raises(ValueError, match="shared|share"):
+        storage.shared_dir(Unset("spark://host:7077"))
+
+
+def test_shards_keep_columns_of_any_name(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"a{i}", f"s{i}", f"m{i}", None if i % 2 else i) for i in range(9)], "id long, Arrival string, _shard string, _metadata string, ARRIVAL_ int")
+    table = shards.arrive(spark, rows, str(tmp_path / "t"), F.col("id") % 3, 3)
+    assert sorted(map(tuple, table.read().select(rows.columns).collect())) == sorted(map(tuple, rows.collect()))
+    assert table.shard_column.lower() not in {c.lower() for c in rows.columns} and table.read().where(F.col(table.shard_column).isNull()).count() == 0
+
+
+def test_shards_of_two_writers(spark, tmp_path):
+    """Both appends stay; a merge whose shards another has merged is given up; old versions read as they were."""
+    rows = spark.range(40).toDF("id")
+    one, two = (shards.ShardTable(spark, str(tmp_path / "t"), rows.schema, fan_in=3) for _ in range(2))
+    for k in range(4):
+        (one, two)[k % 2].append(rows.where(F.col("id") % 4 == k).coalesce(1))
+    assert one.version() == two.version() == 4
+    small = one.small()
+    assert two.compact() == 1
+    assert not one.replace(small, rows)
+    assert sorted(r.id for r in two.read().collect()) == list(range(40)) and len(one.shards(4)) == 4
+    for k in range(shards.SNAPSHOT):
+        one.append(spark.range(100 + k, 101 + k).toDF("id").coalesce(1))
+    assert two.read().count() == 40 + shards.SNAPSHOT and len(one.shards(4)) == 4
 
 
 def test_shards_of_nothing(spark, none, tmp_path):

@@ -26,9 +26,9 @@ def op3_size_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(8))
     table = shards.arrive(spark, docs, storage.new_path(spark, "shards"), batch, 8)
-    listed = table.shards()
-    sizes = spark.createDataFrame([(s.name, s.bytes, table.tier(s)) for s in listed], "_shard string, shard_bytes long, tier int")
-    return table.read().select("doc_id", "_shard").join(sizes, "_shard").select("doc_id", F.col("_shard").alias("shard"), "shard_bytes", "tier", F.lit(table.version()).alias("version"))
+    sizes = spark.createDataFrame([(s.name, s.bytes, table.tier(s)) for s in table.shards()], "name string, shard_bytes long, tier int")
+    shard = F.col(table.shard_column)
+    return table.read().select("doc_id", shard.alias("name")).join(sizes, "name").select("doc_id", F.col("name").alias("shard"), "shard_bytes", "tier", F.lit(table.version()).alias("version"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
