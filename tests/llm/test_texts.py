@@ -127,12 +127,53 @@ def test_substring_keeps_identical_rows_alike(spark):
     assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (1, 0), (2, 30), (3, 90)] or sorted((r.doc_id, r.n_removed) for r in got)[:3] == [(1, 0), (1, 0), (2, 30)]
 
 
-def test_lowest_and_cut_points():
-    x = np.random.default_rng(1).integers(0, 1000, 300).astype(np.uint64)
+def removed_by_brute_force(texts):
+    """Texts left of (id, text) pairs with different ids."""
+    first, out = {}, {}
+    for i, t in sorted(texts):
+        w = WORD.findall(t)
+        for k in range(len(w) - 19):
+            first.setdefault(tuple(w[k : k + 20]), (i, k))
+    for i, t in texts:
+        w = WORD.findall(t)
+        gone = {j for k in range(len(w) - 19) if first[tuple(w[k : k + 20])] != (i, k) for j in range(k, k + 20)}
+        out[i] = " ".join(x for j, x in enumerate(w) if j not in gone)
+    return out
+
+
+@pytest.mark.parametrize("hot", [5, 20_000])
+def test_substring_of_hot_passages_and_stutter(spark, monkeypatch, hot):
+    """One passage in a third of all texts, texts of few words that repeat, and copies; with codes counted as hot, and not."""
+    monkeypatch.setattr(substring, "HOT", hot)
+    g = np.random.default_rng(8)
+    passage = [f"p{i}" for i in range(30)]
+    texts = []
+    for i in range(150):
+        own = [f"w{x}" for x in g.integers(0, 3 if i % 7 == 0 else 400, int(g.integers(0, 120)))]
+        at = int(g.integers(0, len(own) + 1))
+        texts.append((i, " ".join(own[:at] + passage[: int(g.integers(15, 31))] + own[at:] if i % 3 == 0 else own)))
+    texts += [(200 + i, " ".join(["a", "b"][: i % 2 + 1] * (11 + i))) for i in range(12)] + [(300 + i, texts[i * 9][1]) for i in range(12)]
+    got = substring.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.text for r in got} == removed_by_brute_force(texts)
+
+
+def test_layout_stays_where_nothing_goes(spark):
+    a, b = "x\n\ny  z", "\n".join(f"a{i}" for i in range(25))
+    got = substring.remove_repeats(spark.createDataFrame([(1, a), (2, b), (3, b + "  tail"), (4, None)], "doc_id long, text string"), layout=True).collect()
+    assert {r.doc_id: r.text for r in got} == {1: a, 2: b, 3: "tail", 4: None}
+
+
+def test_lowest_and_super_kmers():
+    g = np.random.default_rng(1)
+    x = g.integers(0, 1000, 300).astype(np.uint64)
     for width in (1, 2, 3, 17, 19):
         assert substring._lowest(x, width).tolist() == [x[i : i + width].min() for i in range(300 - width + 1)]
-    first, n, _ = substring.cut_points(np.zeros(5000, np.uint64), 20)
-    assert n.sum() == 4981 and n.max() <= substring.LONGEST and (first[1:] == first[:-1] + n[:-1]).all()
+    sizes = np.array([0, 5, 19, 20, 21, 300, 0, 64, 3])
+    codes = g.integers(0, 40, sizes.sum()).astype(np.uint64)
+    of, first, n, code = substring.super_kmers(codes, sizes, 20)
+    covered = sorted((o, f + i) for o, f, m in zip(of.tolist(), first.tolist(), n.tolist(), strict=True) for i in range(m))
+    assert covered == [(o, k) for o, size in enumerate(sizes.tolist()) for k in range(size - 19)] and n.max() <= 20 - substring.SEQUENCE + 1
+    assert len(substring.super_kmers(codes[:7], np.array([7]), 20)[0]) == 0 and len(code) == len(of)
 
 
 def test_token_counts(docs, rows):

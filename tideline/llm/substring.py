@@ -1,10 +1,16 @@
 """Removal of passages that occur earlier in the corpus, by super-k-mer partitioning.
 
 A window is ``width`` consecutive words. Its minimiser is the smallest code among
-its short word sequences; consecutive windows that share one are cut out as one
-packed string (a super-k-mer) and travel to the bucket of that minimiser. Equal
-windows have equal minimisers, so each bucket decides about its windows alone:
-it sorts them and keeps the earliest of each.
+its sequences of SEQUENCE words, the leftmost of equal ones; consecutive windows
+that share it are a super-k-mer. Equal windows have equal minimisers at the same
+place, so they lie in different super-k-mers of one code: a super-k-mer whose
+code occurs once in the corpus repeats nothing and stays where it is. The others
+are cut out as packed strings and travel to the bucket of their code, which sorts
+their windows and keeps the earliest of each.
+
+Codes are counted over all documents before strings are cut. A code that is
+counted to be hot (a passage that very many documents hold) makes no bucket: its
+windows travel one by one, each to the bucket of its own words.
 """
 
 from __future__ import annotations
@@ -14,18 +20,22 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import discard, written
 from .words import codes_of, mixed, split, windows
 
-#: Words in the sequences that minimisers are chosen from, and windows in a packed string at most.
-SEQUENCE, LONGEST = 2, 2048
+#: Words in the sequences that minimisers are chosen from.
+SEQUENCE = 8
+#: A code is hot with more super-k-mers than this, and than one in HOT_SHARE of all: so at most HOT_SHARE codes are.
+HOT, HOT_SHARE = 20_000, 100_000
 #: Recurring strings that a task remembers from batch to batch, and words that a bucket sorts at once.
 REMEMBERED, ROOM = 50_000, 1_000_000
 LAST = (1 << 63) - 1
 
+RUNS = "key long, doc long, row long, first int, n int"
 PACKED = "key long, doc long, row long, first int, n int, packed binary"
 SPANS = "doc long, row long, first int, stop int"
 
@@ -39,20 +49,40 @@ def _lowest(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:n], x[width - step : width - step + n])
 
 
-def cut_points(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each super-k-mer: its first window, its number of windows and its minimiser."""
-    low = _lowest(mixed(windows(codes, SEQUENCE), 7), width - SEQUENCE + 1)
-    first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    n = np.diff(np.append(first, len(low)))
-    if n.max() > LONGEST:
-        parts = -(-n // LONGEST)
-        inner = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        first, n = np.repeat(first, parts) + inner * LONGEST, np.minimum(np.repeat(n, parts) - inner * LONGEST, LONGEST)
-    return first, n, low[first]
+def super_kmers(codes: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the super-k-mers of several texts (one after the other in ``codes``): text, first window, number of windows, code."""
+    sequence = min(SEQUENCE, width)
+    none = np.zeros(0, np.int64)
+    if len(codes) < width:
+        return none, none, none, none.astype(np.uint64)
+    found = mixed(windows(codes, sequence), 7)
+    places = np.uint64(max(24, len(found).bit_length()))
+    ranked = (found >> places << places) | np.arange(len(found), dtype=np.uint64)
+    low = (_lowest(ranked, width - sequence + 1) & ((np.uint64(1) << places) - np.uint64(1))).astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
+    of = np.repeat(np.arange(len(sizes)), sizes)[: len(low)]
+    at = np.flatnonzero(np.arange(len(low)) - starts[of] <= sizes[of] - width)  # windows within one text
+    if not len(at):
+        return none, none, none, none.astype(np.uint64)
+    first = np.flatnonzero(np.concatenate([[True], (low[at[1:]] != low[at[:-1]]) | (of[at[1:]] != of[at[:-1]])]))
+    n = np.diff(np.append(first, len(at)))
+    first = at[first]
+    return of[first], first - starts[of[first]], n, found[low[first]]
+
+
+def _runs(batches: Iterator[pa.RecordBatch], width: int, rows: int = 400) -> Iterator[pa.RecordBatch]:
+    """The super-k-mers of a task's documents, without their words."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            part = batch.slice(k, rows)
+            lists = [split(t) for t in part.column("text").to_pylist()]
+            of, first, n, code = super_kmers(codes_of([w for words in lists for w in words]), np.array([len(x) for x in lists], np.int64), width)
+            doc, row = (part.column(c).to_numpy()[of] for c in ("doc", "row"))
+            yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(doc), pa.array(row), pa.array(first, pa.int32()), pa.array(n, pa.int32())], ["key", "doc", "row", "first", "n"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Super-k-mers of a task's documents, equal ones once.
+    """The packed strings of the super-k-mers asked for, equal ones of a task once; those of hot codes window by window.
 
     Only the earliest of equal strings is sent; all windows of the others start
     earlier elsewhere, so these leave as decided spans (without a string).
@@ -62,13 +92,17 @@ def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBat
         best: dict[bytes, tuple] = {}
         again: set[bytes] = set()
         spans: list[tuple] = []
-        for doc, row, text in zip(batch.column("doc").to_pylist(), batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for doc, row, text, runs in zip(*(batch.column(c).to_pylist() for c in ("doc", "row", "text", "runs")), strict=True):
             words = split(text)
-            if len(words) < width:
-                continue
-            for first, n, low in zip(*(x.tolist() for x in cut_points(codes_of(words), width)), strict=True):
+            wanted = []
+            for r in runs:
+                if r["hot"]:
+                    wanted += [(first, 1, None) for first in range(r["first"], r["first"] + r["n"])]
+                else:
+                    wanted.append((r["first"], r["n"], r["key"]))
+            for first, n, key in wanted:
                 packed = b" ".join(words[first : first + n + width - 1])
-                at = (doc, first, row, n, low)
+                at = (doc, first, row, n, xxhash.xxh3_64_intdigest(packed) - (1 << 63) if key is None else key)
                 was = best.get(packed)
                 if was is None:
                     was = known.get(packed)
@@ -92,10 +126,11 @@ def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBat
         rows = list(best.values())
         for part, strings in ((rows, list(best)), (spans, None)):
             for k in range(0, len(part), 20_000):
-                doc, first, row, n, low = (np.array(x) for x in zip(*part[k : k + 20_000], strict=True))
-                key = low.astype(np.uint64) if strings else mixed(doc.astype(np.int64).view(np.uint64)) + first.astype(np.uint64)
+                doc, first, row, n, key = (np.array(x, np.int64) for x in zip(*part[k : k + 20_000], strict=True))
+                if not strings:
+                    key = (mixed(doc.view(np.uint64)) + first.view(np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(doc, pa.int64()), pa.array(row, pa.int64()), pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(strings[k : k + 20_000], pa.binary()) if strings else pa.nulls(len(n), pa.binary())],
+                    [pa.array(key), pa.array(doc), pa.array(row), pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(strings[k : k + 20_000], pa.binary()) if strings else pa.nulls(len(n), pa.binary())],
                     ["key", "doc", "row", "first", "n", "packed"],
                 )
 
@@ -176,7 +211,7 @@ def _settle(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         yield judged(pa.Table.from_batches(held))
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _kept(batches: Iterator[pa.RecordBatch], layout: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, 1000):
             part = batch.slice(k, 1000)
@@ -189,17 +224,32 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     np.add.at(step, [x["first"] for x in spans], 1)
                     np.add.at(step, [x["stop"] for x in spans], -1)
                     words = [words[i] for i in np.flatnonzero(np.cumsum(step[:-1]) == 0).tolist()]
-                made.append((None if text is None else b" ".join(words).decode("utf-8", "surrogatepass"), n, n - len(words)))
+                same = text is None or layout and len(words) == n
+                made.append((text if same else b" ".join(words).decode("utf-8", "surrogatepass"), n, n - len(words)))
             kept, n, gone = zip(*made, strict=True)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], ["doc_id", "text", "n_words", "n_removed"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20) -> DataFrame:
+def _repeated(runs: DataFrame) -> DataFrame:
+    """The super-k-mers whose code occurs more than once, marked as hot where it occurs very often.
+
+    Hot codes are at most HOT_SHARE by their definition; they are broadcast, so
+    their rows are never dealt by code.
+    """
+    counts = written(runs.groupBy("key").agg(F.count("*").alias("times")).where("times > 1"), "codes")
+    often = max(HOT, runs.count() // HOT_SHARE)
+    hot = F.broadcast(counts.where(F.col("times") > often).select("key"))
+    cold = counts.where(F.col("times") <= often).select("key")
+    rest = runs.join(hot, "key", "left_anti").join(cold, "key")
+    return runs.join(hot, "key").withColumn("hot", F.lit(True)).unionByName(rest.withColumn("hot", F.lit(False)))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, layout: bool = False) -> DataFrame:
     """(id, text, n_words, n_removed): every text without the words of windows that start earlier.
 
     A window starts earlier in a smaller id, or in the same document at an
     earlier word. All windows are judged on the input. The kept words are joined
-    by single spaces.
+    by single spaces; with ``layout``, a text that loses no word stays as it is.
 
     Null texts stay null with no words; texts of fewer than ``width`` words are
     kept whole. Null ids come last. Different texts under one id are ordered by
@@ -211,8 +261,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
     row = F.xxhash64("text") if shared else F.lit(0).cast("long")
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), row.alias("row"), "text")
-    packed = keyed.select("doc", "row", "text").mapInArrow(partial(_cut, width=width), PACKED)
+    runs = written(keyed.select("doc", "row", "text").mapInArrow(partial(_runs, width=width), RUNS), "runs")
+    wanted = _repeated(runs).groupBy("doc", "row").agg(F.collect_set(F.struct("first", "n", "key", "hot")).alias("runs"))
+    wanted = written(wanted, "repeated")
+    discard(runs)
+    packed = keyed.select("doc", "row", "text").join(wanted, ["doc", "row"]).mapInArrow(partial(_cut, width=width), PACKED)
     spans = packed.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_settle, width=width), SPANS)
     spans = written(spans, "spans").groupBy("doc", "row").agg(F.collect_set(F.struct("first", "stop")).alias("spans"))
     joined = keyed.join(spans, ["doc", "row"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_kept, "doc_id long, text string, n_words long, n_removed long").withColumnRenamed("doc_id", id_col)
+    return joined.mapInArrow(partial(_kept, layout=layout), "doc_id long, text string, n_words long, n_removed long").withColumnRenamed("doc_id", id_col)
