@@ -1,10 +1,11 @@
 """The corpus pipeline: rules, near duplicates, repeated passages, mixing, packing.
 
 Each stage takes the documents that the stage before has kept, as a Parquet table,
-and all but the last return the columns of ``documents``. Rows without an id go in
-the first four stages, and of rows that share an id the one of the smallest text
-stays (null texts first). Null texts, languages and sources are handled as the
-operators say; an empty table gives an empty table; further columns are dropped.
+and all but the last return the columns of ``documents``; further columns are
+dropped. A document is a row: rows without an id and rows that share one are
+judged each by itself, under a key that is made for them, and go only by a
+stage's own decision. Null texts, languages and sources are handled as the
+operators say; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,43 +22,49 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def by_id(docs: DataFrame) -> DataFrame:
-    """One row for each id. Rows are only aggregated, before they are shuffled, if some id is repeated."""
-    docs = docs.select(*COLUMNS).where("doc_id IS NOT NULL")
-    if not docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        return docs
-    first = docs.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("r"))
-    return first.select("doc_id", *(F.col(f"r.{c}") for c in COLUMNS[1:]))
+def keyed(docs: DataFrame) -> DataFrame:
+    """The documents with a ``key`` of their own: the id if every row has one for itself.
+
+    Else the rows are sorted by id (null last) and content, dealt to tasks by
+    both, and numbered, so keys keep the order of ids; the table is written, as
+    numbers of rows must not change from one reading to the next.
+    """
+    docs = docs.select(*COLUMNS)
+    if not docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count():
+        return docs.withColumn("key", F.col("doc_id"))
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64(*COLUMNS[1:]), "text", "lang", "source", "n_chars")
+    return written(ordered.withColumn("key", F.monotonically_increasing_id()), "keyed")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the certified cutoffs, of all languages together where one has too few labels."""
-    docs = by_id(docs)
-    judged = quality_rules.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), pooled=True)
-    return docs.join(judged.where("kept").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    rows = keyed(docs)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").join(rows.select("doc_id", "key"), "doc_id").drop("doc_id")
+    judged = quality_rules.judge(rows, labels, id_col="key", pooled=True)
+    return rows.join(judged.where("kept").select("key"), "key", "left_semi").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near duplicates."""
-    docs = by_id(docs)
-    linked = near_text.link_documents(docs)
-    firsts = linked.where("n_shingles = 0 OR component_id = doc_id").select("doc_id")
-    return docs.join(firsts, "doc_id", "left_semi").select(*COLUMNS)
+    rows = keyed(docs)
+    linked = near_text.link_documents(rows, id_col="key")
+    firsts = linked.where("n_shingles = 0 OR component_id = key").select("key")
+    return rows.join(firsts, "key", "left_semi").select(*COLUMNS)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that occur earlier; a document left without words goes."""
-    docs = by_id(docs)
-    kept = substring.remove_repeats(docs).where("n_words > n_removed").select("doc_id", F.col("text").alias("kept"))
-    texts = docs.drop("text", "n_chars").join(kept, "doc_id")
+    """Documents without passages that occur earlier; a document left without words goes, one that loses none keeps its layout."""
+    rows = keyed(docs)
+    kept = substring.remove_repeats(rows, id_col="key", layout=True).where("n_words > n_removed").select("key", F.col("text").alias("kept"))
+    texts = rows.drop("text", "n_chars").join(kept, "key")
     return texts.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    docs = by_id(docs)
-    taken = mixing.mix(docs).where("copies > 0").select("doc_id", "copies")
-    return docs.join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    rows = keyed(docs)
+    taken = mixing.mix(rows, id_col="key").where("copies > 0").select("key", "copies")
+    return rows.join(taken, "key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +80,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("best_fit_packing", bins),
 ]
 
-#: SQL cannot express the mixing and the packing.
+#: SQL cannot express the packing, whose bins depend on the order in which documents meet them.
 ORACLE_SQL = None
 
 
