@@ -2,6 +2,7 @@
 
 import os
 import re
+import time
 
 import numpy as np
 import pytest
@@ -193,13 +194,32 @@ def naive(size, source, cluster, capacity):
     return out
 
 
-def test_best_fit_is_the_naive_one():
+@pytest.mark.parametrize(("sources", "clusters", "largest"), [(12, 300, 99), (1, 400, 60), (40, 5, 30), (3, 2, 3), (30, 400, 100)])
+def test_best_fit_is_the_naive_one(sources, clusters, largest):
     g = np.random.default_rng(9)
-    size = sorted(g.integers(1, 100, 400).tolist(), reverse=True)
-    source, cluster = g.integers(0, 12, 400).tolist(), g.integers(0, 300, 400).tolist()
+    size = sorted(g.integers(1, largest + 1, 500).tolist(), reverse=True)
+    source, cluster = g.integers(0, sources, 500).tolist(), g.integers(0, clusters, 500).tolist()
     assert packing.best_fit(size, source, cluster, 100)[0] == naive(size, source, cluster, 100)
 
 
+def test_best_fit_of_one_source_is_not_quadratic():
+    def seconds(n):
+        began = time.perf_counter()
+        assert len(set(packing.best_fit([1] * n, [0] * n, [0] * n, 2048)[0])) == n
+        return time.perf_counter() - began
+
+    assert seconds(20_000) < 2 and seconds(40_000) < 10 * seconds(10_000) + 1
+
+
+def test_clusters_never_share_a_bin(spark, docs):
+    got = packing.pack(docs, cluster=F.length("text") % 5, capacity=500, pool_words=50_000).where("n_words > 0").toPandas()
+    lengths = {r.doc_id: r.l for r in docs.select("doc_id", (F.length("text") % 5).alias("l")).collect()}
+    for _, b in got[got.doc_id.notna()].groupby("bin_id"):
+        own = [lengths[i] for i in b.doc_id]
+        assert len(own) == len(set(own))
+    assert packing.pack(docs, pool_rows=20).select("bin_id").distinct().count() > 1
+
+
 def test_pack(docs, rows):
     got = packing.pack(docs, capacity=500, pool_words=5000).toPandas()
     assert len(got[got.piece == 0]) == len(rows)

@@ -4,15 +4,18 @@ A bin holds ``capacity`` words, and neither two documents of one source nor two
 one duplicate cluster. Open bins are ordered by their residual and carry bitmaps
 of the sources and clusters in them. A document, the largest first, goes to the
 tightest bin that can take it: the search starts at the first bin with room and
-goes on through its successors until one is compatible.
+goes on through its successors until one is compatible. A tree over the residuals
+holds what all bins beneath a node have in common, so successors that all hold
+the document's source or cluster are passed over at once.
 
-Documents are dealt by a hash of the row to pools of bounded size, each packed by
-itself, so a source or cluster that holds a third of all rows is spread evenly.
+Documents are dealt by a hash of the row to pools of bounded size, in words and in
+rows, each packed by itself, so a source or cluster that holds a third of all rows
+is spread evenly.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import insort
 
 import numpy as np
 import pandas as pd
@@ -21,33 +24,82 @@ from pyspark.sql import functions as F
 
 from .storage import written
 
-CAPACITY, POOL_WORDS = 2048, 500_000
+CAPACITY, POOL_WORDS, POOL_ROWS = 2048, 500_000, 8_192
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+class OpenBins:
+    """Open bins by residual, and within a residual by what they hold.
+
+    A bitmap has a bit for each source and each cluster. A node of the tree is
+    the intersection of the bitmaps beneath it; of no bins that is -1, all bits.
+    """
+
+    def __init__(self, capacity: int):
+        self.size = 1 << capacity.bit_length()
+        self.common = [-1] * (2 * self.size)
+        self.at: list[dict[int, list[int]]] = [{} for _ in range(self.size)]  # bitmap -> bins in order
+
+    def _update(self, residual: int) -> None:
+        node, common = self.size + residual, -1
+        for held in self.at[residual]:
+            common &= held
+        while node and self.common[node] != common:
+            self.common[node] = common
+            node >>= 1
+            common = self.common[2 * node] & self.common[2 * node + 1]
+
+    def add(self, residual: int, held: int, bin_: int) -> None:
+        insort(self.at[residual].setdefault(held, []), bin_)
+        self._update(residual)
+
+    def take(self, least: int, conflicts: int) -> tuple[int, int, int] | None:
+        """Remove and return (residual, bitmap, bin) of the tightest bin with room for ``least`` and none of ``conflicts``, the first of equals."""
+        residual = least
+        while residual < self.size:
+            node = self.size + residual
+            if self.common[node] & conflicts:
+                # pass over the largest subtree that begins here and conflicts throughout
+                height = 0
+                while not node & 1 and self.common[node >> 1] & conflicts:
+                    node, height = node >> 1, height + 1
+                residual = ((node + 1) << height) - self.size
+                continue
+            free = [(bins[0], held) for held, bins in self.at[residual].items() if not held & conflicts]
+            if free:
+                bin_, held = min(free)
+                bins = self.at[residual][held]
+                del bins[0]
+                if not bins:
+                    del self.at[residual][held]
+                self._update(residual)
+                return residual, held, bin_
+            residual += 1
+        return None
+
+
 def best_fit(size: list[int], source: list[int], cluster: list[int], capacity: int) -> tuple[list[int], list[int]]:
-    """Bin and offset of each item, in the order given; sizes are from 1 to ``capacity``."""
-    order: list[tuple[int, int]] = []  # (residual, bin)
-    sources: list[int] = []
-    clusters: list[int] = []
+    """Bin and offset of each item, in the order given; sizes are from 1 to ``capacity``.
+
+    Only clusters of several items need a bit: others conflict with nothing.
+    """
+    times = np.bincount(cluster) if len(cluster) else np.zeros(0, int)
+    sources, several = max(source, default=0) + 1, np.flatnonzero(times > 1)
+    bit = {c: 1 << (sources + i) for i, c in enumerate(several.tolist())}
+    open_, made = OpenBins(capacity), 0
     bins, offsets = [], []
     for n, s, c in zip(size, source, cluster, strict=True):
-        s, c = 1 << s, 1 << c
-        at = bisect_left(order, (n, -1))
-        while at < len(order) and (sources[order[at][1]] & s or clusters[order[at][1]] & c):
-            at += 1
-        if at < len(order):
-            left, b = order.pop(at)
+        own = 1 << s | bit.get(c, 0)
+        found = open_.take(n, own)
+        if found is None:
+            left, held, b = capacity, 0, made
+            made += 1
         else:
-            left, b = capacity, len(sources)
-            sources.append(0)
-            clusters.append(0)
+            left, held, b = found
         bins.append(b)
         offsets.append(capacity - left)
-        sources[b] |= s
-        clusters[b] |= c
         if left > n:
-            insort(order, (left - n, b))
+            open_.add(left - n, held | own, b)
     return bins, offsets
 
 
@@ -70,7 +122,7 @@ def _pack(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return out.astype({"bin": "Int64", "offset": "Int64"}).assign(pool=int(rows["pool"].iloc[0] if len(rows) else empty["pool"].iloc[0]))
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster: Column | None = None, capacity: int = CAPACITY, pool_words: int = POOL_WORDS) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster: Column | None = None, capacity: int = CAPACITY, pool_words: int = POOL_WORDS, pool_rows: int = POOL_ROWS) -> DataFrame:
     """(id, piece, start, n_words, bin_id, offset), a row for each piece of each row.
 
     A document longer than ``capacity`` words is cut into pieces of that length,
@@ -84,8 +136,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     own = F.xxhash64(F.col(text_col)) if cluster is None else cluster
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), own.alias("cluster"))
     rows = written(rows, "sizes")
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    pools = max(1, -(-total // pool_words))
+    total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    pools = max(1, -(-total // pool_words), -(-n // pool_rows))
     dealt = rows.select("row", "source", "size", "cluster", F.pmod(F.xxhash64("row"), F.lit(pools)).alias("pool"))
 
     def pool(rows: pd.DataFrame) -> pd.DataFrame:
