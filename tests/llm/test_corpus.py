@@ -273,6 +273,42 @@ def test_classifier_on_held_out_labels(spark):
     assert auc > 0.95 and got[good].predicted.mean() > 0.97 and got[~good].predicted.mean() < 0.2
 
 
+def learned(spark, seed, n, share):
+    """Positives around one point; unlabelled rows of which ``share`` are such."""
+    g = np.random.default_rng(seed)
+    u = g.random(2 * n) < share
+    x = np.vstack([g.normal(1, 1, (n, 3)), g.normal(0, 1, (2 * n, 3)) + np.where(u, 1, -2.5)[:, None]])
+    return spark.createDataFrame([(v.tolist(), i < n) for i, v in enumerate(x)], "x array<float>, positive boolean").repartition(3), x.astype(np.float32).astype(float), np.arange(3 * n) < n
+
+
+def test_fit_minimises_the_risk(spark):
+    rows, x, positive = learned(spark, 3, 300, 0.4)
+    model = quality_model.fit(rows, 0.5, steps=25)
+    z = np.hstack([(x - x.mean(0)) / x.std(0), np.ones((len(x), 1))])
+    decay = (quality_model.DECAY + quality_model.DECAY_OF_FEW / 300) * np.array([1, 1, 1, 0])
+
+    def risk(w):
+        g = z @ w
+        negative = np.logaddexp(0, g).mean() - 0.5 * np.logaddexp(0, g[positive]).mean()
+        return 0.5 * np.logaddexp(0, -g[positive]).mean() + max(0, negative) + (decay * w * w).sum() / 2
+
+    w = np.append(model.weights, model.intercept)
+    least = risk(w)
+    g = np.random.default_rng(4)
+    assert all(risk(w + g.normal(0, s, 4)) > least - 1e-6 for s in (0.003, 0.03, 0.3, 2) for _ in range(200))
+    assert (np.logaddexp(0, z @ w).mean() - 0.5 * np.logaddexp(0, (z @ w)[positive]).mean()) >= 0
+
+
+@pytest.mark.parametrize("share", [0.2, 0.6])
+def test_prior_of_positives_and_unlabelled(spark, share):
+    """The unlabelled rows hold the labelled ones, as texts do."""
+    rows, _, positive = learned(spark, 5, 800, share)
+    model = quality_model.fit(rows, 0.5)
+    got = quality_model.class_prior(rows.select(model.column(F.col("x")).alias("g"), "positive"))
+    true = (800 + 1600 * share) / 2400
+    assert abs(got - true) < 0.06 and quality_model.class_prior(rows.where("NOT positive").select(F.lit(0.0).alias("g"), "positive")) == 0.5
+
+
 def test_classifier_of_odd_rows(docs, none, labels, rows):
     got = quality_model.score_quality(docs, labels).toPandas()
     assert len(got) == len(rows) and got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.3)).all()
