@@ -75,17 +75,54 @@ def test_cone_of_published_fixture():
 
 def test_kernels():
     c = pd.Series([1.0, 2, 3, 4, 5] * 6)
-    assert kernels.rsi_seeded(c).isna().sum() == 14 and kernels.rsi_ewm(c).isna().sum() == 14
+    assert kernels.rsi_seeded(c).isna().sum() == 14
     assert kernels.rsi_seeded(pd.Series(np.ones(20))).iloc[-1] == 50 and kernels.rsi_seeded(pd.Series(range(1, 21), dtype=float)).iloc[-1] == 100
     assert kernels.rsi_seeded(pd.Series([1.0])).isna().all()
     assert math.isnan(kernels.adx_sums(pd.DataFrame({"high": [1.0], "low": [1.0], "close": [1.0]})))
 
 
+def test_direction_is_unknown_before_it_begins():
+    """The first bar has no direction; the index begins with the first that has one, and is smoothed by a fourteenth."""
+    b = pd.DataFrame({"day": [day(i) for i in range(20)], "high": [10.0, 11, 12, 11.5] + [12.0 + i for i in range(16)], "low": [9.0, 10, 11, 9.5] + [11.0 + i for i in range(16)], "close": [9.5, 10.5, 11.5, 10.0] + [11.5 + i for i in range(16)]})
+    i = kernels.indicators(b)
+    assert math.isnan(i.adx[0]) and i.adx[1] == 100 and i.adx[2] == 100
+    plus, minus = 1 / 14 * (1 - 1 / 14) ** 2 + 1 / 14 * (1 - 1 / 14), 1.5 / 14
+    assert i.adx[3] == pytest.approx(100 + (100 * abs(plus - minus) / (plus + minus) - 100) / 14)
+    assert i.rsi_ewm.isna().sum() == 14 and i.atr[0] == 1.0 and i.plus_di[0] == 0
+
+
+def test_break_score_and_zones(spark):
+    moves = spark.createDataFrame([("x", 100.0, 0.02, 64.0), ("y", 100.0, 0.0, 64.0)], "symbol string, close double, move double, strength double")
+    l = spark.createDataFrame([("x", "near", 101.0), ("x", "far", 108.0), ("x", "at", 100.0), ("y", "near", 101.0)], "symbol string, name string, price double")
+    got = {(r.symbol, r.name): (r.reach, r.score, r.label) for r in levels.break_potential(l, moves).collect()}
+    assert got[("x", "near")] == (pytest.approx(2.0), pytest.approx(0.8), "strong") and got[("x", "far")] == (pytest.approx(0.25), pytest.approx(0.4), "medium")
+    assert got[("x", "at")] == got[("y", "near")] == (None, None, None)
+    f = spark.createDataFrame([("x", 100.0, 0.1, 0.05, 0.01)], "symbol string, close double, mean double, error double, atr double")
+    z = levels.trade_zones(f, 10_000.0, 2.0).first()
+    assert (z.near, z.band, z.buy_low, z.buy_high, z.sell_low, z.sell_high) == tuple(map(pytest.approx, (110, 5, 106.4, 108.1, 111.75, 113.6)))
+    assert (z.entry, z.stop, z.units) == tuple(map(pytest.approx, (107.25, 104.9, 200 / 2.35)))
+
+
+def test_quotes_are_checked(spark):
+    q = spark.createDataFrame([(1, 99.0, 100.0, 90.0, 110.0, 95.0), (2, 99.0, 100.0, 5.0, 110.0, 95.0), (3, 99.0, 100.0, 90.0, 110.0, 70.0), (4, 99.0, 120.0, 90.0, 110.0, 95.0)], "id int, bid double, ask double, low double, high double, previous double")
+    got = {r.id: (r.has_range, r.position, r.change) for r in levels.read_quotes(q).collect()}
+    assert got[1] == (True, 50.0, pytest.approx(100 / 95 - 1)) and got[2] == got[4] == (False, None, None) and got[3] == (True, 50.0, None)
+
+
+def test_live_levels_touch_and_cross(spark):
+    l = spark.createDataFrame([("x", n, p) for n, p in (("a", 90.0), ("b", 99.5), ("c", 101.0), ("d", 103.0), ("e", 110.0))], "symbol string, name string, price double")
+    live = spark.createDataFrame([("x", 100.5, 102.5, 0.6)], "symbol string, close double, live double, margin double")
+    got = {(r.name, r.role): r.rank for r in levels.live_levels(l, live).collect()}
+    assert got == {("a", "support"): 3, ("b", "support"): 2, ("c", "support"): 1, ("c", "crossed"): 1, ("d", "touching"): 1, ("e", "resistance"): 1}
+
+
 def test_clusters_differ_by_rule(spark):
     rows = [("x", float(p), 1, f"n{i}") for i, p in enumerate((100, 101, 102, 103, 110))]
     l = spark.createDataFrame(rows, "symbol string, price double, priority int, name string")
     assert sorted(r.n for r in levels.cluster(l, F.lit(1.5)).collect()) == [1, 4]
-    assert sorted(r.n for r in levels.cluster_to_mean(l, 0.011).collect()) == [1, 2, 2]
+    l = l.select("symbol", "price", "name", F.lit(2.0).alias("weight"), F.lit(1).alias("touches"))
+    got = levels.merged(l, spark.createDataFrame([("x", 1.2)], "symbol string, tolerance double")).orderBy("cluster").collect()
+    assert [(r.n, r.price, r.score) for r in got] == [(2, 100.5, 4.0), (2, 102.5, 4.0), (1, 110.0, 2.0)]
 
 
 def test_frozen_needs_sixteen_known_values(spark):

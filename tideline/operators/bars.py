@@ -37,9 +37,14 @@ def aggregate(bars: DataFrame, kind: str) -> DataFrame:
     )
 
 
-def last_complete(bars: DataFrame, kind: str, today: Column) -> DataFrame:
-    """The last complete period of each symbol: an ISO week is complete from its Saturday on, a month from the next."""
+def last_complete(bars: DataFrame, kind: str, today: Column, days: DataFrame | None = None) -> DataFrame:
+    """The last complete period of each symbol: an ISO week is complete from its Saturday on, a month from the next.
+
+    With ``days`` (symbol, ...), ``today`` may be a column of it.
+    """
     periods = aggregate(bars, kind)
+    if days is not None:
+        periods = periods.join(days, "symbol")
     done = F.date_add("bucket", 5) <= today if kind == "week" else F.add_months("bucket", 1) <= today
     row = F.struct("bucket", "high", "low", "close", "n_bars")
     return periods.where(done).groupBy("symbol").agg(F.max_by(row, "bucket").alias("p")).select("symbol", "p.*")

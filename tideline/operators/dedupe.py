@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, word_set
+from ..sources.tables import saved
 
 
 def by_prefix(rows: DataFrame, order: list[str], n: int = 60) -> DataFrame:
@@ -36,29 +35,19 @@ def jaccard_pairs(rows: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", jaccard(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= least)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage in ``spark.checkpoint.dir``; a folder of its own where that is unset, as in tests."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
-    return df.checkpoint()
-
-
-def keep_first(pairs: DataFrame, ids: DataFrame, rounds: int = 50) -> DataFrame:
+def keep_first(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     """Ids that stay when one is dropped if it is similar to a smaller id that stays.
 
     The order decides who stays, so it is settled in rounds: an id stays once all
-    its smaller neighbours have gone, and goes once one of them stays. Links that
-    a round settles are out of the next; a chain as long as ``rounds`` is an error.
+    its smaller neighbours have gone, and goes once one of them stays. In every
+    round the smallest open id of each group of links is settled, so the rounds
+    end, at the latest with the longest chain of ids that wait for each other.
     """
     links = pairs.select(F.col("a").alias("small"), F.col("b").alias("id"))
     state = ids.select("id", F.lit(None).cast("boolean").alias("stays"))
-    for _ in range(rounds):
+    while True:
         before = links.join(state.select(F.col("id").alias("small"), F.col("stays").alias("s")), "small").groupBy("id").agg(F.max(F.coalesce("s", F.lit(False)).cast("int")).alias("kept"), F.max(F.col("s").isNull().cast("int")).alias("open"))
         new = F.coalesce("stays", F.when(F.coalesce("kept", F.lit(0)) == 1, False).when(F.coalesce("open", F.lit(0)) == 0, True))
-        state = state.join(before, "id", "left").select("id", new.alias("stays"))
-        state = saved(state)
+        state = saved(state.join(before, "id", "left").select("id", new.alias("stays")))
         if not state.where("stays IS NULL").limit(1).count():
             return state.where("stays").select("id")
-    raise RuntimeError(f"not settled after {rounds} rounds")
-

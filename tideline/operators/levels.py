@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CLASSIC = ("p", "r1", "s1", "r2", "s2", "r3", "s3")
+#: Retracements and extensions.
 RATIOS = (0.236, 0.382, 0.5, 0.618, 0.786)
+EXTENSIONS = (1.272, 1.618)
 
 
 def pivots(periods: DataFrame) -> DataFrame:
@@ -25,8 +27,10 @@ def fibonacci(bars: DataFrame, lookback: int = 250) -> DataFrame:
     ends = b.groupBy("symbol").agg(F.min_by("day", F.struct(-F.col("high"), "day")).alias("top_day"), F.max("high").alias("top"), F.min_by("day", F.struct("low", "day")).alias("bottom_day"), F.min("low").alias("bottom"))
     up = F.col("bottom_day") < F.col("top_day")
     span = F.col("top") - F.col("bottom")
-    e = ends.withColumn("ratio", F.explode(F.array(*map(F.lit, RATIOS))))
-    return e.select("symbol", up.alias("upward"), "top", "bottom", "ratio", F.when(up, F.col("top") - F.col("ratio") * span).otherwise(F.col("bottom") + F.col("ratio") * span).alias("price"))
+    # an extension lies beyond the end by what exceeds the whole span
+    e = ends.withColumn("ratio", F.explode(F.array(*map(F.lit, RATIOS + EXTENSIONS))))
+    share = F.when(F.col("ratio") > 1, 1 - F.col("ratio")).otherwise(F.col("ratio"))
+    return e.select("symbol", up.alias("upward"), "top", "bottom", "ratio", F.when(up, F.col("top") - share * span).otherwise(F.col("bottom") + share * span).alias("price"))
 
 
 def cluster(levels: DataFrame, tolerance: Column) -> DataFrame:
@@ -41,29 +45,100 @@ def cluster(levels: DataFrame, tolerance: Column) -> DataFrame:
     return l.groupBy("symbol", "cluster").agg(F.avg("price").alias("price"), named.alias("names"), F.count("*").alias("n")).withColumn("name", F.col("names")[0])
 
 
-def cluster_to_mean(levels: DataFrame, tolerance: float) -> DataFrame:
-    """Greedy clustering of ascending levels: one joins the open cluster if it lies within ``tolerance`` (a share) of its running mean.
+def merged(levels: DataFrame, tolerances: DataFrame) -> DataFrame:
+    """Greedy clusters of (symbol, price, name, weight, touches): ascending levels join the open cluster if they lie within the tolerance above its running mean.
 
-    The order decides, so each symbol's sorted levels are folded; their number is
-    that of its candidates, not of its bars.
+    (symbol, cluster, mean, price, score, names, n, touches); the price is weighted
+    by the members' weights, whose sum is the score. The order decides, so each
+    symbol's sorted levels are folded; their number is that of its candidates, not
+    of its bars. ``tolerances`` has (symbol, tolerance).
     """
-    start = F.array().cast("array<struct<sum:double,n:int>>")
+    start = F.array().cast("array<struct<sum:double,n:int,weighted:double,score:double,touches:bigint,names:array<string>>>")
+
+    def one(x: Column) -> Column:
+        return F.struct(x["price"].alias("sum"), F.lit(1).alias("n"), (x["price"] * x["weight"]).alias("weighted"), x["weight"].alias("score"), x["touches"].alias("touches"), F.array(x["name"]).alias("names"))
 
     def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (F.abs(x - last["sum"] / last["n"]) <= tolerance * last["sum"] / last["n"])
-        grown = F.struct((last["sum"] + x).alias("sum"), (last["n"] + 1).alias("n"))
-        return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(F.struct(x.alias("sum"), F.lit(1).alias("n")))))
+        last, new = F.element_at(acc, -1), one(x)
+        joins = (F.size(acc) > 0) & (x["price"] - last["sum"] / last["n"] <= F.col("tolerance"))
+        grown = F.struct(*((last[c] + new[c]).alias(c) for c in ("sum", "n", "weighted", "score", "touches")), F.concat(last["names"], new["names"]).alias("names"))
+        return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(new)))
 
-    groups = levels.groupBy("symbol").agg(F.array_sort(F.collect_list("price")).alias("prices"))
-    found = F.posexplode(F.aggregate("prices", start, step)).alias("cluster", "c")
-    return groups.select("symbol", found).select("symbol", "cluster", (F.col("c.sum") / F.col("c.n")).alias("price"), F.col("c.n").alias("n"))
+    each = F.struct(F.col("price").cast("double").alias("price"), "name", F.col("weight").cast("double").alias("weight"), F.col("touches").cast("long").alias("touches"))
+    groups = levels.groupBy("symbol").agg(F.array_sort(F.collect_list(each)).alias("all")).join(tolerances, "symbol")
+    found = F.posexplode(F.aggregate("all", start, step)).alias("cluster", "c")
+    mean = F.col("c.sum") / F.col("c.n")
+    return groups.select("symbol", found).select("symbol", "cluster", mean.alias("mean"), F.when(F.col("c.score") > 0, F.col("c.weighted") / F.col("c.score")).otherwise(mean).alias("price"), F.col("c.score").alias("score"), F.array_join("c.names", "|").alias("names"), F.col("c.n").alias("n"), F.col("c.touches").alias("touches"))
 
 
 def round_levels(last: DataFrame, step: int = 50, share: float = 0.06) -> DataFrame:
-    """Multiples of ``step`` within a share of each symbol's close; multiples of 100 weigh more."""
+    """Multiples of ``step`` within a share of each symbol's close; multiples of 100 weigh twice as much."""
     lo, hi = F.ceil(F.col("close") * (1 - share) / step) * step, F.floor(F.col("close") * (1 + share) / step) * step
-    return last.where(lo <= hi).select("symbol", F.explode(F.sequence(lo, hi, F.lit(step).cast("long"))).alias("price")).withColumn("weight", F.when(F.col("price") % 100 == 0, 1.0).otherwise(0.6))
+    return last.where(lo <= hi).select("symbol", F.explode(F.sequence(lo, hi, F.lit(step).cast("long"))).alias("price")).withColumn("weight", F.when(F.col("price") % 100 == 0, 0.5).otherwise(0.25))
+
+
+def live_levels(levels: DataFrame, live: DataFrame, each: int = 3) -> DataFrame:
+    """Levels (symbol, name, price) against a live price: (symbol, name, price, role, rank, gap).
+
+    ``live`` has (symbol, close, live, margin). Within the margin a level is being
+    touched; beyond it, the nearest ``each`` above are resistance and below support.
+    A level between the last close and the live price has been crossed today, which
+    is a row of its own.
+    """
+    l = levels.join(live, "symbol")
+    over = F.col("price") - F.col("live")
+    role = F.when(F.abs(over) <= F.col("margin"), "touching").when(over > 0, "resistance").otherwise("support")
+    both = F.array_compact(F.array(role, F.when((F.col("price") - F.col("close")) * over < 0, F.lit("crossed"))))
+    l = l.select("symbol", "name", "price", F.explode(both).alias("role"), F.abs(over).alias("distance"), (F.col("price") / F.col("live") - 1).alias("gap"))
+    rank = F.row_number().over(Window.partitionBy("symbol", "role").orderBy("distance", "name"))
+    return l.withColumn("rank", rank).where(F.col("role").isin("touching", "crossed") | (F.col("rank") <= each)).select("symbol", "name", "price", "role", "rank", "gap")
+
+
+def break_score(reach: Column, strength: Column) -> Column:
+    """Between 0 and 1: how far the expected move reaches, at most the whole way, times the momentum's strength in percent, under a root."""
+    return F.when(reach.isNotNull() & strength.isNotNull(), F.sqrt(F.least(F.lit(1.0), reach) * F.greatest(F.lit(0.0), F.least(F.lit(100.0), strength)) / 100))
+
+
+def break_label(score: Column) -> Column:
+    return F.when(score >= 2 / 3, "strong").when(score >= 1 / 3, "medium").when(score.isNotNull(), "weak")
+
+
+def break_potential(levels: DataFrame, moves: DataFrame) -> DataFrame:
+    """(symbol, name, price, reach, score, label) of levels against (symbol, close, move, strength).
+
+    Distances and the expected ``move`` are shares of the price. Null where the
+    close or the move is not positive or the level is the close itself.
+    """
+    l = levels.join(moves, "symbol")
+    distance = F.abs(F.col("price") / F.col("close") - 1)
+    l = l.withColumn("reach", F.when((F.col("close") > 0) & (F.col("move") > 0) & (distance > 0), F.col("move") / distance))
+    l = l.withColumn("score", break_score(F.col("reach"), F.col("strength")))
+    return l.select("symbol", "name", "price", "reach", "score", break_label(F.col("score")).alias("label"))
+
+
+def trade_zones(forecasts: DataFrame, capital: float, risk_percent: float) -> DataFrame:
+    """Buying and selling zones around a forecast (symbol, close, mean, error, atr), all as shares of the close, with stop and units."""
+    near, band = F.col("close") * (1 + F.col("mean")), F.col("close") * F.col("error")
+    f = forecasts.withColumns({"near": near, "band": band, "range": F.col("atr") * F.col("close")})
+    at = lambda share: F.col("near") + share * F.col("band")
+    f = f.withColumns({"buy_low": at(-0.72), "buy_high": at(-0.38), "sell_low": at(0.35), "sell_high": at(0.72)})
+    f = f.withColumns({"entry": (F.col("buy_low") + F.col("buy_high")) / 2, "stop": F.col("buy_low") - F.greatest(F.col("range") * 1.5, F.col("band") * 0.18)})
+    units = F.lit(capital * risk_percent / 100) / F.greatest(F.lit(1.0), F.col("entry") - F.col("stop"))
+    return f.select("symbol", "near", "band", "buy_low", "buy_high", "sell_low", "sell_high", "entry", "stop", units.alias("units"))
+
+
+def read_quotes(quotes: DataFrame) -> DataFrame:
+    """(id, spread, has_range, position, change) of (id, bid, ask, low, high, previous).
+
+    A day's range counts only if it holds the ask and its low is not absurd (under
+    half the ask); the previous close, if it lies within half the range around it.
+    """
+    ask, low, high, previous = (F.col(c) for c in ("ask", "low", "high", "previous"))
+    band = high - low
+    whole = F.coalesce((low > 0) & (high > low) & (low >= ask * 0.5) & ask.between(low, high), F.lit(False))
+    trusted = whole & (previous > 0) & previous.between(low - band * 0.5, high + band * 0.5)
+    position = F.least(F.lit(100.0), F.greatest(F.lit(0.0), (ask - low) / band * 100))
+    return quotes.select("id", (ask - F.col("bid")).alias("spread"), whole.alias("has_range"), F.when(whole, position).alias("position"), F.when(trusted, ask / previous - 1).alias("change"))
 
 
 def ladder(levels: DataFrame, last: DataFrame, each: int = 3, share: float = 0.12) -> DataFrame:
@@ -80,10 +155,6 @@ def nearest(levels: DataFrame, last: DataFrame) -> DataFrame:
     return l.groupBy("symbol").agg(F.max(F.when(F.col("price") < F.col("close"), F.col("price"))).alias("support"), F.min(F.when(F.col("price") > F.col("close"), F.col("price"))).alias("resistance"))
 
 
-def logistic(x: Column) -> Column:
-    return 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), x))))
-
-
 def trend_lines(swing: DataFrame, bars: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """For each symbol and kind, the line through two of the last five swings that is best: not broken by a later close, then with most touches, then with the latest second swing.
 

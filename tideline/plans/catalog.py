@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bars, evaluation, features, joins, levels, models, recursion, scalars, streams, texts, windows  # noqa: F401
+from . import bars, evaluation, features, joins, levels, models, momentum, recursion, scalars, streams, texts, windows  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
 
 FLAGSHIP = "gold_features_daily"

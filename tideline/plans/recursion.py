@@ -1,8 +1,7 @@
-"""Queries over recursive indicators and the momentum reports that use them."""
+"""Queries over recursive indicators and sessions."""
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +14,8 @@ from .windows import all_rounded
 
 
 def _indicators(bars: DataFrame) -> DataFrame:
-    return bars.groupBy("symbol").applyInPandas(kernels.indicators, kernels.INDICATORS)
+    b = bars.select("symbol", "day", "high", "low", "close")
+    return b.groupBy("symbol").applyInPandas(kernels.indicators, f"{b._jdf.schema().toDDL()}, {kernels.INDICATORS}")
 
 
 _N = "n_ AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY day) AS i, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr, close - lag(close) OVER w AS d FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY day))"
@@ -46,16 +46,23 @@ def rsi_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH RECURSIVE {BARS}, {_N}, m AS (SELECT *, high - lag(high) OVER w AS u, lag(low) OVER w - low AS v FROM n_ WINDOW w AS (PARTITION BY symbol ORDER BY day)),
 dm AS (SELECT *, CASE WHEN u > v AND u > 0 THEN u ELSE 0 END AS pdm, CASE WHEN v > u AND v > 0 THEN v ELSE 0 END AS mdm FROM m),
-r AS (SELECT symbol, i, day, tr AS a, pdm::DOUBLE AS p, mdm::DOUBLE AS q, CASE WHEN pdm + mdm > 0 THEN 100 * abs(pdm - mdm) / (pdm + mdm) ELSE 0 END::DOUBLE AS x FROM dm WHERE i = 1 UNION ALL
-  SELECT dm.symbol, dm.i, dm.day, a + (tr - a) / 14, p + (pdm - p) / 14, q + (mdm - q) / 14,
-    x + (CASE WHEN (p + (pdm - p) / 14) + (q + (mdm - q) / 14) > 0 THEN 100 * abs((p + (pdm - p) / 14) - (q + (mdm - q) / 14)) / ((p + (pdm - p) / 14) + (q + (mdm - q) / 14)) ELSE 0 END - x) / 14 FROM r JOIN dm ON dm.symbol = r.symbol AND dm.i = r.i + 1)
-SELECT symbol, day, round(a, 4) AS atr, round(x, 4) AS adx FROM r"""
+r AS (SELECT symbol, i, day, tr AS a, 0::DOUBLE AS p, 0::DOUBLE AS q, NULL::DOUBLE AS x FROM dm WHERE i = 1 UNION ALL
+  SELECT symbol, i, day, a, p, q, CASE WHEN p + q > 0 THEN coalesce(x + (100 * abs(p - q) / (p + q) - x) / 14, 100 * abs(p - q) / (p + q)) ELSE x END FROM (
+    SELECT dm.symbol, dm.i, dm.day, a + (tr - a) / 14 AS a, p + (pdm - p) / 14 AS p, q + (mdm - q) / 14 AS q, x FROM r JOIN dm ON dm.symbol = r.symbol AND dm.i = r.i + 1))
+SELECT symbol, day, round(a, 4) AS atr, CASE WHEN a > 0 THEN round(100 * p / a, 4) END AS plus_di, CASE WHEN a > 0 THEN round(100 * q / a, 4) END AS minus_di, round(x, 4) AS adx FROM r"""
 )
 def atr_adx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_rounded(_indicators(bars_daily(spark, sf_dir)).select("symbol", "day", "atr", "adx"), 4)
+    """The index is unknown until there has been a directional movement, and smoothed from then on."""
+    return all_rounded(_indicators(bars_daily(spark, sf_dir)).select("symbol", "day", "atr", "plus_di", "minus_di", "adx"), 4)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {BARS}, {_N}, m AS (SELECT *, high - lag(high) OVER w AS u, lag(low) OVER w - low AS v FROM n_ WINDOW w AS (PARTITION BY symbol ORDER BY day)),
+dm AS (SELECT symbol, i, CASE WHEN u > v AND u > 0 THEN u ELSE 0 END AS pdm, CASE WHEN v > u AND v > 0 THEN v ELSE 0 END AS mdm FROM m WHERE i > 1),
+r AS (SELECT symbol, 15::BIGINT AS i, sum(pdm)::DOUBLE AS p, sum(mdm)::DOUBLE AS q FROM dm WHERE i <= 15 GROUP BY symbol UNION ALL
+  SELECT dm.symbol, dm.i, p - p / 14 + pdm, q - q / 14 + mdm FROM r JOIN dm ON dm.symbol = r.symbol AND dm.i = r.i + 1)
+SELECT symbol, round(avg(CASE WHEN p + q > 0 THEN 100 * abs(p - q) / (p + q) ELSE 0 END), 4) AS adx FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY i DESC) AS k, max(i) OVER (PARTITION BY symbol) AS n FROM r) WHERE k <= 14 AND n >= 29 GROUP BY symbol"""
+)
 def adx_wilder_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     def last(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("day", ignore_index=True)
@@ -64,68 +71,6 @@ def adx_wilder_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars_daily(spark, sf_dir).groupBy("symbol").applyInPandas(last, "symbol string, adx double")
 
 
-_WEIGHTS = {"return_20": 0.4, "return_60": 0.3, "macd": 0.3}
-
-
-def momentum_components(bars: DataFrame, window: int) -> DataFrame:
-    """(symbol, name, value, score, weight) of the last bar: each value over twice its deviation, clipped to 1."""
-    w = win.ordered()
-    b = bars.join(_indicators(bars).select("symbol", "day", "macd"), ["symbol", "day"])
-    b = b.withColumns({"return_20": F.col("close") / F.lag("close", 20).over(w) - 1, "return_60": F.col("close") / F.lag("close", 60).over(w) - 1, "macd": F.col("macd") / F.col("close")})
-    scored = b.select("symbol", "day", *(F.struct(F.lit(n).alias("name"), F.col(n).alias("value"), win.scaled_score(F.col(n), window).alias("score"), F.lit(x).alias("weight")).alias(n) for n, x in _WEIGHTS.items()))
-    last = scored.groupBy("symbol").agg(F.max_by(F.array(*_WEIGHTS), "day").alias("all"))
-    return last.select("symbol", F.explode("all").alias("c")).select("symbol", "c.*")
-
-
-@query()
-def momentum_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score of each symbol and frame: weights of missing components go to the others; bins at 20 and 60."""
-    from ..operators.bars import resample, week_ending_friday
-
-    daily = bars_daily(spark, sf_dir)
-    weekly = resample(daily, week_ending_friday(F.col("day"))).withColumnRenamed("label", "day")
-    parts = momentum_components(daily, 252).withColumn("frame", F.lit("daily")).unionByName(momentum_components(weekly, 156).withColumn("frame", F.lit("weekly")))
-    known = parts.where("score IS NOT NULL")
-    s = known.groupBy("symbol", "frame").agg((100 * F.sum(F.col("score") * F.col("weight")) / F.sum("weight")).alias("score"), F.count("*").alias("components"))
-    label = F.when(F.col("score") >= 60, "strong up").when(F.col("score") >= 20, "up").when(F.col("score") <= -60, "strong down").when(F.col("score") <= -20, "down").otherwise("flat")
-    return all_rounded(s.withColumn("label", label), 4)
-
-
-@query()
-def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the frames of a symbol agree."""
-    m = momentum_frames(spark, sf_dir)
-    sign = F.when(F.col("score") >= 20, 1).when(F.col("score") <= -20, -1).otherwise(0)
-    a = m.groupBy("symbol").agg(F.sum(sign).alias("sum"), F.count("*").alias("frames"))
-    return a.withColumn("state", F.when(F.col("sum") == F.col("frames"), "up").when(F.col("sum") == -F.col("frames"), "down").otherwise("mixed"))
-
-
-def _report(b: pd.DataFrame) -> pd.DataFrame:
-    """Intraday momentum of one symbol: standardised parts, their mean, dispersion, t-statistic and strength."""
-    b = b.sort_values("ts", ignore_index=True)
-    c = b["c"]
-    r = np.log(c).diff()
-    sigma = float(r.iloc[1:].std(ddof=1)) if len(b) > 30 else float("nan")
-    row = {"symbol": b["symbol"].iloc[0], "bars": len(b)}
-    if not sigma > 0:
-        return pd.DataFrame([row | dict.fromkeys(("velocity", "acceleration", "rsi_z", "macd_z", "mean", "t", "strength")) | {"direction": None}])
-    z = lambda k: float(np.log(c.iloc[-1 - k] / c.iloc[-13 - k]) / (sigma * np.sqrt(12)))
-    macd = kernels.ema(c, 12) - kernels.ema(c, 26)
-    parts = {"velocity": z(0), "acceleration": (z(0) - z(12)) / np.sqrt(2), "rsi_z": float((kernels.rsi_seeded(c).iloc[-1] - 50) / 20), "macd_z": float((macd - kernels.ema(macd, 9)).iloc[-1] / (sigma * c.iloc[-1]))}
-    clipped = np.clip(list(parts.values()), -3, 3)
-    mean, spread = clipped.mean(), clipped.std(ddof=1)
-    t = mean / (spread / np.sqrt(len(clipped))) if spread > 1e-12 else 0.0
-    strength = 1 / (1 + np.exp(-np.clip(2 * abs(mean) - 1, -40, 40)))
-    direction = "neutral" if abs(mean) < 0.25 else "up" if mean > 0 else "down"
-    return pd.DataFrame([row | parts | {"mean": mean, "t": t, "strength": strength, "direction": direction}])
-
-
-@query()
-def intraday_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = "symbol string, bars long, velocity double, acceleration double, rsi_z double, macd_z double, mean double, t double, strength double, direction string"
-    return all_rounded(bars_hourly(spark, sf_dir).groupBy("symbol").applyInPandas(_report, schema), 4)
-
-
 @query(
     f"""WITH {HOURS}, d AS (SELECT *, CAST(ts AS DATE) AS day FROM hours), s AS (SELECT symbol, day, count(*) AS bars, arg_min(c, ts) AS first, arg_max(c, ts) AS last, sum(v) AS v FROM d GROUP BY 1, 2)
 SELECT symbol, day, bars, round(last / first - 1, 6) AS drift, CAST(v AS BIGINT) AS v, max(bars) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS longest_before FROM s"""

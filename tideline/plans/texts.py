@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..operators import dedupe
-from ..sources.tables import HEADLINES, headlines, table
+from ..sources.tables import HEADLINES, headlines, saved, table
 from .registry import query
 
-_WORDS = "list_distinct(list_filter(string_split_regex(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' +'), lambda w: length(w) >= 3))"
+_WORDS = "list_distinct(list_filter(string_split_regex(trim(regexp_replace(regexp_replace(lower(translate(title, 'İI', 'iı')), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' +'), lambda w: length(w) >= 3))"
 
 
 @query(f"WITH {HEADLINES} SELECT id, title, source FROM (SELECT *, row_number() OVER (PARTITION BY lower(substr(title, 1, 60)) ORDER BY source, id) AS k FROM headlines) WHERE k = 1")
@@ -31,7 +31,7 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def headline_near_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headlines that stay when each is dropped that resembles an earlier one that stays."""
     h = headlines(spark, sf_dir)
-    pairs = dedupe.saved(dedupe.jaccard_pairs(h, 0.6))
+    pairs = saved(dedupe.jaccard_pairs(h, 0.6))
     linked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     firsts = h.select("id", F.array_sort(fn.word_set(F.col("title"))).alias("w")).groupBy("w").agg(F.min("id").alias("id")).select("id")
     return firsts.join(linked, "id", "left_anti").union(dedupe.keep_first(pairs, linked))
@@ -94,7 +94,7 @@ def truncate_at_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), fn.truncate_words(F.col("text")).alias("short"))
 
 
-@query("SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '%?\\d+([.,]\\d+)*%?', '…', 'g'), '\\s+', ' ', 'g')) AS stripped FROM conversations")
+@query("SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '(yüzde\\s*)?\\d[\\d.,]*(\\s*(bin|milyon|milyar))?', '…', 'gi'), '\\s\\s+', ' ', 'g')) AS stripped FROM conversations")
 def strip_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", fn.strip_numbers(F.col("text")).alias("stripped"))
 

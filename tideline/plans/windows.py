@@ -80,8 +80,8 @@ def regression_channel_250(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_rounded(ops.regression_channel(bars_daily(spark, sf_dir), 250))
 
 
-def swing_sql(wing: int) -> str:
-    return f"""s AS (SELECT *, count(*) OVER l = {wing} AND count(*) OVER r = {wing} AS whole, max(high) OVER l AS hl, max(high) OVER r AS hr, min(low) OVER l AS ll, min(low) OVER r AS lr FROM bars
+def swing_sql(wing: int, source: str = "bars") -> str:
+    return f"""s AS (SELECT *, count(*) OVER l = {wing} AND count(*) OVER r = {wing} AS whole, max(high) OVER l AS hl, max(high) OVER r AS hr, min(low) OVER l AS ll, min(low) OVER r AS lr FROM {source}
   WINDOW l AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN {wing} PRECEDING AND 1 PRECEDING), r AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 1 FOLLOWING AND {wing} FOLLOWING)),
 swing AS (SELECT symbol, day, 'high' AS kind, high AS price FROM s WHERE whole AND high > hl AND high >= hr UNION ALL SELECT symbol, day, 'low', low FROM s WHERE whole AND low < ll AND low <= lr)"""
 

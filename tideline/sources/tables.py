@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"spark-shared-{application}-")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where that is unset, as in tests, a folder of its own, on a single machine only."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return (where or _own_dir(spark.sparkContext.applicationId)).rstrip("/")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage by a reliable checkpoint: what is read twice is computed once, and lost executors cost a re-read."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return df.checkpoint()
+
+
 def bars_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(symbol, day, open, high, low, close, volume) from line items: a trade is a line, its price that of one unit.
 

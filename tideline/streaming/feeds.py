@@ -6,7 +6,6 @@ checkpoint, and returns the table that its sink has written.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,12 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-
+from ..sources.tables import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of its own where that is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")).rstrip("/")
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
