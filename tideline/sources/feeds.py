@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,3 +69,74 @@ def latest(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """The last row of each key, so that a later one replaces an earlier one."""
     rest = [c for c in rows.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, *(F.col(f"r.{c}") for c in rest))
+
+
+CHART_META = "STRUCT<chart: STRUCT<result: ARRAY<STRUCT<meta: STRUCT<regularMarketPrice: DOUBLE, regularMarketTime: BIGINT, chartPreviousClose: DOUBLE, regularMarketDayHigh: DOUBLE, regularMarketDayLow: DOUBLE>, indicators: STRUCT<quote: ARRAY<STRUCT<close: ARRAY<DOUBLE>>>>>>>>"
+
+
+def live_quote(payloads: DataFrame, payload: str, keys: list[str]) -> DataFrame:
+    """(price, ts, previous, high, low, n) of intraday chart payloads; what the head of a payload lacks comes from its closes. Broken payloads give no row."""
+    r = F.from_json(F.col(payload), CHART_META)["chart"]["result"][0]
+    closes = F.array_compact(F.coalesce(r["indicators"]["quote"][0]["close"], F.array().cast("array<double>")))
+    given = lambda c: F.nullif(r["meta"][c], F.lit(0.0))
+    q = payloads.select(
+        *keys,
+        F.coalesce(given("regularMarketPrice"), F.try_element_at(closes, F.lit(-1))).alias("price"),
+        F.timestamp_seconds(r["meta"]["regularMarketTime"]).alias("ts"),
+        given("chartPreviousClose").alias("previous"),
+        F.coalesce(given("regularMarketDayHigh"), F.array_max(closes)).alias("high"),
+        F.coalesce(given("regularMarketDayLow"), F.array_min(closes)).alias("low"),
+        F.size(closes).alias("n"),
+    )
+    return q.where("price IS NOT NULL")
+
+
+def fixings(payloads: DataFrame, payload: str, keys: list[str]) -> DataFrame:
+    """(day, value) of fixing payloads [{"d": day, "v": [first currency, ...]}]: the first value, of a day's several entries the first."""
+    entries = F.posexplode(F.from_json(F.col(payload), "ARRAY<STRUCT<d: STRING, v: ARRAY<DOUBLE>>>")).alias("pos", "e")
+    rows = payloads.select(*keys, entries).select(*keys, "pos", F.col("e.d").try_cast("date").alias("day"), F.get("e.v", F.lit(0)).alias("value"))
+    return rows.where("day IS NOT NULL AND value IS NOT NULL").groupBy(*keys, "day").agg(F.min_by("value", "pos").alias("value"))
+
+
+def csv_columns(lines: DataFrame, line: str, header: str, names: Mapping[str, Sequence[str]], keys: list[str]) -> DataFrame:
+    """Columns of CSV lines chosen by name: ``names`` maps a column to what its header may be called; a column that no header names is null.
+
+    ``header`` is the file's first line, whose names are compared without regard to case.
+    """
+    heads = [h.strip().strip('"').lower() for h in header.split(",")]
+    parts = F.split(F.col(line), ",")
+    place = {c: next((heads.index(n.lower()) for n in called if n.lower() in heads), None) for c, called in names.items()}
+    value = lambda k: F.lit(None).cast("string") if k is None else F.nullif(F.trim(F.regexp_replace(F.get(parts, F.lit(k)), '^"|"$', "")), F.lit(""))
+    return lines.where(F.col(line) != header).select(*keys, *(value(k).alias(c) for c, k in place.items()))
+
+
+def with_provenance(bars: DataFrame, order: list[tuple[str, str]], valid: Column) -> DataFrame:
+    """The bars of the first source whose bars are all valid, with ``price_source`` and ``price_instrument``.
+
+    ``order`` lists (source, instrument); a source with one bad bar is passed over.
+    """
+    bad = bars.groupBy("source").agg(F.max((~F.coalesce(valid, F.lit(False))).cast("int")).alias("bad")).where("bad = 0")
+    rank = F.create_map(*(F.lit(x) for k, (s, _) in enumerate(order) for x in (s, k)))
+    instrument = F.create_map(*map(F.lit, (x for pair in order for x in pair)))
+    best = bad.withColumn("rank", rank[F.col("source")]).where("rank IS NOT NULL").agg(F.min_by("source", "rank").alias("source"))
+    return bars.join(F.broadcast(best), "source").withColumns({"price_source": F.col("source"), "price_instrument": instrument[F.col("source")]}).drop("source")
+
+
+def complete_futures(bars: DataFrame, include_partial: bool = False) -> DataFrame:
+    """Bars with a close, without the running day unless asked for; an unknown volume is 0."""
+    known = bars.where("close IS NOT NULL")
+    known = known if include_partial else known.where("NOT partial")
+    return known.withColumn("volume", F.coalesce("volume", F.lit(0.0))).drop("partial")
+
+
+def upcoming(events: DataFrame, today: Column, days: int) -> DataFrame:
+    """Events (name, day, clock) within the next days, with the clock three hours east, the days until and whether they are today's."""
+    left = F.datediff("day", today)
+    clock = F.concat(F.lpad(((F.substring("clock", 1, 2).cast("int") + 3) % 24).cast("string"), 2, "0"), F.substring("clock", 3, 3))
+    return events.withColumn("days_until", left).where(F.col("days_until").between(0, days)).select("name", "day", "clock", clock.alias("local_clock"), "days_until", (F.col("days_until") == 0).alias("today"))
+
+
+def recent(rows: DataFrame, stamp: str, since: Column, keep_unknown: bool) -> DataFrame:
+    """Rows stamped since then; those whose stamp does not parse stay or go by ``keep_unknown``."""
+    ts = F.try_to_timestamp(F.col(stamp))
+    return rows.where(F.coalesce(ts >= since, F.lit(keep_unknown)))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -21,7 +21,7 @@ def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def content_id(*columns: str) -> F.Column:
+def content_id(*columns: str) -> Column:
     """A hash that identifies a row by the named columns."""
     return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
 
@@ -58,3 +58,41 @@ def retained(artifacts: DataFrame, keep: int) -> DataFrame:
     """Artifacts (path, written_at, champion) to delete: all but the newest ``keep`` and the champions."""
     rank = F.row_number().over(Window.partitionBy("family").orderBy(F.desc("written_at"), "path"))
     return artifacts.withColumn("k", rank).where((F.col("k") > keep) & ~F.col("champion")).drop("k")
+
+
+def finite(rows: DataFrame) -> DataFrame:
+    """The rows with NaN and infinite values as nulls, as JSON has neither."""
+    real = [c for c, t in rows.dtypes if t in ("double", "float")]
+    return rows.withColumns({c: F.when(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.col(c)) for c in real})
+
+
+def as_json(rows: DataFrame, keys: list[str], name: str = "json") -> DataFrame:
+    """One JSON text for each row, next to its keys; characters of other scripts stay as they are, nulls are left out."""
+    return finite(rows).select(*keys, F.to_json(F.struct(*[c for c in rows.columns if c not in keys])).alias(name))
+
+
+def token_sums(usage: Column) -> tuple[Column, Column]:
+    """Input and output tokens of a run's usage by role (a map of structs)."""
+    total = lambda c: F.aggregate(F.map_values(usage), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x[c], F.lit(0).cast("long")))
+    return total("input_tokens"), total("output_tokens")
+
+
+def documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON documents under ``path``, one a file, with the file's name; none where nothing has been written. Broken ones have null fields."""
+    try:
+        rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], f"{schema}, name string")
+    return rows.withColumn("name", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
+
+
+def reload_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV table with its header, dates and booleans read by the schema; empty if it has not been written."""
+    try:
+        return spark.read.schema(schema).csv(path, header=True)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
