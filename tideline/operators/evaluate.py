@@ -7,25 +7,58 @@ from pyspark.sql import functions as F
 
 
 def metrics(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Errors, direction and skill of ``pred`` against ``actual`` for each of ``by``.
+    """Errors, direction and skill of ``pred`` against ``actual`` for each of ``by``; ``price`` turns returns into money.
 
-    Direction leaves out abstentions (pred 0) and flat outcomes; skills compare
-    with the zero forecast, by absolute and by squared error.
+    A prediction of 0 abstains: it is not active. ``direction`` is over active
+    predictions of moves, ``direction_all`` over all rows, ``active_direction`` over
+    active ones; the balanced one is the mean of both directions' hits. Skills
+    compare with the zero forecast, by absolute and by squared error.
     """
-    e = F.col("pred") - F.col("actual")
-    active = (F.col("pred") != 0) & (F.col("actual") != 0)
-    zero_abs, zero_sq = F.avg(F.abs("actual")), F.avg(F.col("actual") * F.col("actual"))
+    y, p = F.col("actual"), F.col("pred")
+    e = p - y
+    active, same = F.abs(p) > 1e-12, (F.signum(p) == F.signum(y)).cast("double")
+    share = lambda where, what: F.avg(F.when(where, what.cast("double")))
     return pairs.groupBy(*by).agg(
         F.count("*").alias("n"),
         F.avg(F.abs(e)).alias("mae"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
         F.percentile(F.abs(e), 0.5).alias("median_ae"),
         F.avg(e).alias("bias"),
-        F.avg(F.when(active, (F.signum("pred") == F.signum("actual")).cast("double"))).alias("direction"),
+        share(active & (y != 0), same).alias("direction"),
+        F.avg(same).alias("direction_all"),
+        ((share(active & (y > 0), p > 0) + share(active & (y < 0), p < 0)) / 2).alias("balanced_direction"),
+        share(active, same).alias("active_direction"),
+        F.avg(active.cast("double")).alias("active_fraction"),
         F.corr("pred", "actual").alias("correlation"),
-        F.regr_slope("actual", "pred").alias("slope"),
-        (1 - F.avg(F.abs(e)) / F.nullif(zero_abs, F.lit(0.0))).alias("skill_mae"),
-        (1 - F.avg(e * e) / F.nullif(zero_sq, F.lit(0.0))).alias("skill_mse"),
+        (1 - F.avg(e * e) / F.nullif(F.var_pop(y), F.lit(0.0))).alias("r2"),
+        F.when(F.regr_sxx("actual", "pred") > 1e-18, F.regr_slope("actual", "pred")).alias("slope"),
+        (1 - F.avg(F.abs(e)) / F.nullif(F.avg(F.abs(y)), F.lit(0.0))).alias("skill_mae"),
+        (1 - F.avg(e * e) / F.nullif(F.avg(y * y), F.lit(0.0))).alias("skill_mse"),
+        F.avg(F.abs(e) * F.col("price")).alias("price_mae"),
+        F.avg((F.abs(e) * F.col("price") <= 2).cast("double")).alias("within_2"),
+        F.avg((y > 0).cast("double")).alias("always_up"),
+    )
+
+
+def served_metrics(rows: DataFrame, by: list[str]) -> DataFrame:
+    """What was served (pred, weight) against ``actual``: active with a weight of 0.2 and more; an abstention has no direction."""
+    y, p = F.col("actual"), F.col("pred")
+    active = F.col("weight") >= 0.2
+    directional = active & (F.abs(y) > 1e-12) & (F.abs(p) > 1e-12)
+    e = y - p
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("n"),
+        F.avg(F.abs(e)).alias("mae"),
+        F.sqrt(F.avg(e * e)).alias("rmse"),
+        F.avg(-e).alias("bias"),
+        F.avg(F.when(directional, ((y > 0) == (p > 0)).cast("double"))).alias("direction"),
+        F.count_if(directional).alias("directional_rows"),
+        F.avg(active.cast("double")).alias("active_fraction"),
+        F.avg(F.abs(y)).alias("mae_zero"),
+        F.sqrt(F.avg(y * y)).alias("rmse_zero"),
+        (1 - F.avg(F.abs(e)) / F.nullif(F.avg(F.abs(y)), F.lit(0.0))).alias("skill_mae"),
+        (1 - F.avg(e * e) / F.nullif(F.avg(y * y), F.lit(0.0))).alias("skill_mse"),
+        F.avg((F.abs(e) <= 0.02).cast("double")).alias("within_2pp"),
     )
 
 
@@ -78,23 +111,34 @@ def first_issuance(forecasts: DataFrame, keep: int = 180) -> DataFrame:
 
 
 def monitoring(ranked: DataFrame, sizes: tuple[int, ...] = (30, 90)) -> DataFrame:
-    """Metrics of the latest forecasts of each instrument, version and horizon by window, and the drift of the mean prediction from the window before."""
-    size = F.explode(F.array(*map(F.lit, sizes))).alias("window")
-    r = ranked.select("*", size)
+    """Metrics of the latest forecasts of each instrument, version and horizon by window.
+
+    Direction counts forecasts that have a view and outcomes that moved. The drift
+    of the mean prediction needs a full window before. A window of at least 30
+    outcomes that do worse than the zero forecast is an alert.
+    """
+    r = ranked.select("*", F.explode(F.array(*map(F.lit, sizes))).alias("window"))
     now, before = F.col("rank") <= F.col("window"), (F.col("rank") > F.col("window")) & (F.col("rank") <= 2 * F.col("window"))
+    known = now & F.col("price").isNotNull()
     move, actual = F.col("p50") / F.col("base") - 1, F.col("price") / F.col("base") - 1
-    of = lambda x: F.avg(F.when(now, x))
-    hit = F.when((actual != 0) & (move != 0), (F.signum(move) == F.signum(actual)).cast("double"))
+    of = lambda x, where=known: F.avg(F.when(where, x))
+    viewed = known & F.col("has_view") & (actual != 0) & (move != 0)
     g = r.groupBy("instrument", "version", "horizon", "window").agg(
-        F.count(F.when(now & F.col("price").isNotNull(), 1)).alias("settled"),
+        F.count_if(now).alias("predictions"),
+        F.count_if(known).alias("resolved"),
         of(F.abs(move - actual)).alias("mae"),
         of(move - actual).alias("bias"),
         of(F.abs(F.col("p50") - F.col("price"))).alias("price_mae"),
-        of(hit).alias("direction"),
-        of(F.when(F.col("price").isNotNull(), F.col("price").between(F.col("p10"), F.col("p90")).cast("double"))).alias("coverage"),
-        (of(move) - F.avg(F.when(before, move))).alias("drift"),
+        of((F.signum(move) == F.signum(actual)).cast("double"), viewed).alias("direction"),
+        F.count_if(viewed).alias("directional"),
+        of(F.col("price").between(F.col("p10"), F.col("p90")).cast("double")).alias("coverage"),
+        of(F.col("disagreement"), now).alias("disagreement"),
+        of(move, now).alias("mean_prediction"),
+        F.when(F.count_if(before) == F.col("window"), of(move, now) - of(move, before)).alias("drift"),
+        of(F.abs(actual)).alias("zero"),
     )
-    return g.withColumn("alert", F.coalesce((F.col("coverage") < 0.6) | (F.col("direction") < 0.4), F.lit(False)))
+    skill = F.when(F.col("zero") > 0, 1 - F.col("mae") / F.col("zero"))
+    return g.withColumn("skill", skill).withColumn("alert", F.coalesce((F.col("resolved") >= 30) & (F.col("skill") < 0), F.lit(False))).drop("zero")
 
 
 def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -108,18 +152,27 @@ def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return r.groupBy(*by).agg(F.corr(x, y).alias("pearson"), F.corr(f"rank_{x}", f"rank_{y}").alias("spearman"))
 
 
-def block_bootstrap(rows: DataFrame, value: str, block: int = 30, reps: int = 200, seed: int = 42, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Mean of ``value`` and the 2.5 and 97.5 % points of its moving-block bootstrap, for each of ``by``.
+def block_bootstrap(rows: DataFrame, by: tuple[str, ...], block: int = 30, reps: int = 500, seed: int = 104) -> DataFrame:
+    """The 2.5 and 97.5 % points of error, direction and skill of (day, pred, actual) under a moving-block bootstrap.
 
-    A replicate is a row of random block starts; block sums come from prefix sums,
-    so a replicate joins blocks and not rows: reps * n / block pairs of sums.
+    A replicate is a row of block starts, the last block cut so that it has as many
+    rows as there are. Sums over a block are differences of running sums, so a
+    replicate joins blocks and not rows. Starts are hashes, the same everywhere.
     """
-    w = Window.partitionBy(*by).orderBy("day")
-    r = rows.where(F.col(value).isNotNull()).select(*by, F.row_number().over(w).alias("i"), F.col(value).alias("v"), F.count("*").over(Window.partitionBy(*by)).alias("n"))
-    sums = r.select(*by, "i", "n", F.sum("v").over(Window.partitionBy(*by).orderBy("i").rowsBetween(0, block - 1)).alias("s")).where(F.col("i") <= F.col("n") - block + 1)
-    size = r.groupBy(*by).agg(F.first("n").alias("n"), F.avg("v").alias("mean"))
-    draws = size.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("n") / block))))
-    draws = draws.withColumn("i", (F.pmod(F.xxhash64(*by, "rep", "k", F.lit(seed)), F.col("n") - block + 1) + 1).cast("int"))
-    means = draws.join(sums.select(*by, "i", "s"), [*by, "i"]).groupBy(*by, "rep").agg((F.sum("s") / (F.count("*") * block)).alias("m"))
-    ci = means.groupBy(*by).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
-    return size.select(*by, "n", "mean").join(ci, list(by))
+    valid = (F.abs("pred") > 1e-12) & (F.col("actual") != 0)
+    hit = (valid & (F.signum("pred") == F.signum("actual"))).cast("double")
+    parts = {"e": F.abs(F.col("pred") - F.col("actual")), "y": F.abs("actual"), "h": hit, "v": valid.cast("double")}
+    w = Window.partitionBy(*by).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    r = rows.select(*by, F.count("*").over(w).cast("int").alias("i"), *(F.sum(x).over(w).alias(k) for k, x in parts.items()))
+    size = r.groupBy(*by).agg(F.max("i").alias("n"))
+    cums = r.unionByName(size.select(*by, F.lit(0).alias("i"), *(F.lit(0.0).alias(k) for k in parts)))
+    b = F.least(F.lit(block), F.col("n"))
+    draws = size.withColumn("b", b).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("k", F.explode(F.sequence(F.lit(1), F.ceil(F.col("n") / F.col("b")).cast("int"))))
+    code = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), "rep", "k")), 1, 8), 16, 10).cast("long")
+    draws = draws.withColumn("first", (code % (F.col("n") - F.col("b") + 1)).cast("int"))
+    draws = draws.withColumn("stop", F.col("first") + F.least(F.col("b"), F.col("n") - (F.col("k") - 1) * F.col("b")))
+    at = lambda name, side: cums.select(*by, F.col("i").alias(name), *(F.col(k).alias(f"{side}_{k}") for k in parts))
+    j = draws.join(at("first", "a"), [*by, "first"]).join(at("stop", "z"), [*by, "stop"])
+    sums = j.groupBy(*by, "n", "rep").agg(*(F.sum(F.col(f"z_{k}") - F.col(f"a_{k}")).alias(k) for k in parts))
+    each = sums.select(*by, "n", (F.col("e") / F.col("n")).alias("mae"), F.when(F.col("v") > 0.5, F.col("h") / F.col("v")).alias("direction"), F.when(F.col("y") > 0, 1 - F.col("e") / F.col("y")).alias("skill"))
+    return each.groupBy(*by, "n").agg(*(F.percentile(c, q).alias(f"{c}_{name}") for c in ("mae", "direction", "skill") for name, q in (("low", 0.025), ("high", 0.975))))

@@ -35,14 +35,14 @@ def live_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("symbol", "day", F.round("price", 6).alias("price"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.round("high", 6).alias("high"), F.round("low", 6).alias("low"), "n")
 
 
-@query(f"WITH {BARS} SELECT symbol, day, round(close, 3) AS value FROM bars")
+@query(f"WITH {BARS} SELECT symbol, day, round(close, 8) AS value FROM bars")
 def fixing_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fixing payload for each symbol and year; days that come twice keep their first entry."""
     b = bars_daily(spark, sf_dir)
-    e = F.struct(F.date_format("day", "yyyy-MM-dd").alias("d"), F.array(F.round("close", 3), F.lit(-1.0)).alias("v"))
+    e = F.struct(F.date_format("day", "yyyy-MM-dd").alias("d"), F.array("close", F.lit(-1.0)).alias("v"))
     again = F.struct(F.date_format("day", "yyyy-MM-dd").alias("d"), F.array(F.lit(0.5)).alias("v"))
     g = b.groupBy("symbol", F.year("day").alias("year")).agg(F.to_json(F.concat(F.collect_list(e), F.collect_list(again))).alias("payload"))
-    return feeds.fixings(g, "payload", ["symbol", "year"]).select("symbol", "day", "value")
+    return feeds.fixings(g, "payload", ["symbol", "year"]).select("symbol", "day", F.round("value", 8).alias("value"))
 
 
 @query(
