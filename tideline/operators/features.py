@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,8 +98,38 @@ def walk_forward(rows: DataFrame, folds: tuple[float, ...] = (0.55, 0.70, 0.85),
     return f.groupBy("symbol", "horizon", "fold", "part").agg(F.count("*").alias("n"), F.min("day").alias("first"), F.max("day").alias("last"))
 
 
+def calibration_split(rows: DataFrame, share: float = 0.6, least: int = 10) -> DataFrame:
+    """(symbol, horizon, fold, day, use): calibration rows of ``fold_rows`` for the weight, and later ones for the interval.
+
+    Rows for the weight have targets that matured before the first row for the
+    interval. A fold with fewer than ``least`` of either has none.
+    """
+    w = Window.partitionBy("symbol", "horizon", "fold")
+    c = rows.where("part = 'calibrate'").withColumns({"i": F.row_number().over(w.orderBy("day")), "n": F.count("*").over(w)})
+    c = c.withColumn("late", F.col("i") > F.greatest(F.lit(1), F.floor(F.col("n") * share)))
+    c = c.withColumn("first", F.min(F.when(F.col("late"), F.col("day"))).over(w))
+    c = c.withColumn("use", F.when(F.col("late"), "interval").when(F.col("target_day") < F.col("first"), "weight")).where("use IS NOT NULL")
+    c = c.withColumns({"a": F.count_if(F.col("use") == "weight").over(w), "b": F.count_if(F.col("use") == "interval").over(w)})
+    return c.where((F.col("a") >= least) & (F.col("b") >= least)).select("symbol", "horizon", "fold", "day", "use")
+
+
+def imputed(rows: DataFrame, columns: Sequence[str], train: Column) -> DataFrame:
+    """Unknown values of ``columns`` become the median of the symbol's training rows, or 0 if these know none."""
+    m = rows.where(train).groupBy("symbol").agg(*(F.percentile(F.when(~F.isnan(c), F.col(c)), 0.5).alias(f"m_{c}") for c in columns))
+    j = rows.join(m, "symbol", "left")
+    return j.withColumns({c: F.coalesce(F.when(~F.isnan(c), F.col(c)), F.col(f"m_{c}"), F.lit(0.0)) for c in columns}).select(*rows.columns)
+
+
+def latest_vector(rows: DataFrame, columns: Sequence[str], frozen_rows: DataFrame) -> DataFrame:
+    """(symbol, day, price, fingerprint, frozen) of each symbol's last row: a hash of its features in millionths, and the features that stand still."""
+    last = rows.groupBy("symbol").agg(F.max_by(F.struct("day", "close", *columns), "day").alias("r")).select("symbol", "r.*")
+    line = F.concat_ws(",", *(F.round(F.col(c) * 1e6).cast("long").cast("string") for c in columns))
+    still = frozen_rows.where("frozen").groupBy("symbol").agg(F.array_join(F.array_sort(F.collect_list("feature")), ",").alias("frozen"))
+    return last.join(still, "symbol", "left").select("symbol", "day", F.col("close").alias("price"), F.sha2(line, 256).alias("fingerprint"), F.coalesce("frozen", F.lit("")).alias("frozen"))
+
+
 def rolling_baselines(labels: DataFrame, last: int = 126) -> DataFrame:
-    """For each row, of the targets that had matured before its day: their mean, the mean of the last ``last`` by maturity, and the sign of the majority.
+    """For each row, of the targets that had matured before its day: their mean, the mean of the last ``last`` by maturity, and the majority's direction (up, if half are) with the median size.
 
     Targets of a symbol and horizon mature in the order of their days, so what has
     matured is a prefix of the targets sorted by maturity: the running sums as of
@@ -108,11 +140,11 @@ def rolling_baselines(labels: DataFrame, last: int = 126) -> DataFrame:
     w = Window.partitionBy(*key).orderBy("target_day", "day")
     far = w.rowsBetween(Window.unboundedPreceding, 0)
     near = w.rowsBetween(-(last - 1), 0)
-    run = known.select(*key, F.col("target_day").alias("at"), "day", F.struct(F.avg("target_return").over(far).alias("mean"), F.avg("target_return").over(near).alias("rolling"), F.sum(F.signum("target_return")).over(far).alias("votes")).alias("s"))
+    run = known.select(*key, F.col("target_day").alias("at"), "day", F.struct(F.avg("target_return").over(far).alias("mean"), F.avg("target_return").over(near).alias("rolling"), F.avg((F.col("target_return") > 0).cast("double")).over(far).alias("up"), F.percentile(F.abs("target_return"), 0.5).over(far).alias("size")).alias("s"))
     run = run.groupBy(*key, "at").agg(F.max_by("s", "day").alias("s"))
     probes = labels.select(*key, F.date_sub("day", 1).alias("at"))
     hit = asof.backward(probes, run, key, "at", "s")
-    return labels.select(*key, "day", F.date_sub("day", 1).alias("at")).join(hit, [*key, "at"], "left").select(*key, "day", "s.mean", "s.rolling", F.signum("s.votes").alias("majority"))
+    return labels.select(*key, "day", F.date_sub("day", 1).alias("at")).join(hit, [*key, "at"], "left").select(*key, "day", "s.mean", "s.rolling", (F.when(F.col("s.up") >= 0.5, F.col("s.size")).otherwise(-F.col("s.size"))).alias("majority"))
 
 
 def momentum_labels(bars: DataFrame) -> DataFrame:

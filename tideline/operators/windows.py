@@ -142,9 +142,12 @@ def cone(bars: DataFrame, horizons: tuple[int, ...] = (21, 63, 126)) -> DataFram
 
 
 def engineered(bars: DataFrame) -> DataFrame:
-    """Past-only features: returns 10/40, distances from means, z-score 20, percentile 60, volatility ratio and log slope 20."""
+    """Past-only features: returns 10/40, distances from means, z-score 20, percentile 60, volatility ratios, log slope 20, and the changes over five bars of the strength index and of the five-bar return."""
     close, w = F.col("close"), ordered()
-    b = bars.withColumns({"r": log_return(), "y": F.log("close"), "x": F.row_number().over(w).cast("double")})
+    b = bars.withColumns({"r": log_return(), "y": F.log("close"), "x": F.row_number().over(w).cast("double"), "d": close - F.lag("close").over(w)})
+    gains, losses = (F.avg(F.greatest(x, F.lit(0.0))).over(last_rows(14)) for x in (F.col("d"), -F.col("d")))
+    simple = 100 - 100 / (1 + gains / F.when(losses == 0, 1e-9).otherwise(losses))
+    b = b.withColumns({"rsi": (simple - 50) / 50, "r5": close / F.lag("close", 5).over(w) - 1})
     below = F.size(F.filter(F.collect_list("close").over(last_rows(60)), lambda v: v <= F.col("close"))) / 60.0
     sd = F.stddev_pop("close").over(last_rows(20))
     f = b.select(
@@ -155,7 +158,9 @@ def engineered(bars: DataFrame) -> DataFrame:
         *((close / F.avg("close").over(last_rows(n)) - 1).alias(f"sma_distance_{n}") for n in (20, 100, 200)),
         F.when(sd > 1e-12, (close - F.avg("close").over(last_rows(20))) / sd).otherwise(0.0).alias("zscore_20"),
         below.alias("percentile_60"),
-        (F.stddev_pop("r").over(last_rows(10)) / F.stddev_pop("r").over(last_rows(60))).alias("vol_ratio"),
+        *((F.stddev_pop("r").over(last_rows(a)) / F.greatest(F.stddev_pop("r").over(last_rows(b_)), F.lit(1e-12))).alias(f"vol_{a}_over_{b_}") for a, b_ in ((5, 20), (20, 60))),
+        (F.col("rsi") - F.lag("rsi", 5).over(w)).alias("rsi_slope_5"),
+        (F.col("r5") - F.lag("r5", 5).over(w)).alias("momentum_acceleration"),
         (F.regr_sxy("y", "x").over(last_rows(20)) / F.regr_sxx("y", "x").over(last_rows(20))).alias("log_slope_20"),
     )
     return f.where("x > 200").drop("x")

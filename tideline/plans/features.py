@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import asof
 from ..operators import features as ops
-from ..sources.tables import BARS, MACRO, bars_daily, macro_observations, table
+from ..operators.windows import gold_features
+from ..sources.tables import BARS, MACRO, bars_daily, macro_observations, saved, table
 from .bars import rounded
 from .joins import LABELS, _first
 from .registry import SQL, query
@@ -128,15 +129,72 @@ def walk_forward_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {BARS}, {LABELS}, k AS (SELECT * FROM labels_ WHERE target_day IS NOT NULL),
-j AS (SELECT l.symbol, l.horizon, l.day, k.target_return AS t, row_number() OVER (PARTITION BY l.symbol, l.horizon, l.day ORDER BY k.target_day DESC, k.day DESC) AS r FROM labels_ l LEFT JOIN k ON k.symbol = l.symbol AND k.horizon = l.horizon AND k.target_day < l.day WHERE l.horizon = 7 AND l.day < DATE '1993-01-01')
-SELECT symbol, horizon, day, round(avg(t), 6) AS mean, round(avg(t) FILTER (WHERE r <= 126), 6) AS rolling, CAST(sign(sum(sign(t))) AS DOUBLE) AS majority FROM j GROUP BY symbol, horizon, day"""
+j AS (SELECT l.symbol, l.horizon, l.day, k.target_return AS t, row_number() OVER (PARTITION BY l.symbol, l.horizon, l.day ORDER BY k.target_day DESC, k.day DESC) AS r FROM labels_ l LEFT JOIN k ON k.symbol = l.symbol AND k.horizon = l.horizon AND k.target_day < l.day)
+SELECT symbol, horizon, day, round(avg(t), 6) AS mean, round(avg(t) FILTER (WHERE r <= 126), 6) AS rolling, round(CASE WHEN avg((t > 0)::INT) >= 0.5 THEN median(abs(t)) ELSE -median(abs(t)) END, 6) AS majority FROM j GROUP BY symbol, horizon, day"""
 )
 def rolling_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = asof.forward_return(bars_daily(spark, sf_dir)).where("horizon = 7")
-    return all_rounded(ops.rolling_baselines(labels)).where("day < DATE '1993-01-01'")
+    return all_rounded(ops.rolling_baselines(asof.forward_return(saved(bars_daily(spark, sf_dir)))))
 
 
-@query()
-def rolling_baselines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All horizons and days; the SQL of ``rolling_baselines`` keeps its quadratic join small with one horizon and the days before 1993."""
-    return all_rounded(ops.rolling_baselines(asof.forward_return(bars_daily(spark, sf_dir))))
+_TAIL = _FOLDS.replace("greatest(30, floor(m * 0.2::DOUBLE))", "126")
+
+
+@query(
+    f"""{_TAIL}, c AS (SELECT symbol, horizon, fold, count(*) FILTER (WHERE usable) AS history, count(*) FILTER (WHERE part = 'train') AS train, count(*) FILTER (WHERE part = 'calibrate') AS calibrate, count(*) FILTER (WHERE part = 'test') AS test FROM p GROUP BY 1, 2, 3)
+SELECT symbol, horizon, CAST(fold AS INTEGER) AS fold, train, calibrate, test, CASE WHEN history < 250 THEN 'too little history' WHEN train < 100 THEN 'too little to train on' ELSE 'ok' END AS state FROM c"""
+)
+def research_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expanding folds with the last 126 matured rows for calibration; a fold needs 250 rows of history and 100 to train on."""
+    f = ops.fold_rows(asof.forward_return(saved(bars_daily(spark, sf_dir))), calibration=0.0, least=126)
+    # rows between the training rows and the calibration are history too, unless their target matured in the test
+    n = lambda p: F.count_if(F.col("part") == p)
+    test = F.min(F.when(F.col("part") == "test", F.col("day"))).over(Window.partitionBy("symbol", "horizon", "fold"))
+    g = f.withColumn("test_day", test).groupBy("symbol", "horizon", "fold").agg(n("train").alias("train"), n("calibrate").alias("calibrate"), n("test").alias("test"), F.count_if((F.col("part") != "test") & (F.col("target_day") < F.col("test_day"))).alias("history"))
+    state = F.when(F.col("history") < 250, "too little history").when(F.col("train") < 100, "too little to train on").otherwise("ok")
+    return g.select("symbol", "horizon", "fold", "train", "calibrate", "test", state.alias("state"))
+
+
+@query(
+    f"""{_FOLDS}, c AS (SELECT *, row_number() OVER (PARTITION BY symbol, horizon, fold ORDER BY day) AS j, count(*) OVER (PARTITION BY symbol, horizon, fold) AS nc FROM p WHERE part = 'calibrate'),
+l AS (SELECT *, j > greatest(1, floor(nc * 0.6::DOUBLE)) AS late FROM c), q AS (SELECT *, min(CASE WHEN late THEN day END) OVER (PARTITION BY symbol, horizon, fold) AS first FROM l),
+us AS (SELECT *, CASE WHEN late THEN 'interval' WHEN target_day < first THEN 'weight' END AS use FROM q), z AS (SELECT symbol, horizon, CAST(fold AS INTEGER) AS fold, use, count(*) AS n, min(day) AS first, max(day) AS last FROM us WHERE use IS NOT NULL GROUP BY ALL)
+SELECT z.* FROM z JOIN (SELECT symbol, horizon, fold FROM z WHERE n >= 10 GROUP BY ALL HAVING count(*) = 2) ok USING (symbol, horizon, fold)"""
+)
+def calibration_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = ops.calibration_split(ops.fold_rows(asof.forward_return(saved(bars_daily(spark, sf_dir)))))
+    return f.groupBy("symbol", "horizon", "fold", "use").agg(F.count("*").alias("n"), F.min("day").alias("first"), F.max("day").alias("last"))
+
+
+_MILLIONTHS = " || ',' || ".join(f"CAST(round({c} * 1e6) AS BIGINT)" for c in ops.GOLD)
+
+
+@query(
+    f"""WITH {BARS}, {_GOLD_CTE}, gg AS (SELECT * FROM f WHERE n > 60), l AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY day DESC) AS r, count(*) OVER (PARTITION BY symbol) AS m FROM gg),
+z AS (SELECT symbol, list_filter([{", ".join(f"CASE WHEN count(DISTINCT {c}) FILTER (WHERE r <= 16) = 1 AND max(m) >= 16 THEN '{c}' END" for c in sorted(ops.GOLD))}], lambda x: x IS NOT NULL) AS still FROM l GROUP BY symbol)
+SELECT l.symbol, day, round(close, 6) AS price, sha256({_MILLIONTHS}) AS fingerprint, array_to_string(still, ',') AS frozen FROM l JOIN z USING (symbol) WHERE r = 1"""
+)
+def latest_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = saved(gold_features(bars_daily(spark, sf_dir)))
+    return ops.latest_vector(g, ops.GOLD, ops.frozen(g, list(ops.GOLD))).withColumn("price", F.round("price", 6))
+
+
+_EXTRA = ("return_10", "return_40", "sma_distance_200")
+
+
+@query(
+    f"""WITH {BARS}, {_GOLD_CTE}, e AS (SELECT symbol, day, close / lag(close, 10) OVER w - 1 AS return_10, close / lag(close, 40) OVER w - 1 AS return_40, CASE WHEN row_number() OVER w > 200 THEN close / avg(close) OVER (PARTITION BY symbol ORDER BY day ROWS 199 PRECEDING) - 1 END AS sma_distance_200 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY day)),
+gg AS (SELECT f.*, return_10, return_40, sma_distance_200 FROM f JOIN e USING (symbol, day) WHERE n > 60), m AS (SELECT symbol, {", ".join(f"median({c}) FILTER (WHERE day < DATE '1996-01-01') AS m_{c}" for c in (*ops.GOLD, *_EXTRA))}, quantile_cont(volatility_20, 1.0 / 3) FILTER (WHERE day < DATE '1996-01-01') AS v1, quantile_cont(volatility_20, 2.0 / 3) FILTER (WHERE day < DATE '1996-01-01') AS v2 FROM gg GROUP BY symbol)
+SELECT gg.symbol, day, {", ".join(f"round(coalesce({c}, m_{c}, 0), 6) AS {c}" for c in (*ops.GOLD, *_EXTRA))}, (volatility_20 < v1)::INT AS low_vol, (volatility_20 > v2)::INT AS high_vol, (ma50_distance > 0.02)::INT AS bull, (ma50_distance < -0.02)::INT AS bear FROM gg JOIN m USING (symbol)"""
+)
+def design_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The widest design: bar features, engineered ones and regime flags; unknown values and thresholds come from training rows alone."""
+    b = saved(bars_daily(spark, sf_dir))
+    w = Window.partitionBy("symbol").orderBy("day")
+    c = F.col("close")
+    e = b.select("symbol", "day", *((c / F.lag("close", k).over(w) - 1).alias(f"return_{k}") for k in (10, 40)), F.when(F.row_number().over(w) > 200, c / F.avg("close").over(w.rowsBetween(-199, 0)) - 1).alias("sma_distance_200"))
+    g = saved(gold_features(b).join(e, ["symbol", "day"]))
+    train, columns = F.col("day") < "1996-01-01", (*ops.GOLD, *_EXTRA)
+    cuts = g.where(train).groupBy("symbol").agg(F.percentile("volatility_20", [1 / 3, 2 / 3]).alias("v"))
+    d = ops.imputed(g, columns, train).join(cuts, "symbol")
+    flags = {"low_vol": F.col("volatility_20") < F.col("v")[0], "high_vol": F.col("volatility_20") > F.col("v")[1], "bull": F.col("ma50_distance") > 0.02, "bear": F.col("ma50_distance") < -0.02}
+    return all_rounded(d.select("symbol", "day", *columns, *(x.cast("int").alias(k) for k, x in flags.items())))

@@ -79,12 +79,13 @@ def mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {BARS}, {LABELS}, q AS (SELECT symbol, horizon, quantile_cont(target_return, 0.01) AS lo, quantile_cont(target_return, 0.99) AS hi FROM labels_ GROUP BY 1, 2)
+    f"""WITH {BARS}, {LABELS}, q AS (SELECT symbol, horizon, quantile_cont(target_return, 0.01) AS lo, quantile_cont(target_return, 0.99) AS hi FROM labels_ WHERE target_day < DATE '1996-01-01' GROUP BY 1, 2)
 SELECT l.symbol, l.horizon, day, round(least(greatest(target_return, lo), hi), 6) AS target, round(ln(1 + target_return), 6) AS log_target FROM labels_ l JOIN q ON q.symbol = l.symbol AND q.horizon = l.horizon WHERE target_return IS NOT NULL"""
 )
 def target_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets clipped at the 1 and 99 % points of what had matured before 1996, the training rows, and their logarithms."""
     l = asof.forward_return(bars_daily(spark, sf_dir)).where("target_return IS NOT NULL")
-    q = l.groupBy("symbol", "horizon").agg(F.percentile("target_return", [0.01, 0.99]).alias("q"))
+    q = l.where("target_day < DATE '1996-01-01'").groupBy("symbol", "horizon").agg(F.percentile("target_return", [0.01, 0.99]).alias("q"))
     j = l.join(q, ["symbol", "horizon"])
     return all_rounded(j.select("symbol", "horizon", "day", F.least(F.greatest("target_return", F.col("q")[0]), F.col("q")[1]).alias("target"), F.log1p("target_return").alias("log_target")))
 

@@ -121,11 +121,12 @@ def base_cone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {BARS}, d AS (SELECT *, ln(close / lag(close) OVER w) AS r, ln(close) AS y, CAST(row_number() OVER w AS DOUBLE) AS x FROM bars {_W}),
+    f"""WITH {BARS}, d0 AS (SELECT *, ln(close / lag(close) OVER w) AS r, ln(close) AS y, CAST(row_number() OVER w AS DOUBLE) AS x, close - lag(close) OVER w AS d, close / lag(close, 5) OVER w - 1 AS r5 FROM bars {_W}),
+d1 AS (SELECT *, avg(greatest(d, 0)) OVER {frame(14)} AS up, avg(greatest(-d, 0)) OVER {frame(14)} AS down FROM d0), d AS (SELECT *, (100 - 100 / (1 + up / CASE WHEN down = 0 THEN 1e-9 ELSE down END) - 50) / 50 AS rsi FROM d1),
 e AS (SELECT *, stddev_pop(close) OVER {frame(20)} AS sd, avg(close) OVER {frame(20)} AS m20, list(close) OVER {frame(60)} AS c60 FROM d)
 SELECT * EXCLUDE (x) FROM (SELECT symbol, day, x, {", ".join(f"round(close / lag(close, {k}) OVER w - 1, 6) AS return_{k}" for k in (10, 40))}, {", ".join(f"round(close / avg(close) OVER {frame(n)} - 1, 6) AS sma_distance_{n}" for n in (20, 100, 200))},
   round(CASE WHEN sd > 1e-12 THEN (close - m20) / sd ELSE 0 END, 6) AS zscore_20, round(len(list_filter(c60, lambda v: v <= close)) / 60.0::DOUBLE, 6) AS percentile_60,
-  round(stddev_pop(r) OVER {frame(10)} / stddev_pop(r) OVER {frame(60)}, 6) AS vol_ratio, round(regr_sxy(y, x) OVER {frame(20)} / regr_sxx(y, x) OVER {frame(20)}, 6) AS log_slope_20 FROM e {_W}) WHERE x > 200"""
+  {", ".join(f"round(stddev_pop(r) OVER {frame(a)} / greatest(stddev_pop(r) OVER {frame(b)}, 1e-12), 6) AS vol_{a}_over_{b}" for a, b in ((5, 20), (20, 60)))}, round(rsi - lag(rsi, 5) OVER w, 6) AS rsi_slope_5, round(r5 - lag(r5, 5) OVER w, 6) AS momentum_acceleration, round(regr_sxy(y, x) OVER {frame(20)} / regr_sxx(y, x) OVER {frame(20)}, 6) AS log_slope_20 FROM e {_W}) WHERE x > 200"""
 )
 def engineered_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_rounded(ops.engineered(bars_daily(spark, sf_dir)))
