@@ -90,8 +90,28 @@ def test_vectors_match_brute_force(spark):
     assert (kept.kept == (kept.vec_id == kept.component_id)).all()
 
 
+@pytest.mark.parametrize("long", [40, 2048])
+def test_recall_just_above_the_threshold(spark, monkeypatch, long):
+    """Pairs planted at cosines from 0.9805 to 0.985, with lists divided by their second pivot, and not; nothing below counts."""
+    monkeypatch.setattr(near_vectors, "LONG", long)
+    monkeypatch.setattr(near_vectors, "BLOCK", 16)
+    g = np.random.default_rng(12)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    base = unit(g.normal(size=(1500, 32)))
+    aside = unit(g.normal(size=base.shape))
+    aside = unit(aside - (aside * base).sum(1)[:, None] * base)
+    c = np.concatenate([g.uniform(0.9805, 0.985, 1000), g.uniform(0.95, 0.9795, 500)])[:, None]
+    e = np.vstack([base, c * base + np.sqrt(1 - c * c) * aside])
+    rows = [(i, v.tolist(), 1, "x", "y") for i, v in enumerate(e)]
+    got = near_vectors.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, vec string, weight string")).toPandas().set_index("vec_id").sort_index().n_links
+    link = (e @ e.T >= 0.98).sum(1) - 1
+    assert (got.to_numpy() <= link).all() and got.sum() >= 0.95 * link.sum() and link.sum() >= 2000
+
+
 def test_vectors_of_nothing(spark):
     assert near_vectors.link_vectors(vectors(spark, [])).count() == 0
+    two = near_vectors.link_vectors(vectors(spark, [(1, [1.0, 0.0], 0, "", ""), (2, [1.0, 0.01], 0, "", "")])).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in two) == [(1, 1, 1), (2, 1, 1)]
 
 
 def test_recall_on_the_table(spark):
