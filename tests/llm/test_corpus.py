@@ -279,6 +279,30 @@ def test_reputation_blocks_only_beyond_doubt(spark):
     assert got["bad.spam.net"].good < got["few.spam.net"].good < got["new.fine.net"].good
 
 
+def test_posterior_is_the_beta_distribution(spark):
+    """Against sums of binomial terms, which the distribution is for whole numbers; and a case by quadrature."""
+    from math import comb, lgamma
+
+    whole = [(1, 5), (3, 9), (40, 61), (400, 500), (2, 300)]
+    rows = spark.createDataFrame([(float(a), float(b)) for a, b in whole] + [(2.5, 7.25)], "a double, b double")
+    got = [tuple(r) for r in rows.select(host_reputation.upper_tail(F.col("a"), F.col("b"), 0.5), host_reputation.log_gamma(F.col("a"))).collect()]
+    for (a, b), (tail, gamma) in zip(whole, got, strict=False):
+        n = a + b - 1
+        assert tail == pytest.approx(sum(comb(n, k) for k in range(a)) / 2**n, rel=1e-8) and gamma == pytest.approx(lgamma(a), abs=1e-10)
+    x = (np.arange(400_000) + 0.5) / 400_000
+    density = x**1.5 * (1 - x) ** 6.25
+    assert got[-1][0] == pytest.approx(density[200_000:].sum() / density.sum(), rel=1e-6)
+
+
+def test_suffix_file_and_clashing_names(spark, tmp_path):
+    (tmp_path / "list.dat").write_text("// comment\ncom\nco.uk\n*.ck\n!www.ck\na.b.c\nCOM.tr\n")
+    assert host_reputation.read_suffixes(spark, str(tmp_path / "list.dat")) == ("co.uk", "com.tr")
+    long = "http://x.co.uk/" + "a" * 100_000
+    pages = spark.createDataFrame([(1, long, 7, "d", "s", "p", "r"), (1, long, 8, "d", "s", "p", "r")], "page_id long, url string, id int, domain string, suffix string, path string, rule string")
+    got = host_reputation.judge_urls(pages, spark.createDataFrame([], "id long, good boolean"), host_reputation.RULES).collect()
+    assert len(got) == 2 and all(len(r.path) == 100_001 and r.verdict == "allow" for r in got)
+
+
 def test_no_pages(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert host_reputation.judge_urls(pages, spark.createDataFrame([], "id long, good boolean"), host_reputation.RULES).count() == 0

@@ -4,14 +4,16 @@ Labelled page outcomes are counted by host. The rate of a suffix is shrunk to th
 rate of all pages, that of a registered domain to its suffix, and that of a host
 to its domain, each through a beta prior whose strength is estimated from how
 much the rates at that level differ beyond chance. A host is blocked only if its
-posterior is low beyond doubt: the upper bound must be under the threshold.
+posterior is low beyond doubt: the upper quantile of the beta distribution must be
+under the threshold, which is to say that next to nothing of it lies above.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import written
@@ -19,8 +21,8 @@ from .storage import written
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Suffixes of two labels under which names are registered; a parameter, as the full public list changes.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "or.jp", "ne.jp", "co.nz", "com.br", "com.cn", "co.in", "co.za", "com.mx", "com.tr")
-#: A host is blocked if mean + Z sd of its posterior is under THRESHOLD.
-THRESHOLD, Z = 0.5, 1.645
+#: A host is blocked if less than DOUBT of its posterior is at THRESHOLD and above: its (1 - DOUBT) quantile is below.
+THRESHOLD, DOUBT = 0.5, 0.05
 #: Limits of a prior's strength, in pages.
 WEAKEST, STRONGEST = 1.0, 1000.0
 
@@ -52,6 +54,39 @@ def registered_domain(host: Column, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES
     return F.when(long, F.substring_index(host, ".", -3)).otherwise(two), F.when(long, two).otherwise(F.substring_index(host, ".", -1))
 
 
+def read_suffixes(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """The suffixes of two labels in a file of the public list's form: one a line, comments after ``//``, no wildcards."""
+    lines = spark.read.text(path).where(r"value RLIKE '^[^/!*.\\s]+\\.[^/.\\s]+\\s*$'").select(F.lower(F.trim("value")).alias("s")).distinct()
+    return tuple(sorted(r.s for r in lines.collect()))
+
+
+def log_gamma(z: Column) -> Column:
+    """By Stirling's series at z + 8, and back in eight steps; to about 1e-11 for positive z."""
+    w = z + 8
+    steps = F.lit(1.0)
+    for i in range(8):
+        steps = steps * (z + i)
+    series = 1 / (12 * w) - 1 / (360 * w * w * w) + 1 / (1260 * w * w * w * w * w) - 1 / (1680 * w * w * w * w * w * w * w)
+    return (w - 0.5) * F.log(w) - w + F.lit(0.5 * math.log(2 * math.pi)) + series - F.log(steps)
+
+
+def upper_tail(a: Column, b: Column, t: float) -> Column:
+    """P(x >= t) of a beta distribution whose mean is below ``t``, by the series of the incomplete beta function.
+
+    The terms fall from the first on, and after some multiple of sqrt(a + b) of
+    them the rest is below what a double holds.
+    """
+    terms = F.sequence(F.lit(1), (60 + 12 * F.sqrt(a + b)).cast("int"))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def step(s: Column, n: Column) -> Column:
+        term = s["term"] * (a + b + n - 1) / (b + n) * (1 - t)
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+    scale = F.exp(b * math.log(1 - t) + a * math.log(t) + log_gamma(a + b) - log_gamma(a) - log_gamma(b) - F.log(b))
+    return scale * F.aggregate(terms, start, step, lambda s: s["sum"])
+
+
 def _strength(groups: DataFrame) -> DataFrame:
     """One row: the prior strength 1 / rho - 1, with rho from the analysis of variance of the groups' rates."""
     rate = F.col("k") / F.col("n")
@@ -67,9 +102,9 @@ def _strength(groups: DataFrame) -> DataFrame:
     return sums.select(F.expr(f"CASE WHEN ({rho}) > 0 THEN greatest({WEAKEST}D, least({STRONGEST}D, 1 / ({rho}) - 1)) ELSE {STRONGEST}D END").alias("m"))
 
 
-def reputation(outcomes: DataFrame, threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
-    """(host, good, bound, bad) of every host of ``outcomes`` (host, good boolean or null: not labelled)."""
-    domain, suffix = registered_domain(F.col("host"))
+def reputation(outcomes: DataFrame, threshold: float = THRESHOLD, doubt: float = DOUBT, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
+    """(host, good, doubt, bad) of every host of ``outcomes`` (host, good boolean or null: not labelled); ``doubt`` is the posterior at the threshold and above."""
+    domain, suffix = registered_domain(F.col("host"), suffixes)
     counts = outcomes.groupBy("host").agg(F.count("good").alias("n"), F.sum(F.when(F.col("good"), 1).otherwise(0)).alias("k"))
     hosts = written(counts.withColumns({"domain": domain, "suffix": suffix}), "hosts")
     of = lambda c: hosts.groupBy(c).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
@@ -81,25 +116,24 @@ def reputation(outcomes: DataFrame, threshold: float = THRESHOLD, z: float = Z)
     domains = pairs.join(suffixes, "suffix").select("domain", "suffix", mean(F.col("suffix_rate"), "domain").alias("domain_rate"))
     a = F.col("k") + F.lit(m["host"]) * F.col("domain_rate")
     b = F.col("n") - F.col("k") + F.lit(m["host"]) * (1 - F.col("domain_rate"))
-    sd = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    bound = a / (a + b) + F.lit(z) * sd
-    return hosts.join(domains, ["domain", "suffix"]).select("host", (a / (a + b)).alias("good"), bound.alias("bound"), (bound < threshold).alias("bad"))
+    posterior = hosts.join(domains, ["domain", "suffix"]).select("host", a.alias("a"), b.alias("b"))
+    good = F.col("a") / (F.col("a") + F.col("b"))
+    above = F.when(good < threshold, upper_tail(F.col("a"), F.col("b"), threshold)).otherwise(F.lit(1.0))
+    return posterior.select("host", good.alias("good"), above.alias("doubt")).withColumn("bad", F.col("doubt") < doubt)
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", threshold: float = THRESHOLD, doubt: float = DOUBT, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """(id, host, path, rule, verdict) of every page.
 
     ``outcomes`` has (id, good boolean) of the labelled pages; where an id is
-    labelled more than once, all its labels must be good. The posterior bound is
-    that of a normal distribution with the beta posterior's mean and deviation.
-    Null urls and urls without ``://`` have an empty host and path; they share the
+    labelled more than once, all its labels must be good. Null urls and urls without ``://`` have an empty host and path; they share the
     reputation of the empty host. Null ids keep their rows and count as not
     labelled; every repeated row counts. Other columns are not read.
     """
     host, path = split_url(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     known = outcomes.where("id IS NOT NULL AND good IS NOT NULL").groupBy("id").agg(F.min("good").alias("good"))
-    hosts = written(reputation(rows.select("id", "host").join(known, "id", "left").select("host", "good"), threshold, z), "reputation")
+    hosts = written(reputation(rows.select("id", "host").join(known, "id", "left").select("host", "good"), threshold, doubt, suffixes), "reputation")
     rule, action = fitting_rule(F.col("host"), F.col("path"), rules)
     bad = hosts.where("bad").select("host", "bad")
     verdict = F.coalesce(action, F.when(F.col("bad"), "block").otherwise("allow"))
@@ -137,7 +171,8 @@ t AS (SELECT (coalesce(sum(k), 0) + 1)::DOUBLE / (coalesce(sum(n), 0) + 2) AS ra
 sr AS (SELECT suffix, (k + ms.m * t.rate) / (n + ms.m) AS rate FROM s, ms, t),
 dr AS (SELECT domain, d.suffix, (k + md.m * sr.rate) / (n + md.m) AS rate FROM d JOIN sr ON sr.suffix = d.suffix, md),
 ab AS (SELECT host, k + mh.m * dr.rate AS a, n - k + mh.m * (1 - dr.rate) AS b FROM h JOIN dr ON dr.domain = h.domain AND dr.suffix = h.suffix, mh),
-bad AS (SELECT host FROM ab WHERE a / (a + b) + {Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) < {THRESHOLD})
+bad AS (SELECT host FROM ab WHERE a / (a + b) < {THRESHOLD} AND exp(b * ln(1 - {THRESHOLD}) + a * ln({THRESHOLD}) + lgamma(a + b) - lgamma(a) - lgamma(b) - ln(b))
+  * list_sum(list_transform(range(0, CAST(60 + 12 * sqrt(a + b) AS BIGINT)), lambda n: exp(lgamma(a + b + n) - lgamma(a + b) - lgamma(b + 1 + n) + lgamma(b + 1) + n * ln(1 - {THRESHOLD})))) < {DOUBT})
 SELECT page_id, p.host, path, {rule} AS rule,
   coalesce({action}, CASE WHEN bad.host IS NULL THEN 'allow' ELSE 'block' END) AS verdict
 FROM p LEFT JOIN bad ON bad.host = p.host
