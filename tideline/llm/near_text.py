@@ -32,8 +32,8 @@ REPORTED, FREQUENT = 1 << 16, 1 << 18
 LARGE, SEEDS = 256, 8
 #: Marks a document as one of its block's component.
 MEMBER = -(1 << 63)
-#: Documents whose pairs are verified together, parts of a group of unknown size, and rows that may be broadcast once they have been counted.
-BUCKET, SPREAD, FEW = 512, 8, 500_000
+#: Documents whose pairs are verified together, and rows that may be broadcast once they have been counted.
+BUCKET, FEW = 512, 500_000
 
 
 def _sets(texts: list[str | None], width: int) -> list[np.ndarray]:
@@ -323,9 +323,11 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # pairs are verified by component, or else by the first shingle that few documents share with a document, or that many do
     sizes = known.groupBy("component_id").agg(F.ceil(F.count("*") / BUCKET).alias("buckets"))
     linked = known.join(sizes, "component_id")
-    few = postings[0].groupBy("doc").agg(F.min_by("token", F.struct("large", "pos")).alias("few"), F.min("large").alias("none"))
-    labels = few.join(linked, F.col("doc") == F.col("id"), "full_outer").select(F.coalesce("doc", "id").alias("of"), "few", "none", "component_id", "buckets")
-    buckets = F.coalesce("buckets", F.when(F.col("none"), SPREAD).otherwise(0)).cast("long")
+    few = written(postings[0].groupBy("doc").agg(F.min_by("token", F.struct("large", "pos")).alias("few"), F.min("large").alias("none")), "few")
+    crowds = few.where("none").groupBy("few").agg(F.ceil(F.count("*") / BUCKET).alias("parts"))
+    few = few.join(crowds, "few", "left")
+    labels = few.join(linked, F.col("doc") == F.col("id"), "full_outer").select(F.coalesce("doc", "id").alias("of"), "few", "none", "parts", "component_id", "buckets")
+    buckets = F.coalesce("buckets", F.when(F.col("none"), F.col("parts")), F.lit(0)).cast("long")
     labels = written(labels.select("of", F.coalesce("component_id", "few", "of").alias("cluster"), buckets.alias("buckets"), F.coalesce("component_id", "of").alias("component"), F.col("component_id").isNotNull().alias("several")), "labels")
     counted = []
     for o, p in enumerate(postings):
