@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.functions import kernels, numeric, text
+from tideline.plans import evaluation
 from tideline.operators import asof, bars, dedupe, evaluate, features, levels, windows
 from tideline.sources import feeds, sinks
 from tideline.streaming import feeds as streams
@@ -132,9 +133,39 @@ def test_frozen_needs_sixteen_known_values(spark):
 
 
 def test_metrics_leave_out_abstentions(spark):
-    p = spark.createDataFrame([("a", 1.0, 1.0), ("a", 0.0, 1.0), ("a", 1.0, 0.0), ("a", -1.0, 1.0)], "k string, pred double, actual double")
+    p = spark.createDataFrame([("a", 1.0, 1.0, 10.0), ("a", 0.0, 1.0, 10.0), ("a", 1.0, 0.0, 10.0), ("a", -1.0, 1.0, 10.0), ("a", -1.0, -1.0, 10.0)], "k string, pred double, actual double, price double")
     r = evaluate.metrics(p, ["k"]).first()
-    assert r.n == 4 and r.direction == 0.5
+    assert r.n == 5 and r.direction == pytest.approx(2 / 3) and r.direction_all == 0.4 and r.active_direction == 0.5 and r.active_fraction == 0.8
+    assert r.balanced_direction == 0.75 and r.within_2 == 0.4 and r.price_mae == 8.0 and r.always_up == 0.6
+    served = evaluate.served_metrics(p.withColumn("weight", F.when(F.col("pred") < 0, 0.1).otherwise(0.5)), ["k"]).first()
+    assert served.active_fraction == 0.6 and served.directional_rows == 1 and served.direction == 1.0
+
+
+def test_monitoring_alerts_and_drift(spark):
+    """Thirty outcomes that do worse than no forecast are an alert; the drift needs a whole window before."""
+    rows = [("x", "v", 7, i + 1, 100.0, 110.0, 90.0, 120.0, 100.0 + (i % 2), i % 2 == 0, 0.01) for i in range(60)] + [("y", "v", 7, i + 1, 100.0, 101.0, 90.0, 120.0, 102.0, True, 0.0) for i in range(40)]
+    r = spark.createDataFrame(rows, "instrument string, version string, horizon int, rank int, base double, p50 double, p10 double, p90 double, price double, has_view boolean, disagreement double")
+    got = {(x.instrument, x.window): x for x in evaluate.monitoring(r).collect()}
+    assert got[("x", 30)].alert and got[("x", 30)].drift == pytest.approx(0) and got[("x", 90)].drift is None and got[("x", 30)].resolved == 30
+    assert got[("x", 30)].directional == 0 and not got[("y", 30)].alert and got[("y", 30)].drift is None and got[("y", 30)].direction == 1.0
+
+
+def test_adaptive_widths_wait_for_maturity():
+    """A row's miss counts once its target has matured, and never before."""
+    days = np.array([np.datetime64("2024-01-01") + np.timedelta64(i, "D") for i in range(6)])
+    targets = days + np.timedelta64(2, "D")
+    calibration, error = np.arange(1.0, 10.0), np.array([100.0, 0, 0, 0, 0, 0])
+    rolling, adaptive, alpha = evaluation.adaptive_widths(calibration, error, days, targets, 0.8)
+    # rank min(n, ceil((n + 1) 0.8)): 8 of 9; from the fourth row on, one more score is known
+    assert rolling.tolist() == [8, 8, 8, 9, 9, 9] and adaptive[:3].tolist() == [8, 8, 8]
+    assert alpha == pytest.approx(0.2 + 0.01 * (0.2 - 1) + 2 * 0.01 * 0.2)
+    assert math.isnan(evaluation.adaptive_widths(np.zeros(0), error, days, targets, 0.8)[0][0])
+
+
+def test_bootstrap_of_a_constant_error(spark):
+    rows = [("a", day(i), 1.0 if i % 2 else -1.0, 2.0 if i % 2 else -2.0) for i in range(70)]
+    r = evaluate.block_bootstrap(spark.createDataFrame(rows, "k string, day date, pred double, actual double"), ("k",), reps=20).first()
+    assert (r.n, r.mae_low, r.mae_high, r.direction_low, r.skill_high) == (70, pytest.approx(1), pytest.approx(1), 1.0, pytest.approx(0.5))
 
 
 def test_conformal_rank(spark):
