@@ -162,9 +162,40 @@ def test_adaptive_widths_wait_for_maturity():
     assert math.isnan(evaluation.adaptive_widths(np.zeros(0), error, days, targets, 0.8)[0][0])
 
 
+def test_shrunk_covariance_and_its_threshold(spark):
+    """Against the estimator's formula on all rows at once, and the 99 % point of the training rows."""
+    from tideline.operators import models
+
+    g = np.random.default_rng(2)
+    x = g.normal(size=(80, 4)) @ g.normal(size=(4, 4)) + 3
+    names = list("abcd")
+    train = spark.createDataFrame([("s", i, *map(float, v)) for i, v in enumerate(x)], "symbol string, i int, a double, b double, c double, d double")
+    got = models.mahalanobis(train, train, names, ["symbol"], ["symbol", "i"]).orderBy("i").toPandas()
+    z = (x - x.mean(0)) / x.std(0)
+    cov, n, p = z.T @ z / 80, 80, 4
+    mu, norm = np.trace(cov) / p, (cov**2).sum()
+    beta = ((z**2).sum(1) ** 2).sum() / n - norm
+    delta = (norm - 2 * mu * np.trace(cov) + p * mu * mu) / p
+    share = min(beta / (p * n), delta) / delta
+    cov = (1 - share) * cov + share * mu * np.eye(p)
+    want = np.sqrt(np.einsum("ij,jk,ik->i", z, np.linalg.inv(cov), z))
+    assert np.allclose(got.distance, want) and np.allclose(got.threshold, np.quantile(want, 0.99)) and got.outside.sum() == (want > np.quantile(want, 0.99)).sum()
+
+
+def test_serving_scales_and_tells(spark):
+    from tideline.operators import models
+
+    rows = spark.createDataFrame([("s", 100.0, 2.0, 0.4), ("t", 100.0, 20.0, 0.1)], "symbol string, close double, a double, volatility_20 double")
+    members = [([0.01, 0.0], 0.0), ([0.02, 0.0], 0.0)]
+    got = {r.symbol: r for r in models.serve(rows, ["a", "volatility_20"], [0.0, 0.2], [2.0, 0.2], members, 0.5, 0.03, 0.2).collect()}
+    s, t = got["s"], got["t"]
+    assert s.mean == pytest.approx(0.5 * 0.015) and s.disagreement == pytest.approx(0.5 * 0.005) and s.error == pytest.approx(0.06) and s.price == pytest.approx(100.75)
+    assert s.clipped == "" and s.status == "OK" and t.clipped == "a" and t.status == "OUT_OF_DISTRIBUTION" and t.error == pytest.approx(0.0225) and t.mean == pytest.approx(0.5 * 0.015 * 6)
+
+
 def test_bootstrap_of_a_constant_error(spark):
     rows = [("a", day(i), 1.0 if i % 2 else -1.0, 2.0 if i % 2 else -2.0) for i in range(70)]
-    r = evaluate.block_bootstrap(spark.createDataFrame(rows, "k string, day date, pred double, actual double"), ("k",), reps=20).first()
+    r = evaluate.block_bootstrap(spark.createDataFrame(rows, "symbol string, day date, pred double, actual double"), ("symbol",), reps=20).first()
     assert (r.n, r.mae_low, r.mae_high, r.direction_low, r.skill_high) == (70, pytest.approx(1), pytest.approx(1), 1.0, pytest.approx(0.5))
 
 

@@ -102,6 +102,20 @@ def regimes(rows: DataFrame, feature: str, cuts: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(cuts.limit(1))).withColumn("regime", r).drop("c1", "c2")
 
 
+def regime_flags(rows: DataFrame, cuts: DataFrame, by: list[str]) -> DataFrame:
+    """Rows once for each regime that they lie in, of ten: volatility beyond the training rows' thirds (``cuts``), and the signs of trend, yield, dollar and fear.
+
+    ``rows`` has volatility, trend, yield_change, dollar_change and fear.
+    """
+    c, v = F.col, F.col("volatility")
+    flags = {
+        "high_vol": v > c("v2"), "low_vol": v < c("v1"), "rising_yield": c("yield_change") > 0, "falling_yield": c("yield_change") < 0, "strong_dollar": c("dollar_change") > 0,
+        "weak_dollar": c("dollar_change") < 0, "bull": c("trend") > 0.02, "bear": c("trend") < -0.02, "risk_off": c("fear") > 20, "risk_on": c("fear") <= 20,
+    }
+    names = F.array_compact(F.array(*(F.when(x, F.lit(k)) for k, x in flags.items())))
+    return rows.join(cuts, by).withColumn("regime", F.explode(names)).drop("v1", "v2")
+
+
 def first_issuance(forecasts: DataFrame, keep: int = 180) -> DataFrame:
     """The first forecast of each (instrument, version, horizon, origin), and its recency rank, the latest ``keep``."""
     first = F.row_number().over(Window.partitionBy("instrument", "version", "horizon", "origin").orderBy("issued_at", "id"))

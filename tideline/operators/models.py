@@ -70,28 +70,68 @@ def ensemble_weights(errors: DataFrame, columns: Sequence[str], by: list[str]) -
     return g.mapInPandas(solve, schema)
 
 
-def mahalanobis(train: DataFrame, rows: DataFrame, columns: Sequence[str], by: list[str], keys: list[str], shrink: float = 0.1) -> DataFrame:
-    """(keys, distance) of each row from its group's training rows, with a covariance shrunk to its mean variance.
-
-    The covariance comes from aggregated sums; its inverse travels to the rows as
-    an array column, one for each group.
+def _shrunk(cov: np.ndarray, fourth: float, n: int) -> np.ndarray:
+    """The covariance, shrunk to its mean variance as far as its own noise says (Ledoit and Wolf, 2004); ``fourth`` is the mean of the squared squared lengths."""
+    p = len(cov)
+    mu, norm = np.trace(cov) / p, (cov**2).sum()
+    distance = (norm - 2 * mu * np.trace(cov) + p * mu * mu) / p
+    noise = min((fourth - norm) / (p * n), distance)
+    share = noise / distance if noise > 0 and distance > 0 else 0.0
+    return (1 - share) * cov + share * mu * np.eye(p)
+
+
+def mahalanobis(train: DataFrame, rows: DataFrame, columns: Sequence[str], by: list[str], keys: list[str]) -> DataFrame:
+    """(keys, distance, threshold, outside) of each row from its group's training rows, in standardised columns.
+
+    The threshold is the 99 % point of the training rows' own distances. All that
+    the covariance needs are aggregated sums; its inverse travels to the rows as an
+    array column, one for each group.
     """
     k = len(columns)
+    stats = train.groupBy(*by).agg(F.array(*map(F.avg, columns)).alias("centre"), F.array(*(F.when(F.stddev_pop(c) < 1e-9, 1.0).otherwise(F.stddev_pop(c)) for c in columns)).alias("spread"))
+
+    def standardised(df: DataFrame) -> DataFrame:
+        z = F.zip_with(F.zip_with(F.array(*columns), F.col("centre"), lambda a, b: a - b), F.col("spread"), lambda a, b: a / b)
+        return df.join(stats, by).withColumn("z", z).drop("centre", "spread")
 
     def invert(batches):
         for part in batches:
             for r in part.to_dict("records"):
                 mean, second = _matrix(r, k)
-                cov = second - np.outer(mean, mean)
-                cov = (1 - shrink) * cov + shrink * np.trace(cov) / k * np.eye(k)
-                yield pd.DataFrame([{**{c: r[c] for c in by}, "centre": mean, "inverse": np.linalg.inv(cov).ravel()}])
-
-    g = gram(train, columns, by)
-    schema = ", ".join(f"{c} {g.schema[c].dataType.simpleString()}" for c in by) + ", centre array<double>, inverse array<double>"
-    d = rows.join(g.mapInPandas(invert, schema), by)
-    d = d.withColumn("x", F.zip_with(F.array(*columns), F.col("centre"), lambda a, b: a - b))
-    square = F.aggregate(F.sequence(F.lit(0), F.lit(k * k - 1)), F.lit(0.0), lambda s, i: s + F.get(F.col("inverse"), i) * F.get(F.col("x"), F.floor(i / k).cast("int")) * F.get(F.col("x"), i % k))
-    return d.select(*keys, F.sqrt(square).alias("distance"))
+                cov = _shrunk(second - np.outer(mean, mean), r["fourth"], r["n"])
+                yield pd.DataFrame([{**{c: r[c] for c in by}, "inverse": np.linalg.inv(cov).ravel()}])
+
+    names = [f"z_{i}" for i in range(k)]
+    learned = standardised(train)
+    flat = learned.select(*by, *(F.col("z")[i].alias(c) for i, c in enumerate(names)), F.pow(F.aggregate("z", F.lit(0.0), lambda s, v: s + v * v), 2.0).alias("fourth"))
+    g = gram(flat, names, by).join(flat.groupBy(*by).agg(F.avg("fourth").alias("fourth")), by)
+    schema = ", ".join(f"{c} {g.schema[c].dataType.simpleString()}" for c in by) + ", inverse array<double>"
+    inverses = g.mapInPandas(invert, schema)
+    square = F.aggregate(F.sequence(F.lit(0), F.lit(k * k - 1)), F.lit(0.0), lambda s, i: s + F.get(F.col("inverse"), i) * F.get(F.col("z"), F.floor(i / k).cast("int")) * F.get(F.col("z"), i % k))
+    limits = learned.join(inverses, by).groupBy(*by).agg(F.percentile(F.sqrt(square), 0.99).alias("threshold"))
+    d = standardised(rows).join(inverses, by).join(limits, by)
+    return d.select(*keys, F.sqrt(square).alias("distance"), "threshold").withColumn("outside", F.col("distance") > F.col("threshold"))
+
+
+def serve(rows: DataFrame, columns: Sequence[str], mean: Sequence[float], spread: Sequence[float], members: Sequence[tuple[Sequence[float], float]], weight: float, error: float, usual_volatility: float, neutral: Sequence[str] = ()) -> DataFrame:
+    """What an ensemble of linear members serves for each row (symbol, close, ``columns``): (symbol, mean, disagreement, error, price, clipped, status).
+
+    Inputs are standardised and clipped at 6; those beyond are named, and the row
+    is out of distribution. Inputs in ``neutral`` count as their mean. The mean of
+    the members is weighted, their deviation is the disagreement, and the error
+    follows the volatility within 0.75 and 2 times its usual value.
+    """
+    raw = [(F.col(c) - m) / s for c, m, s in zip(columns, mean, spread, strict=True)]
+    z = [F.lit(0.0) if c in neutral else F.least(F.lit(6.0), F.greatest(F.lit(-6.0), x)) for c, x in zip(columns, raw, strict=True)]
+    told = F.array(*(sum((F.lit(w) * x for w, x in zip(ws, z, strict=True)), F.lit(b)) for ws, b in members))
+    rows = rows.withColumn("told", told)
+    average = F.aggregate("told", F.lit(0.0), lambda s, v: s + v) / len(members)
+    variance = F.aggregate("told", F.lit(0.0), lambda s, v: s + (v - average) * (v - average)) / len(members)
+    scale = F.least(F.greatest(F.col("volatility_20") / max(usual_volatility, 1e-9), F.lit(0.75)), F.lit(2.0))
+    clipped = F.array_join(F.array_compact(F.array(*(F.when(F.abs(x) > 6, F.lit(c)) for c, x in zip(columns, raw, strict=True)))), ",")
+    kept = [c for c in ("symbol", "day") if c in rows.columns]
+    out = rows.select(*kept, (weight * average).alias("mean"), (weight * F.sqrt(variance)).alias("disagreement"), (error * scale).alias("error"), (F.col("close") * (1 + weight * average)).alias("price"), clipped.alias("clipped"))
+    return out.withColumn("status", F.when(F.col("clipped") != "", "OUT_OF_DISTRIBUTION").otherwise("OK"))
 
 
 def mutual_information(rows: DataFrame, x: str, y: str, by: list[str], bins: int = 8) -> DataFrame:

@@ -13,8 +13,9 @@ from ..operators import asof
 from ..operators import evaluate as ops
 from ..sources.tables import BARS, FORECASTS, bars_daily, forecasts, saved
 from .bars import rounded
+from .features import _FOLDS
 from .joins import LABELS
-from .registry import query
+from .registry import SQL, query
 from .windows import all_rounded
 
 _PAIRS = f"""{LABELS}, mom AS (SELECT symbol, day, close AS price, close / lag(close, 28) OVER (PARTITION BY symbol ORDER BY day) - 1 AS m FROM bars),
@@ -251,6 +252,35 @@ def adaptive_conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_rounded(pairs(spark, sf_dir).groupBy("symbol", "horizon").applyInPandas(_adaptive, _ADAPTIVE))
 
 
+def _regime_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Momentum forecasts of all folds' test rows with what regimes are read from, and the thirds of each fold's training rows."""
+    from ..operators.features import fold_rows
+    from ..operators.windows import gold_features
+
+    b = saved(bars_daily(spark, sf_dir))
+    g = gold_features(b).select("symbol", "day", F.col("volatility_20").alias("volatility"), F.col("ma50_distance").alias("trend"), F.col("return_20").alias("dollar_change"), F.col("return_5").alias("yield_change"), (F.col("atr14") * 100).alias("fear"))
+    f = saved(fold_rows(asof.forward_return(b)).select("symbol", "horizon", "fold", "day", "part").join(g, ["symbol", "day"]))
+    cuts = f.where("part = 'train'").groupBy("symbol", "horizon", "fold").agg(F.percentile("volatility", [1 / 3, 2 / 3]).alias("v")).select("symbol", "horizon", "fold", F.col("v")[0].alias("v1"), F.col("v")[1].alias("v2"))
+    test = f.where("part = 'test'").join(pairs(spark, sf_dir).select("symbol", "horizon", "day", "pred", "actual", "price"), ["symbol", "horizon", "day"])
+    return test, cuts
+
+
+@query(
+    f"""{_FOLDS}, mom AS (SELECT symbol, day, close AS price, close / lag(close, 28) OVER (PARTITION BY symbol ORDER BY day) - 1 AS m FROM bars),
+gold AS ({SQL["gold_features_daily"]}), fr AS (SELECT p.symbol, p.horizon, p.fold, p.day, p.part, p.target_return AS actual, volatility_20 AS vol, ma50_distance AS trend, return_20 AS dollar, return_5 AS yield, atr14 * 100 AS fear FROM p JOIN gold ON gold.symbol = p.symbol AND gold.day = p.day WHERE part IS NOT NULL),
+cu AS (SELECT symbol, horizon, fold, quantile_cont(vol, 1.0 / 3) AS v1, quantile_cont(vol, 2.0 / 3) AS v2 FROM fr WHERE part = 'train' GROUP BY 1, 2, 3),
+te AS (SELECT fr.*, m * fr.horizon / 28 AS pred, v1, v2 FROM fr JOIN cu USING (symbol, horizon, fold) JOIN mom ON mom.symbol = fr.symbol AND mom.day = fr.day WHERE part = 'test' AND actual IS NOT NULL AND m IS NOT NULL),
+rg AS (SELECT *, unnest(list_filter([CASE WHEN vol > v2 THEN 'high_vol' END, CASE WHEN vol < v1 THEN 'low_vol' END, CASE WHEN yield > 0 THEN 'rising_yield' END, CASE WHEN yield < 0 THEN 'falling_yield' END, CASE WHEN dollar > 0 THEN 'strong_dollar' END, CASE WHEN dollar < 0 THEN 'weak_dollar' END,
+  CASE WHEN trend > 0.02 THEN 'bull' END, CASE WHEN trend < -0.02 THEN 'bear' END, CASE WHEN fear > 20 THEN 'risk_off' END, CASE WHEN fear <= 20 THEN 'risk_on' END], lambda x: x IS NOT NULL)) AS regime FROM te)
+SELECT regime, horizon, count(*) AS n, round(avg(abs(pred - actual)), 5) AS mae, round(avg(pred - actual), 5) AS bias, round(1 - avg(abs(pred - actual)) / nullif(avg(abs(actual)), 0), 5) AS skill_mae FROM rg GROUP BY regime, horizon"""
+)
+def regime_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics in ten regimes over all folds' test rows; bar features stand for the yield's and the dollar's changes and for fear."""
+    rows, cuts = _regime_rows(spark, sf_dir)
+    m = ops.metrics(ops.regime_flags(rows, cuts, ["symbol", "horizon", "fold"]), ["regime", "horizon"])
+    return all_rounded(m.select("regime", "horizon", "n", "mae", "bias", "skill_mae"), 5)
+
+
 LEVELS = (50, 70, 80, 90)
 _FOLD = "symbol string, horizon int, fold int, n long, weight double, error double, raw_error double, zero_error double, " + ", ".join(f"width_{k} double, covered_{k} double" for k in LEVELS)
 

@@ -12,7 +12,7 @@ from ..operators import models as ops
 from ..operators.features import GOLD
 from ..operators.windows import gold_features
 from ..sources.sinks import content_id
-from ..sources.tables import BARS, FORECASTS, MACRO, bars_daily, forecasts, macro_observations, table
+from ..sources.tables import BARS, FORECASTS, MACRO, bars_daily, forecasts, macro_observations, saved, table
 from .evaluation import _PAIRS, _design, pairs
 from .features import _GOLD_CTE
 from .joins import LABELS
@@ -42,10 +42,30 @@ def out_of_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def mahalanobis_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = gold_features(bars_daily(spark, sf_dir))
+    x = saved(gold_features(bars_daily(spark, sf_dir)))
     return all_rounded(ops.mahalanobis(x.where("day < DATE '1996-01-01'"), x.where("day >= DATE '1996-01-01'"), GOLD, ["symbol"], ["symbol", "day"]), 4)
 
 
+#: An ensemble of three members over three features, with its scaler.
+_SERVED = ("return_20", "rsi14", "volatility_20")
+_SCALER = ([0.0, 0.0, 10.0], [0.25, 0.2, 2.5])
+_MEMBERS = (([0.010, -0.020, 0.005], 0.001), ([0.020, -0.010, 0.000], 0.000), ([0.015, 0.005, -0.005], -0.001))
+_Z = [f"least(6, greatest(-6, ({c} - {m}) / {s}))" for c, m, s in zip(_SERVED, *_SCALER, strict=True)]
+_TOLD = ", ".join(f"({' + '.join(f'{w}::DOUBLE * {z}' for w, z in zip(ws, _Z, strict=True))} + {b})" for ws, b in _MEMBERS)
+
+
+@query(
+    f"""WITH {_G}, t AS (SELECT *, [{_TOLD}] AS told FROM gold), m AS (SELECT *, list_avg(told) AS a, list_stddev_pop(told) AS d FROM t)
+SELECT symbol, day, round(0.4 * a, 6) AS mean, round(0.4 * d, 6) AS disagreement, round(0.03 * least(greatest(volatility_20 / 10.0, 0.75), 2), 6) AS error, round(close * (1 + 0.4 * a), 4) AS price,
+  array_to_string(list_filter([{", ".join(f"CASE WHEN abs(({c} - {m}) / {s}) > 6 THEN '{c}' END" for c, m, s in zip(_SERVED, *_SCALER, strict=True))}], lambda x: x IS NOT NULL), ',') AS clipped,
+  CASE WHEN {" OR ".join(f"abs(({c} - {m}) / {s}) > 6" for c, m, s in zip(_SERVED, *_SCALER, strict=True))} THEN 'OUT_OF_DISTRIBUTION' ELSE 'OK' END AS status FROM m"""
+)
+def served_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = gold_features(bars_daily(spark, sf_dir))
+    s = ops.serve(g, _SERVED, *_SCALER, _MEMBERS, 0.4, 0.03, 10.0)
+    return all_rounded(s.withColumn("price", F.round("price", 4)))
+
+
 @query()
 def ensemble_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Momentum, zero and mean forecasts of each symbol and horizon."""

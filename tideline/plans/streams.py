@@ -12,7 +12,11 @@ from .registry import query
 
 @query(f"WITH {HOURS} SELECT symbol, ts, round(o, 6) AS o, round(h, 6) AS h, round(l, 6) AS l, round(c, 6) AS c, v FROM hours")
 def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = feeds.drained(feeds.bars(feeds.ticks(spark, sf_dir)), "complete")
+    """Closed windows are appended as the watermark passes them; those still open are taken from the stored ticks at the end."""
+    closed = feeds.drained(feeds.bars(feeds.ticks(spark, sf_dir)), "append")
+    edge = closed.agg(F.max("ts").alias("edge"))
+    late = bars_hourly(spark, sf_dir).join(F.broadcast(edge)).where("edge IS NULL OR ts > edge")
+    b = closed.unionByName(late.select(closed.columns))
     return b.withColumns({c: F.round(c, 6) for c in "ohlc"})
 
 
