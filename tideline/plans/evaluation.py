@@ -290,17 +290,18 @@ def _fit_predict(a: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
     mean, sd = a.mean(0), a.std(0)
     a, z = (np.clip((v - mean) / np.where(sd < 1e-9, 1, sd), -6, 6) for v in (a, x))
     scale = y.std() or 1.0
-    predictions = []
-    for seed in (17, 42, 91):
-        g = np.random.default_rng(seed)
-        w1, b1, w2, b2 = g.normal(0, 0.3, (a.shape[1], 8)), np.zeros(8), g.normal(0, 0.3, 8), 0.0
-        for _ in range(300):
-            h = np.tanh(a @ w1 + b1)
-            e = (h @ w2 + b2 - y / scale) / len(y)
-            d = np.outer(e, w2) * (1 - h * h)
-            w2, b2, w1, b1 = w2 - 0.5 * (h.T @ e + 1e-4 * w2), b2 - 0.5 * e.sum(), w1 - 0.5 * (a.T @ d + 1e-4 * w1), b1 - 0.5 * d.sum(0)
-        predictions.append((np.tanh(z @ w1 + b1) @ w2 + b2) * scale)
-    return np.mean(predictions, axis=0)
+    draws = [np.random.default_rng(seed) for seed in (17, 42, 91)]
+    # the three networks are fitted side by side
+    w1, w2 = (np.stack(x) for x in zip(*((g.normal(0, 0.3, (a.shape[1], 8)), g.normal(0, 0.3, 8)) for g in draws), strict=True))
+    b1, b2, t = np.zeros((3, 8)), np.zeros(3), y / scale
+    for _ in range(300):
+        h = np.tanh(a @ w1 + b1[:, None])
+        e = ((h @ w2[:, :, None])[..., 0] + b2[:, None] - t) / len(y)
+        d = e[..., None] * w2[:, None] * (1 - h * h)
+        g2 = (h.transpose(0, 2, 1) @ e[..., None])[..., 0]
+        w2, b2, w1, b1 = w2 - 0.5 * (g2 + 1e-4 * w2), b2 - 0.5 * e.sum(axis=1), w1 - 0.5 * (a.T @ d + 1e-4 * w1), b1 - 0.5 * d.sum(axis=1)
+    told = (np.tanh(z @ w1 + b1[:, None]) @ w2[:, :, None])[..., 0] + b2[:, None]
+    return told.mean(axis=0) * scale
 
 
 def _mlp(rows: pd.DataFrame) -> pd.DataFrame:
@@ -338,7 +339,7 @@ def _design(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.features import GOLD
     from ..operators.windows import gold_features
 
-    b = bars_daily(spark, sf_dir)
+    b = saved(bars_daily(spark, sf_dir))
     x = gold_features(b).select("symbol", "day", *(F.col(c).alias(f"x_{c}") for c in GOLD))
     l = asof.forward_return(b).where("target_return IS NOT NULL").withColumnRenamed("target_return", "actual")
     return l.join(x, ["symbol", "day"])
@@ -352,7 +353,7 @@ def mlp_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from ..operators.features import fold_rows
 
-    d = _design(spark, sf_dir)
+    d = saved(_design(spark, sf_dir))
     rows = fold_rows(d).drop("target_day").join(d, ["symbol", "horizon", "day"])
     f = rows.groupBy("symbol", "horizon", "fold").applyInPandas(_mlp, _FOLD)
     n = F.nullif(F.sum("n"), F.lit(0))
