@@ -139,12 +139,17 @@ class Counts(dict):
 def _count(batches: Iterator[pa.RecordBatch], ranks: Broadcast, special: list[str], patterns: tuple[str, str, str]) -> Iterator[pa.RecordBatch]:
     counts = Counts(ranks.value)
     usual, exact, moved = regex.compile(patterns[0]).finditer, None, frozenset(patterns[1])
+    assert all(ord(c) > 0xFF for c in moved)
     cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
 
     def finder(text: str) -> Callable:
         nonlocal exact
-        if text.isascii() or moved.isdisjoint(text):
+        try:
+            text.encode("latin-1")  # in none of these do the versions differ
             return usual
+        except UnicodeEncodeError:
+            if moved.isdisjoint(text):
+                return usual
         exact = exact or regex.compile(patterns[2]).finditer
         return exact
 
