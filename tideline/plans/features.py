@@ -127,15 +127,22 @@ def walk_forward_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.walk_forward(asof.forward_return(bars_daily(spark, sf_dir)))
 
 
-@query(
-    f"""WITH {BARS}, {LABELS}, k AS (SELECT * FROM labels_ WHERE target_day IS NOT NULL),
+_BASELINES = f"""WITH {BARS}, {LABELS}, k AS (SELECT * FROM labels_ WHERE target_day IS NOT NULL),
 j AS (SELECT l.symbol, l.horizon, l.day, k.target_return AS t, row_number() OVER (PARTITION BY l.symbol, l.horizon, l.day ORDER BY k.target_day DESC, k.day DESC) AS r FROM labels_ l LEFT JOIN k ON k.symbol = l.symbol AND k.horizon = l.horizon AND k.target_day < l.day)
 SELECT symbol, horizon, day, round(avg(t), 6) AS mean, round(avg(t) FILTER (WHERE r <= 126), 6) AS rolling, round(CASE WHEN avg((t > 0)::INT) >= 0.5 THEN median(abs(t)) ELSE -median(abs(t)) END, 6) AS majority FROM j GROUP BY symbol, horizon, day"""
-)
+
+
+@query(_BASELINES)
 def rolling_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_rounded(ops.rolling_baselines(asof.forward_return(saved(bars_daily(spark, sf_dir)))))
 
 
+@query(_BASELINES)
+def rolling_baselines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same under its earlier name."""
+    return rolling_baselines(spark, sf_dir)
+
+
 _TAIL = _FOLDS.replace("greatest(30, floor(m * 0.2::DOUBLE))", "126")
 
 
