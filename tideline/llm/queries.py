@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, host_reputation, mixing, near_text, near_vectors, packing, quality_model, quality_rules, shards, sql, storage, substring
+from . import bpe, codec, host_reputation, mixing, near_text, near_vectors, packing, quality_model, quality_rules, shards, sql, storage, substring
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -68,6 +68,17 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text.link_documents(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = codec.decode(codec.encode(_read(spark, sf_dir, "documents"), *vocabulary), *vocabulary)
+    # tokens that only go on with a character that an earlier one began
+    split = F.expr("size(starts) - size(array_distinct(starts))").cast("long")
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return coded.select("doc_id", "n_tokens", ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), split.alias("n_split"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mixing": op1_pareto_mixing,
     "op2_pivot_index": op2_pivot_index,
@@ -79,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_bpe_counts": op9_bpe_counts,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op13_bpe_codec": op13_bpe_codec,
 }
 
 SQL: dict[str, str] = {
