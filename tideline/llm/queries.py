@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, codec, host_reputation, mixing, near_text, near_vectors, packing, quality_model, quality_rules, shards, sql, storage, substring
+from . import bpe, codec, host_reputation, merkle, mixing, near_text, near_vectors, packing, quality_model, quality_rules, shards, sql, storage, substring
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -68,6 +68,15 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text.link_documents(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_preimage_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaf = merkle.leaf_digest(*map(F.col, ("doc_id", "source", "lang", "n_chars", "text")))
+    without = merkle.leaf_digest(*map(F.col, ("doc_id", "source", "lang", "n_chars")), F.replace("text", F.lit("\n"), F.lit("")))
+    tampered = (F.crc32(F.col("doc_id").cast("string")) % 2 == 0) & F.contains("text", F.lit("\n"))
+    leaves = _read(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("id"), leaf.alias("leaf"), F.when(tampered, without).otherwise(leaf).alias("found"))
+    proven = merkle.prove(leaves).withColumn("folded_root", merkle.fold("found"))
+    return proven.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.siblings(), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -90,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_bpe_counts": op9_bpe_counts,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_preimage_paths": op11_preimage_paths,
     "op13_bpe_codec": op13_bpe_codec,
 }
 
@@ -100,4 +110,5 @@ SQL: dict[str, str] = {
     "op5_super_kmers": sql.SUPER_KMERS,
     "op6_host_reputation": host_reputation.SQL,
     "op10_ngram_jaccard": sql.NGRAM_JACCARD,
+    "op11_preimage_paths": merkle.SQL,
 }
