@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, codec, host_reputation, merkle, mixing, near_text, near_vectors, packing, quality_model, quality_rules, shards, sql, storage, substring
+from . import bpe, codec, divergence, host_reputation, merkle, mixing, near_text, near_vectors, packing, quality_model, quality_rules, shards, sql, storage, substring
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -77,6 +77,10 @@ def op11_preimage_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proven.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.siblings(), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_systolic_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
 def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -100,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe_counts": op9_bpe_counts,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_preimage_paths": op11_preimage_paths,
+    "op12_systolic_audit": op12_systolic_audit,
     "op13_bpe_codec": op13_bpe_codec,
 }
 
@@ -111,4 +116,5 @@ SQL: dict[str, str] = {
     "op6_host_reputation": host_reputation.SQL,
     "op10_ngram_jaccard": sql.NGRAM_JACCARD,
     "op11_preimage_paths": merkle.SQL,
+    "op12_systolic_audit": divergence.SQL,
 }
