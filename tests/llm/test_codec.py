@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import types
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import tokenizers
@@ -18,35 +20,42 @@ def library():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.read_ranks(RANKS), special_tokens={})
 
 
-@pytest.fixture(scope="module")
-def made():
-    return tokenizers.Tokenizer.from_str(codec.tokenizer(RANKS, P.PATTERN))
-
-
-def ids(made, text, size=codec.BLOCK):
-    return [i for b in codec.blocks(text, size) for i in made.encode(b, add_special_tokens=False).ids]
+def encoded(texts, path=RANKS):
+    """What a task makes of texts, row by row."""
+    told = types.SimpleNamespace(value=codec.tokenizer(path, P.PATTERN))
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": pa.array(texts, pa.string())})
+    return [r for b in codec._encode(iter([batch]), told, P.PATTERN, codec.departures(P.PATTERN)) for r in b.to_pylist()]
 
 
-def test_every_code_point(library, made):
+def test_every_code_point(library):
     every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    for between in ("", "a", " ", "1"):
-        text = between.join(every)
-        assert ids(made, text) == library.encode_ordinary(text)
+    texts = [between.join(every) for between in ("", "a", " ", "1")] + [f"a{c}1{c} {c}" for c in codec.departures(P.PATTERN)]
+    assert [r["ids"] for r in encoded(texts)] == [library.encode_ordinary(t) for t in texts]
 
 
-def test_random_texts_in_blocks(library, made):
+def test_random_texts_in_blocks(library, monkeypatch):
+    monkeypatch.setattr(codec, "REMEMBERED", 20)
+    monkeypatch.setattr(codec, "SHORT", 3)
     parts = ["a", "b", " ", "  ", "\n", "\t", "\x1c", "\u0085", "\u00a0", "\u3000", "é", "日本", "🙂", "'s", "'", "1", "12", "<|endoftext|>", "the ", "aa"]
-    for seed in range(300):
-        r = random.Random(seed)
-        text = "".join(r.choice(parts) for _ in range(r.randrange(300)))
-        assert ids(made, text, r.randrange(1, 60)) == library.encode_ordinary(text)
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(300))) for r in map(random.Random, range(300))]
+    for size in (1, 7, 60):
+        monkeypatch.setattr(codec.blocks, "__defaults__", (size,))
+        assert [r["ids"] for r in encoded(texts)] == [library.encode_ordinary(t) for t in texts]
+
+
+def test_offsets_are_those_of_the_library():
+    made = tokenizers.Tokenizer.from_str(codec.tokenizer(RANKS, P.PATTERN))
+    texts = ["naïve 日本語 🙂🙂  x", "", "ṩ́ a\u0301\n\n ok 𝒳𝒴"]
+    for r, t in zip(encoded(texts), texts, strict=True):
+        want = made.encode(t, add_special_tokens=False)
+        assert r["ids"] == want.ids and list(zip(r["starts"], r["ends"], strict=True)) == want.offsets
 
 
 def test_other_vocabulary_of_ranks(library):
     ranks = codec.read_ranks(path := P.path("byte_bpe_multi_50k.tiktoken"))
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     text = "Straße, naïve façade; 日本語 и русский 🙂🙂 1234567890 " * 20
-    assert ids(tokenizers.Tokenizer.from_str(codec.tokenizer(path, P.PATTERN)), text) == own.encode_ordinary(text)
+    assert encoded([text], path)[0]["ids"] == own.encode_ordinary(text)
 
 
 def test_vocabulary_without_a_way_to_a_token(tmp_path):

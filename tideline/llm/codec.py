@@ -7,24 +7,27 @@ of its bytes. Both orders of merging then agree, as between the same two ends th
 lower ranks leave the same symbols everywhere.
 
 The library works on characters. Each byte has one that stands for it
-(``bpe.byte_alphabet``), tokens are written in these, and offsets are turned back
-into characters of the text. A character of several bytes can be split over
-tokens: all of them carry its offsets, and decoding joins bytes before it reads
-characters.
+(``bpe.byte_alphabet``), and pretokens go to its model in these. A task remembers
+the ids of short pretokens, so the library meets each of them once. Tokens follow
+each other without gaps, so their lengths in bytes place them, and the bytes that
+begin a character turn places into characters of the text. A character of several
+bytes can be split over tokens: all of them carry its offsets, and decoding joins
+bytes before it reads characters.
 """
 
 from __future__ import annotations
 
 import base64
 import codecs
-import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache, partial
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 import tokenizers
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -33,8 +36,10 @@ from tokenizers import decoders, models, pre_tokenizers
 
 from .bpe import byte_alphabet
 
-#: Characters after which a long text is cut, at the next white space, and rows that are encoded at once.
-BLOCK, ROWS = 1 << 16, 64
+#: Characters after which a long text is cut, at the next white space, and rows that a task works on and passes on at once.
+BLOCK, ROWS = 1 << 16, 128
+#: Pretokens whose ids a task remembers, and how long they may be.
+REMEMBERED, SHORT = 1 << 17, 64
 _CUT = re.compile(r"(?<=\S)[ \n]")
 
 
@@ -73,10 +78,11 @@ def tokenizer(path: str, pattern: str) -> str:
     return made.to_str()
 
 
-def byte_table(told: str) -> dict[int, bytes]:
-    """The bytes of each id, by the byte alphabet read backwards."""
+def byte_table(told: str) -> list[bytes | None]:
+    """The bytes of each id, by the byte alphabet read backwards; None where there is no token."""
     byte = {c: b for b, c in enumerate(byte_alphabet())}
-    return {i: bytes(byte[c] for c in token) for token, i in tokenizers.Tokenizer.from_str(told).get_vocab().items()}
+    known = {i: bytes(byte[c] for c in token) for token, i in tokenizers.Tokenizer.from_str(told).get_vocab().items()}
+    return [known.get(i) for i in range(max(known) + 1)]
 
 
 def blocks(text: str, size: int = BLOCK) -> list[str]:
@@ -88,7 +94,7 @@ def blocks(text: str, size: int = BLOCK) -> list[str]:
     return [*out, text[start:]]
 
 
-def pieces(ids: Iterable[int], table: dict[int, bytes]) -> list[str]:
+def pieces(ids: Iterable[int], table: list[bytes | None]) -> list[str]:
     """The characters that each token completes; those of a character that is split come with its last token."""
     read = codecs.getincrementaldecoder("utf-8")("replace")
     out = [read.decode(table[i]) for i in ids]
@@ -97,30 +103,74 @@ def pieces(ids: Iterable[int], table: dict[int, bytes]) -> list[str]:
     return out
 
 
-def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(values, pa.int32()))
+@cache
+def departures(pattern: str) -> str:
+    """Characters that the library has in another class of ``pattern`` than ``regex`` has: the Unicode versions differ."""
+    every = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)))
+    out: set[str] = set()
+    for kind in set(re.findall(r"\\[pP]\{[^}]*\}|\\[sSdDwW]", pattern)):
+        alone = pre_tokenizers.Split(tokenizers.Regex(kind), "removed", invert=True)
+        theirs = {c for k in range(0, len(every), 1 << 15) for piece, _ in alone.pre_tokenize_str(every[k : k + (1 << 15)]) for c in piece}
+        out |= theirs ^ set(regex.findall(kind, every))
+    return "".join(sorted(out))
+
+
+class Codes(dict):
+    """The ids, as 32-bit numbers, of each pretoken that a task has met.
+
+    When it is full it starts anew, but takes over what is asked for again.
+    """
+
+    def __init__(self, told: str):
+        super().__init__()
+        self.before: dict[str, bytes] = {}
+        self.model = tokenizers.Tokenizer.from_str(told).model
+        self.alphabet = dict(enumerate(byte_alphabet()))
+
+    def __missing__(self, pretoken: str) -> bytes:
+        ids = self.before.get(pretoken)
+        if ids is None:
+            chars = pretoken.encode("utf-8", "replace").decode("latin-1").translate(self.alphabet)
+            ids = array("i", [t.id for t in self.model.tokenize(chars)]).tobytes()
+        if len(pretoken) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.before = dict(self)
+                self.clear()
+            self[pretoken] = ids
+        return ids
+
+
+def spans(raw: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First character, and the one after the last, of tokens of so many bytes that make up ``raw``."""
+    begins = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80, dtype=np.int32)
+    ends = np.cumsum(lengths)
+    return begins[ends - lengths] - 1, begins[ends - 1]
+
+
+def _encode(batches: Iterator[pa.RecordBatch], told: Broadcast, pattern: str, moved: str) -> Iterator[pa.RecordBatch]:
+    codes, lengths = Codes(told.value), np.array([len(b or b"") for b in byte_table(told.value)])
+    usual, library, odd = regex.compile(pattern).findall, pre_tokenizers.Split(tokenizers.Regex(pattern), "isolated"), frozenset(moved)
 
+    def ids_of(text: str) -> np.ndarray:
+        words = usual(text) if text.isascii() or odd.isdisjoint(text) else [piece for piece, _ in library.pre_tokenize_str(text)]
+        return np.frombuffer(b"".join(map(codes.__getitem__, words)), np.int32)
 
-def _encode(batches: Iterator[pa.RecordBatch], told: Broadcast) -> Iterator[pa.RecordBatch]:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
-    library = tokenizers.Tokenizer.from_str(told.value)
     for whole in batches:
         for k in range(0, whole.num_rows, ROWS):
             batch = whole.slice(k, ROWS)
-            cut = [blocks(t or "") for t in batch.column("text").to_pylist()]
-            made = library.encode_batch([b for row in cut for b in row], add_special_tokens=False)
-            ids = np.fromiter(chain.from_iterable(e.ids for e in made), np.int32)
-            spans = np.fromiter(chain.from_iterable(chain.from_iterable(e.offsets for e in made)), np.int32, 2 * len(ids)).reshape(-1, 2)
-            tokens = np.array([len(e) for e in made])
-            lengths = np.array([len(b) for row in cut for b in row])
-            last = np.cumsum([len(row) for row in cut])
-            # offsets within a block become offsets within its text
-            before = np.cumsum(lengths) - lengths
-            first = np.repeat(last - np.diff(last, prepend=0), np.diff(last, prepend=0))
-            spans = spans + np.repeat(before - before[first], tokens)[:, None]
-            ends = np.cumsum(tokens)[last - 1]
-            columns = [batch.column("id"), pa.array(np.diff(ends, prepend=0), pa.int64()), _lists(ids, ends), _lists(spans[:, 0], ends), _lists(spans[:, 1], ends)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids", "starts", "ends"])
+            rows: list[tuple[np.ndarray, ...]] = []
+            for text in batch.column("text").to_pylist():
+                before, parts = 0, [(np.zeros(0, np.int32),) * 3]
+                for block in blocks(text or ""):
+                    ids = ids_of(block)
+                    starts, ends = spans(block.encode("utf-8", "replace"), lengths[ids])
+                    parts.append((ids, starts + before, ends + before))
+                    before += len(block)
+                rows.append(tuple(np.concatenate(p).astype(np.int32) for p in zip(*parts, strict=True)))
+            tokens = np.array([len(r[0]) for r in rows], np.int64)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(tokens))), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([r[n] for r in rows]), pa.int32())) for n in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(tokens), *lists], ["id", "n_tokens", "ids", "starts", "ends"])
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,27 +178,42 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
 
     ``starts`` and ``ends`` are the characters of the text that a token stands
     for, with all of a character that it has a part of. No special token is
-    added or known. ``pattern`` has to begin a new match at white space that
-    follows another character, as those of this family do; long texts are cut
-    there. Null and empty texts have no tokens and empty lists. Rows are
+    added or known. ``pattern`` has to cover every text and to begin a new match
+    at white space that follows another character, as those of this family do;
+    long texts are cut there. Characters are in the classes that the library has
+    them in (``departures``). Null and empty texts have no tokens and empty lists. Rows are
     independent: null, repeated and tied ids keep their rows; other columns are
     not read. The tokenizer, whose size is the vocabulary's, is broadcast.
     """
     told = docs.sparkSession.sparkContext.broadcast(tokenizer(ranks, pattern))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(partial(_encode, told=told), f"id {kind}, n_tokens long, ids array<int>, starts array<int>, ends array<int>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(partial(_encode, told=told, pattern=pattern, moved=departures(pattern)), f"id {kind}, n_tokens long, ids array<int>, starts array<int>, ends array<int>").withColumnRenamed("id", id_col)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], told: Broadcast, at: int, with_pieces: bool) -> Iterator[pa.RecordBatch]:
     table = byte_table(told.value)
+    tokens, known = pa.array(table, pa.binary()), np.array([t is not None for t in table])
     for whole in batches:
         for k in range(0, whole.num_rows, ROWS):
             batch = whole.slice(k, ROWS)
-            rows = [None if ids is None or not table.keys() >= set(ids) else ids for ids in batch.column(at).to_pylist()]
-            columns = [*batch.columns, pa.array([None if ids is None else b"".join(map(table.__getitem__, ids)) for ids in rows], pa.binary())]
+            lists = batch.column(at)
+            ids = lists.flatten()
+            plain = ids.fill_null(-1).to_numpy(zero_copy_only=False)
+            good = (plain >= 0) & (plain < len(table))
+            good[good] = known[plain[good]]
+            joined = tokens.take(pa.array(np.where(good, plain, int(np.argmax(known)))))
+            ends = np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            edges = np.concatenate(([0], ends))
+            bad = np.concatenate(([0], np.cumsum(~good)))
+            valid = lists.is_valid().to_numpy(zero_copy_only=False) & (np.diff(bad[edges]) == 0)
+            # the bytes of all tokens lie one after the other: a row's end where its last token ends
+            _, places, content = joined.buffers()
+            places = np.frombuffer(places, np.int32)[edges] if len(joined) else np.zeros(len(edges), np.int32)
+            decoded = pa.Array.from_buffers(pa.binary(), len(lists), [pa.array(valid).buffers()[1], pa.py_buffer(places), content or pa.py_buffer(b"")])
+            columns = [*batch.columns, decoded]
             if with_pieces:
-                columns.append(pa.array([None if ids is None else pieces(ids, table) for ids in rows], pa.list_(pa.string())))
+                columns.append(pa.array([pieces(row, table) if ok else None for row, ok in zip(lists.to_pylist(), valid, strict=True)], pa.list_(pa.string())))
             yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
 
 

@@ -85,11 +85,10 @@ def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = codec.decode(codec.encode(_read(spark, sf_dir, "documents"), *vocabulary), *vocabulary)
-    # tokens that only go on with a character that an earlier one began
-    split = F.expr("size(starts) - size(array_distinct(starts))").cast("long")
+    encoded = codec.encode(_read(spark, sf_dir, "documents"), *vocabulary)
     ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
-    return coded.select("doc_id", "n_tokens", ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), split.alias("n_split"))
+    decoded = codec.decode(encoded.select("doc_id", "n_tokens", "ids", ids.alias("ids_sha256")), *vocabulary)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
