@@ -8,6 +8,9 @@ each. Variants that share a name differ in seeding and stay apart on purpose.
 
 from __future__ import annotations
 
+import heapq
+import math
+
 import numpy as np
 import pandas as pd
 
@@ -150,3 +153,59 @@ def last_report(b: pd.DataFrame, weights: dict[str, float], window: int = 12, le
         "remaining": left,
         "expected_move": float(c[-1] * sigma * np.sqrt(left) * (1 + abs(t) / (1 + abs(t)))),
     }
+
+
+def order_statistic(scores: np.ndarray, coverage: float) -> float:
+    """The score at rank min(n, ceil((n + 1) coverage)); null of none."""
+    if not len(scores):
+        return float("nan")
+    rank = min(len(scores), math.ceil((len(scores) + 1) * coverage)) - 1
+    return float(np.partition(scores, rank)[rank])
+
+
+def adaptive_widths(calibration: np.ndarray, error: np.ndarray, day: np.ndarray, target_day: np.ndarray, coverage: float, last: int = 126, rate: float = 0.01) -> tuple[np.ndarray, np.ndarray, float]:
+    """Rolling and adaptive widths of rows in the order of days, and the last level of miscoverage.
+
+    The scores are those of the calibration rows and of all rows whose target has
+    matured before the day, the latest ``last``. Each matured row moves the level
+    once, by whether it had missed the adaptive width that it was given.
+    """
+    scores = np.concatenate([calibration, error])
+    alpha, done, rolling, adaptive = 1 - coverage, 0, [], []
+    for j in range(len(error)):
+        while done < j and target_day[done] < day[j]:
+            alpha = float(np.clip(alpha + rate * ((1 - coverage) - (error[done] > adaptive[done])), 0.01, 0.99))
+            done += 1
+        known = scores[max(0, len(calibration) + done - last) : len(calibration) + done]
+        rolling.append(order_statistic(known, coverage))
+        adaptive.append(order_statistic(known, 1 - alpha))
+    return np.array(rolling), np.array(adaptive), alpha
+
+
+def running_median(x: np.ndarray) -> np.ndarray:
+    """The median of the values up to each one: two heaps keep the lower and the upper half."""
+    low: list[float] = []
+    high: list[float] = []
+    out = np.empty(len(x))
+    for i, v in enumerate(x.tolist()):
+        if low and v < -low[0]:
+            heapq.heappush(low, -v)
+        else:
+            heapq.heappush(high, v)
+        if len(low) > len(high):
+            heapq.heappush(high, -heapq.heappop(low))
+        elif len(high) > len(low) + 1:
+            heapq.heappush(low, -heapq.heappop(high))
+        out[i] = high[0] if len(high) > len(low) else (high[0] - low[0]) / 2
+    return out
+
+
+def matured_so_far(rows: pd.DataFrame, last: int) -> pd.DataFrame:
+    """For each day on which targets of a group matured (``at``): their mean, that of the last ones, and the majority's direction with the median size."""
+    rows = rows.sort_values(["target_day", "day"], ignore_index=True)
+    y = rows["target_return"].to_numpy()
+    n, run = np.arange(1, len(y) + 1), np.cumsum(y)
+    rolling = (run - np.concatenate((np.zeros(min(last, len(y))), run))[: len(y)]) / np.minimum(n, last)
+    sign = np.where(np.cumsum(y > 0) >= 0.5 * n, 1.0, -1.0)
+    out = rows.assign(at=rows["target_day"], mean=run / n, rolling=rolling, majority=sign * running_median(np.abs(y)))
+    return out.drop_duplicates("at", keep="last")[["symbol", "horizon", "at", "mean", "rolling", "majority"]]

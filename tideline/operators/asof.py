@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,19 +44,46 @@ def change(days: DataFrame, observations: DataFrame, by: list[str], at: str, val
     return both.withColumns({"difference": F.col(value) - F.col("before"), "ratio": F.col(value) / F.nullif(F.col("before"), F.lit(0.0)) - 1})
 
 
+def _swept(rows: pd.DataFrame) -> pd.DataFrame:
+    """One key's observations and probes in the order of availability; observed days are kept sorted, each with its latest vintage."""
+    days: list = []
+    latest: dict = {}
+    out = []
+    for probe, known_at, cutoff, value in rows.sort_values(["_at", "_probe", "_day", "_value"])[["_probe", "_at", "_day", "_value"]].itertuples(index=False):
+        if not probe:
+            if cutoff not in latest:
+                insort(days, cutoff)
+            latest[cutoff] = (known_at, value)
+        else:
+            k = bisect_right(days, cutoff)
+            out.append((known_at, cutoff, days[k - 1], *latest[days[k - 1]]) if k else (known_at, cutoff, None, None, None))
+    return pd.DataFrame(out, columns=["_at", "_day", "obs_date", "available_at", "value"])
+
+
 def point_in_time(probes: DataFrame, observations: DataFrame, by: list[str], known_at: str, cutoff: str) -> DataFrame:
     """(by, known_at, cutoff, obs_date, available_at, value) of each distinct probe: of what was available at
     ``known_at`` and observed by ``cutoff``, the latest observation, and its latest vintage.
 
-    An observation is never too old. Observations of a key are few beside the
-    probes (months against days), so the equi-join on the key with both
-    conditions as residue stays small.
+    An observation is never too old; one without a day, a time of availability or a
+    value is none. Observations and probes of a key are united and sorted by time
+    once, and a sweep answers each probe by bisection of the days observed so far,
+    whatever the order in which revisions came; of vintages of one time the larger
+    value counts. Probes with a null find nothing.
     """
-    o = observations.select(*by, "obs_date", "available_at", "value")
     p = probes.select(*by, known_at, cutoff).distinct()
-    found = p.join(o, by, "left").where((F.col("available_at") <= F.col(known_at)) & (F.col("obs_date") <= F.col(cutoff)))
-    best = found.groupBy(*by, known_at, cutoff).agg(F.max(F.struct("obs_date", "available_at", "value")).alias("b"))
-    return p.join(best, [*by, known_at, cutoff], "left").select(*by, known_at, cutoff, "b.obs_date", "b.available_at", "b.value")
+    sides = [
+        observations.where("obs_date IS NOT NULL AND available_at IS NOT NULL AND value IS NOT NULL").select(*by, F.col("available_at").alias("_at"), F.col("obs_date").alias("_day"), F.col("value").cast("double").alias("_value"), F.lit(0).alias("_probe")),
+        p.where(F.col(known_at).isNotNull() & F.col(cutoff).isNotNull()).select(*by, F.col(known_at).cast("timestamp").alias("_at"), F.col(cutoff).alias("_day"), F.lit(None).cast("double").alias("_value"), F.lit(1).alias("_probe")),
+    ]
+    keys = ", ".join(f"{c} {p.schema[c].dataType.simpleString()}" for c in by)
+
+    def sweep(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return _swept(rows).assign(**dict(zip(by, key, strict=True)))
+
+    found = sides[0].unionByName(sides[1]).groupBy(*by).applyInPandas(sweep, f"{keys}, _at timestamp, _day date, obs_date date, available_at timestamp, value double")
+    found = found.select(*by, F.col("_at").alias(known_at), F.col("_day").alias(cutoff), "obs_date", "available_at", "value")
+    lost = p.where(F.col(known_at).isNull() | F.col(cutoff).isNull()).select(*by, known_at, cutoff, *(F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("obs_date", "available_at", "value")))
+    return found.unionByName(lost)
 
 
 def year_on_year(observations: DataFrame, by: list[str], known_at: Column) -> DataFrame:

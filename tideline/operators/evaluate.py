@@ -29,7 +29,7 @@ def metrics(pairs: DataFrame, by: list[str]) -> DataFrame:
         ((share(active & (y > 0), p > 0) + share(active & (y < 0), p < 0)) / 2).alias("balanced_direction"),
         share(active, same).alias("active_direction"),
         F.avg(active.cast("double")).alias("active_fraction"),
-        F.corr("pred", "actual").alias("correlation"),
+        F.when((F.stddev_pop("actual") > 0) & (F.stddev_pop("pred") > 1e-12), F.covar_pop("pred", "actual") / F.nullif(F.stddev_pop("actual") * F.stddev_pop("pred"), F.lit(0.0))).alias("correlation"),
         (1 - F.avg(e * e) / F.nullif(F.var_pop(y), F.lit(0.0))).alias("r2"),
         F.when(F.regr_sxx("actual", "pred") > 1e-18, F.regr_slope("actual", "pred")).alias("slope"),
         (1 - F.avg(F.abs(e)) / F.nullif(F.avg(F.abs(y)), F.lit(0.0))).alias("skill_mae"),
@@ -170,23 +170,23 @@ def block_bootstrap(rows: DataFrame, by: tuple[str, ...], block: int = 30, reps:
     """The 2.5 and 97.5 % points of error, direction and skill of (day, pred, actual) under a moving-block bootstrap.
 
     A replicate is a row of block starts, the last block cut so that it has as many
-    rows as there are. Sums over a block are differences of running sums, so a
-    replicate joins blocks and not rows. Starts are hashes, the same everywhere.
+    rows as there are. A group's running sums are four arrays with one number for
+    each day, and the sum over a block is a difference of two of them, so replicates
+    join nothing and copy nothing. Starts are hashes, the same everywhere.
     """
     valid = (F.abs("pred") > 1e-12) & (F.col("actual") != 0)
     hit = (valid & (F.signum("pred") == F.signum("actual"))).cast("double")
     parts = {"e": F.abs(F.col("pred") - F.col("actual")), "y": F.abs("actual"), "h": hit, "v": valid.cast("double")}
     w = Window.partitionBy(*by).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     r = rows.select(*by, F.count("*").over(w).cast("int").alias("i"), *(F.sum(x).over(w).alias(k) for k, x in parts.items()))
-    size = r.groupBy(*by).agg(F.max("i").alias("n"))
-    cums = r.unionByName(size.select(*by, F.lit(0).alias("i"), *(F.lit(0.0).alias(k) for k in parts)))
-    b = F.least(F.lit(block), F.col("n"))
-    draws = size.withColumn("b", b).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("k", F.explode(F.sequence(F.lit(1), F.ceil(F.col("n") / F.col("b")).cast("int"))))
-    code = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), "rep", "k")), 1, 8), 16, 10).cast("long")
-    draws = draws.withColumn("first", (code % (F.col("n") - F.col("b") + 1)).cast("int"))
-    draws = draws.withColumn("stop", F.col("first") + F.least(F.col("b"), F.col("n") - (F.col("k") - 1) * F.col("b")))
-    at = lambda name, side: cums.select(*by, F.col("i").alias(name), *(F.col(k).alias(f"{side}_{k}") for k in parts))
-    j = draws.join(at("first", "a"), [*by, "first"]).join(at("stop", "z"), [*by, "stop"])
-    sums = j.groupBy(*by, "n", "rep").agg(*(F.sum(F.col(f"z_{k}") - F.col(f"a_{k}")).alias(k) for k in parts))
-    each = sums.select(*by, "n", (F.col("e") / F.col("n")).alias("mae"), F.when(F.col("v") > 0.5, F.col("h") / F.col("v")).alias("direction"), F.when(F.col("y") > 0, 1 - F.col("e") / F.col("y")).alias("skill"))
+    listed = F.array_sort(F.collect_list(F.struct("i", *parts))).alias("r")
+    g = r.groupBy(*by).agg(F.max("i").alias("n"), listed)
+    g = g.select(*by, "n", F.least(F.lit(block), F.col("n")).alias("b"), *(F.concat(F.array(F.lit(0.0)), F.col(f"r.{k}")).alias(k) for k in parts))
+    start = f"cast(conv(substring(md5(concat_ws('-', {seed}, rep, k)), 1, 8), 16, 10) as bigint) % (n - b + 1)"
+    one = "transform(sequence(1, cast(ceil(n / b) as int)), k -> named_struct('a', cast(START as int), 'l', cast(least(b, n - (k - 1) * b) as int)))".replace("START", start)
+    total = ", ".join(f"'{k}', s.{k} + get({k}, d.a + d.l) - get({k}, d.a)" for k in parts)
+    zero = ", ".join(f"'{k}', 0D" for k in parts)
+    sums = F.expr(f"transform(sequence(1, {reps}), rep -> aggregate({one}, named_struct({zero}), (s, d) -> named_struct({total})))")
+    s = g.select(*by, "n", F.explode(sums).alias("s")).select(*by, "n", "s.*")
+    each = s.select(*by, "n", (F.col("e") / F.col("n")).alias("mae"), F.when(F.col("v") > 0.5, F.col("h") / F.col("v")).alias("direction"), F.when(F.col("y") > 0, 1 - F.col("e") / F.col("y")).alias("skill"))
     return each.groupBy(*by, "n").agg(*(F.percentile(c, q).alias(f"{c}_{name}") for c in ("mae", "direction", "skill") for name, q in (("low", 0.025), ("high", 0.975))))

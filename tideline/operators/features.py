@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.kernels import matured_so_far
 from . import asof
 from .windows import gold_features, ordered
 
@@ -70,8 +71,8 @@ def manifest(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum(part).alias("checksum"))
 
 
-def fold_rows(rows: DataFrame, folds: tuple[float, ...] = (0.55, 0.70, 0.85), calibration: float = 0.2, least: int = 30) -> DataFrame:
-    """(symbol, horizon, fold, day, target_day, part): the rows of purged expanding folds of labelled rows.
+def fold_rows(rows: DataFrame, folds: tuple[float, ...] = (0.55, 0.70, 0.85), calibration: float = 0.2, least: int = 30, keep: Sequence[str] = ()) -> DataFrame:
+    """(symbol, horizon, fold, day, target_day, part, and the columns ``keep``): the rows of purged expanding folds of labelled rows.
 
     A fold's test rows start at a share of the rows. What is trained on has a
     target that matured before the test starts; the last part of the training
@@ -80,7 +81,7 @@ def fold_rows(rows: DataFrame, folds: tuple[float, ...] = (0.55, 0.70, 0.85), ca
     w = Window.partitionBy("symbol", "horizon")
     r = rows.where("target_day IS NOT NULL").withColumns({"i": F.row_number().over(w.orderBy("day")) - 1, "n": F.count("*").over(w)})
     bounds = F.explode(F.array(*(F.struct(F.lit(k).alias("fold"), F.floor(F.col("n") * a).alias("start"), (F.floor(F.col("n") * b) if b < 1 else F.col("n")).alias("stop")) for k, (a, b) in enumerate(zip(folds, (*folds[1:], 1.0), strict=True)))))
-    f = r.withColumn("b", bounds).select("symbol", "horizon", "day", "target_day", "i", "b.*")
+    f = r.withColumn("b", bounds).select("symbol", "horizon", "day", "target_day", "i", "b.*", *keep)
     g = Window.partitionBy("symbol", "horizon", "fold")
     f = f.withColumn("test_day", F.min(F.when(F.col("i") == F.col("start"), F.col("day"))).over(g))
     f = f.withColumn("usable", (F.col("i") < F.col("start")) & (F.col("target_day") < F.col("test_day")))
@@ -89,7 +90,7 @@ def fold_rows(rows: DataFrame, folds: tuple[float, ...] = (0.55, 0.70, 0.85), ca
     f = f.withColumn("in_tail", F.col("usable") & (F.col("k") > F.col("m") - F.col("tail")))
     f = f.withColumn("tail_day", F.min(F.when(F.col("in_tail"), F.col("day"))).over(g))
     part = F.when((F.col("i") >= F.col("start")) & (F.col("i") < F.col("stop")), "test").when(F.col("in_tail"), "calibrate").when(F.col("usable") & (F.col("target_day") < F.col("tail_day")), "train").when(F.col("i") < F.col("start"), "purged")
-    return f.withColumn("part", part).where("part IS NOT NULL").select("symbol", "horizon", "fold", "day", "target_day", "part")
+    return f.withColumn("part", part).where("part IS NOT NULL").select("symbol", "horizon", "fold", "day", "target_day", "part", *keep)
 
 
 def walk_forward(rows: DataFrame, folds: tuple[float, ...] = (0.55, 0.70, 0.85), calibration: float = 0.2, least: int = 30) -> DataFrame:
@@ -132,19 +133,17 @@ def rolling_baselines(labels: DataFrame, last: int = 126) -> DataFrame:
     """For each row, of the targets that had matured before its day: their mean, the mean of the last ``last`` by maturity, and the majority's direction (up, if half are) with the median size.
 
     Targets of a symbol and horizon mature in the order of their days, so what has
-    matured is a prefix of the targets sorted by maturity: the running sums as of
-    the day before, found by a backward as-of join and no range join.
+    matured is a prefix of the targets sorted by maturity: running sums and, by two
+    heaps, running medians as of the day before, found by a backward as-of join.
     """
     key = ["symbol", "horizon"]
-    known = labels.where("target_day IS NOT NULL AND target_return IS NOT NULL")
-    w = Window.partitionBy(*key).orderBy("target_day", "day")
-    far = w.rowsBetween(Window.unboundedPreceding, 0)
-    near = w.rowsBetween(-(last - 1), 0)
-    run = known.select(*key, F.col("target_day").alias("at"), "day", F.struct(F.avg("target_return").over(far).alias("mean"), F.avg("target_return").over(near).alias("rolling"), F.avg((F.col("target_return") > 0).cast("double")).over(far).alias("up"), F.percentile(F.abs("target_return"), 0.5).over(far).alias("size")).alias("s"))
-    run = run.groupBy(*key, "at").agg(F.max_by("s", "day").alias("s"))
+    known = labels.where("target_day IS NOT NULL AND target_return IS NOT NULL").select(*key, "day", "target_day", "target_return")
+    schema = f"symbol {labels.schema['symbol'].dataType.simpleString()}, horizon {labels.schema['horizon'].dataType.simpleString()}, at date, mean double, rolling double, majority double"
+    run = known.groupBy(*key).applyInPandas(lambda rows: matured_so_far(rows, last), schema)
+    run = run.select(*key, "at", F.struct("mean", "rolling", "majority").alias("s"))
     probes = labels.select(*key, F.date_sub("day", 1).alias("at"))
     hit = asof.backward(probes, run, key, "at", "s")
-    return labels.select(*key, "day", F.date_sub("day", 1).alias("at")).join(hit, [*key, "at"], "left").select(*key, "day", "s.mean", "s.rolling", (F.when(F.col("s.up") >= 0.5, F.col("s.size")).otherwise(-F.col("s.size"))).alias("majority"))
+    return labels.select(*key, "day", F.date_sub("day", 1).alias("at")).join(hit, [*key, "at"], "left").select(*key, "day", "s.mean", "s.rolling", "s.majority")
 
 
 def momentum_labels(bars: DataFrame) -> DataFrame:

@@ -6,13 +6,16 @@ rows as there are features.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fits
+from ..sources.tables import saved
+
 
 def effects(rows: DataFrame, weights: dict[str, float], keys: list[str]) -> DataFrame:
     """(keys, feature, effect): what of a linear score each feature adds over its mean."""
@@ -70,6 +73,69 @@ def ensemble_weights(errors: DataFrame, columns: Sequence[str], by: list[str]) -
     return g.mapInPandas(solve, schema)
 
 
+def linear_fits(rows: DataFrame, columns: Sequence[str], target: str, by: list[str]) -> DataFrame:
+    """(by, n, model, feature, weight) of ridge and elastic net with an intercept, in columns standardised by the group's own rows.
+
+    A group of any size becomes one row of sums; each group solves its own small system.
+    """
+    k = len(columns)
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for r in part.to_dict("records"):
+                mean, second = _matrix(r, k + 1)
+                cov = second - np.outer(mean, mean)
+                sd = np.sqrt(np.maximum(np.diag(cov)[:k], 0))
+                sd = np.where(sd < 1e-9, 1.0, sd)
+                s = fits.Sums(r["n"], np.zeros(k), mean[k], cov[:k, :k] / np.outer(sd, sd), cov[:k, k] / sd)
+                for model, (w, b) in (("ridge", fits.fit_ridge(s)), ("elasticnet", fits.fit_elastic(s))):
+                    yield pd.DataFrame({**{c: [r[c]] * (k + 1) for c in by}, "n": r["n"], "model": model, "feature": [*columns, "intercept"], "weight": [*w, b]})
+
+    g = gram(rows, [*columns, target], by)
+    schema = ", ".join(f"{c} {g.schema[c].dataType.simpleString()}" for c in by) + ", n long, model string, feature string, weight double"
+    return g.mapInPandas(solve, schema)
+
+
+def logistic_fits(rows: DataFrame, columns: Sequence[str], up: str, by: list[str], steps: int = 25, tolerance: float = 1e-8, c: float = 0.1) -> DataFrame:
+    """(by, feature, weight) of logistic fits of ``up`` (0 or 1) on standardised columns, by Newton's steps.
+
+    A step is one aggregate over all rows of all groups: the gradient and the second
+    derivatives at the weights so far. Weights are penalised by their squares over
+    2 ``c``, the intercept is not. Groups of one outcome keep finite weights but for
+    the intercept, which grows with the steps.
+    """
+    k, names = len(columns), [*columns, "intercept"]
+    w = Window.partitionBy(*by)
+    sd = lambda x: F.when(F.stddev_pop(x).over(w) < 1e-9, 1.0).otherwise(F.stddev_pop(x).over(w))
+    z = saved(rows.select(*by, F.col(up).alias("up"), *(((F.col(x) - F.avg(x).over(w)) / sd(x)).alias(f"z{i}") for i, x in enumerate(columns)), F.lit(1.0).alias(f"z{k}")))
+    weights = z.select(*by).distinct().withColumn("w", F.array(*[F.lit(0.0)] * (k + 1)))
+    kinds = ", ".join(f"{x} {z.schema[x].dataType.simpleString()}" for x in by)
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for r in part.to_dict("records"):
+                g = np.array([r[f"g{i}"] for i in range(k + 1)])
+                h = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)])
+                old = np.array(r["w"])
+                new = fits.newton_step(old, g, h, c)
+                yield pd.DataFrame([{**{x: r[x] for x in by}, "w": new, "moved": float(np.abs(new - old).max())}])
+
+    for _ in range(steps):
+        j = z.join(weights, by)
+        score = sum((F.col("w")[i] * F.col(f"z{i}") for i in range(k + 1)), F.lit(0.0))
+        p = 1 / (1 + F.exp(-F.least(F.greatest(score, F.lit(-40.0)), F.lit(40.0))))
+        j = j.withColumn("p", p)
+        curve = F.col("p") * (1 - F.col("p"))
+        sums = [F.sum((F.col("p") - F.col("up")) * F.col(f"z{i}")).alias(f"g{i}") for i in range(k + 1)]
+        sums += [F.sum(curve * F.col(f"z{a}") * F.col(f"z{b}")).alias(f"h{a}_{b}") for a in range(k + 1) for b in range(a, k + 1)]
+        made = saved(j.groupBy(*by).agg(F.first("w").alias("w"), *sums).mapInPandas(step, f"{kinds}, w array<double>, moved double"))
+        weights, moved = made.drop("moved"), made.agg(F.max("moved")).first()[0]
+        if moved is None or moved <= tolerance:
+            break
+    pairs = F.explode(F.arrays_zip(F.array(*map(F.lit, names)).alias("feature"), F.col("w").alias("weight")))
+    return weights.select(*by, pairs.alias("f")).select(*by, "f.feature", "f.weight")
+
+
 def _shrunk(cov: np.ndarray, fourth: float, n: int) -> np.ndarray:
     """The covariance, shrunk to its mean variance as far as its own noise says (Ledoit and Wolf, 2004); ``fourth`` is the mean of the squared squared lengths."""
     p = len(cov)
@@ -80,6 +146,12 @@ def _shrunk(cov: np.ndarray, fourth: float, n: int) -> np.ndarray:
     return (1 - share) * cov + share * mu * np.eye(p)
 
 
+def shrunk_inverse(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean, and inverse of the shrunk covariance, of one group's rows."""
+    c = z - z.mean(axis=0)
+    return z.mean(axis=0), np.linalg.pinv(_shrunk(c.T @ c / len(c), float(((c * c).sum(axis=1) ** 2).mean()), len(c)))
+
+
 def mahalanobis(train: DataFrame, rows: DataFrame, columns: Sequence[str], by: list[str], keys: list[str]) -> DataFrame:
     """(keys, distance, threshold, outside) of each row from its group's training rows, in standardised columns.
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fits
+from ..functions.kernels import adaptive_widths
 from ..operators import asof
 from ..operators import evaluate as ops
 from ..sources.tables import BARS, FORECASTS, bars_daily, forecasts, saved
@@ -202,33 +202,6 @@ COVERAGES = (0.5, 0.7, 0.8, 0.9)
 _ADAPTIVE = "symbol string, horizon int, coverage double, n long, rolling_covered double, rolling_width double, adaptive_covered double, adaptive_width double, last_alpha double"
 
 
-def order_statistic(scores: np.ndarray, coverage: float) -> float:
-    """The score at rank min(n, ceil((n + 1) coverage)); null of none."""
-    if not len(scores):
-        return float("nan")
-    rank = min(len(scores), math.ceil((len(scores) + 1) * coverage)) - 1
-    return float(np.partition(scores, rank)[rank])
-
-
-def adaptive_widths(calibration: np.ndarray, error: np.ndarray, day: np.ndarray, target_day: np.ndarray, coverage: float, last: int = 126, rate: float = 0.01) -> tuple[np.ndarray, np.ndarray, float]:
-    """Rolling and adaptive widths of rows in the order of days, and the last level of miscoverage.
-
-    The scores are those of the calibration rows and of all rows whose target has
-    matured before the day, the latest ``last``. Each matured row moves the level
-    once, by whether it had missed the adaptive width that it was given.
-    """
-    scores = np.concatenate([calibration, error])
-    alpha, done, rolling, adaptive = 1 - coverage, 0, [], []
-    for j in range(len(error)):
-        while done < j and target_day[done] < day[j]:
-            alpha = float(np.clip(alpha + rate * ((1 - coverage) - (error[done] > adaptive[done])), 0.01, 0.99))
-            done += 1
-        known = scores[max(0, len(calibration) + done - last) : len(calibration) + done]
-        rolling.append(order_statistic(known, coverage))
-        adaptive.append(order_statistic(known, 1 - alpha))
-    return np.array(rolling), np.array(adaptive), alpha
-
-
 def _adaptive(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("day", ignore_index=True)
     error = (rows["pred"] - rows["actual"]).abs().to_numpy()
@@ -286,22 +259,10 @@ _FOLD = "symbol string, horizon int, fold int, n long, weight double, error doub
 
 
 def _fit_predict(a: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Mean forecast for ``x`` of small tanh networks (3 seeds), fitted and scaled on ``a`` and ``y`` alone."""
-    mean, sd = a.mean(0), a.std(0)
-    a, z = (np.clip((v - mean) / np.where(sd < 1e-9, 1, sd), -6, 6) for v in (a, x))
-    scale = y.std() or 1.0
-    draws = [np.random.default_rng(seed) for seed in (17, 42, 91)]
-    # the three networks are fitted side by side
-    w1, w2 = (np.stack(x) for x in zip(*((g.normal(0, 0.3, (a.shape[1], 8)), g.normal(0, 0.3, 8)) for g in draws), strict=True))
-    b1, b2, t = np.zeros((3, 8)), np.zeros(3), y / scale
-    for _ in range(300):
-        h = np.tanh(a @ w1 + b1[:, None])
-        e = ((h @ w2[:, :, None])[..., 0] + b2[:, None] - t) / len(y)
-        d = e[..., None] * w2[:, None] * (1 - h * h)
-        g2 = (h.transpose(0, 2, 1) @ e[..., None])[..., 0]
-        w2, b2, w1, b1 = w2 - 0.5 * (g2 + 1e-4 * w2), b2 - 0.5 * e.sum(axis=1), w1 - 0.5 * (a.T @ d + 1e-4 * w1), b1 - 0.5 * d.sum(axis=1)
-    told = (np.tanh(z @ w1 + b1[:, None]) @ w2[:, :, None])[..., 0] + b2[:, None]
-    return told.mean(axis=0) * scale
+    """Mean forecast for ``x`` of the networks of all seeds, fitted and scaled on ``a`` and ``y`` alone."""
+    scale = fits.scaler(a)
+    z, new = fits.scaled(a, *scale), fits.scaled(x, *scale)
+    return np.mean([fits.network_told(fits.fit_network(z, y, seed)[0], new) for seed in fits.SEEDS], axis=0)
 
 
 def _mlp(rows: pd.DataFrame) -> pd.DataFrame:
@@ -353,8 +314,8 @@ def mlp_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from ..operators.features import fold_rows
 
-    d = saved(_design(spark, sf_dir))
-    rows = fold_rows(d).drop("target_day").join(d, ["symbol", "horizon", "day"])
+    d = _design(spark, sf_dir)
+    rows = fold_rows(d, keep=[c for c in d.columns if c == "actual" or c.startswith("x_")]).repartition("symbol", "horizon", "fold")
     f = rows.groupBy("symbol", "horizon", "fold").applyInPandas(_mlp, _FOLD)
     n = F.nullif(F.sum("n"), F.lit(0))
     means = {"weight": "weight", "mae": "error", "mae_raw": "raw_error", "mae_zero": "zero_error"} | {f"{c}_{k}": f"{c}_{k}" for k in LEVELS for c in ("width", "covered")}
@@ -364,21 +325,19 @@ def mlp_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ridge_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ridge by the normal equations: sums of products are aggregated in Spark, and each group solves its small system."""
-    from ..operators.features import GOLD
+    """Ridge with an intercept on the training rows of every fold, by sums of products that Spark aggregates, and its errors on the fold's test rows."""
+    from ..operators.features import GOLD, fold_rows
+    from ..operators.models import linear_fits
 
     d = _design(spark, sf_dir)
-    names = [f"x_{c}" for c in GOLD]
-    sums = [F.sum(F.col(a) * F.col(b)).alias(f"s_{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
-    sums += [F.sum(F.col(a) * F.col("actual")).alias(f"t_{i}") for i, a in enumerate(names)]
-    g = d.groupBy("symbol", "horizon").agg(F.count("*").alias("n"), *sums)
-
-    def solve(batches):
-        k = len(names)
-        for rows in batches:
-            for r in rows.to_dict("records"):
-                a = np.array([[r[f"s_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-                w = np.linalg.solve(a + 0.01 * r["n"] * np.eye(k), np.array([r[f"t_{i}"] for i in range(k)]))
-                yield pd.DataFrame({"symbol": r["symbol"], "horizon": r["horizon"], "n": r["n"], "feature": GOLD, "weight": np.round(w, 6)})
-
-    return g.mapInPandas(solve, "symbol string, horizon int, n long, feature string, weight double")
+    names, by = [f"x_{c}" for c in GOLD], ["symbol", "horizon", "fold"]
+    rows = saved(fold_rows(d, keep=["actual", *names]))
+    train = rows.where("part = 'train'")
+    w = linear_fits(train, names, "actual", by).where("model = 'ridge'")
+    w = w.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("feature", "weight"))).alias("w"))
+    deviation = lambda c: F.when(F.stddev_pop(c) < 1e-9, 1.0).otherwise(F.stddev_pop(c))
+    scale = train.groupBy(*by).agg(*(F.avg(c).alias(f"m_{c}") for c in names), *(deviation(c).alias(f"s_{c}") for c in names))
+    told = sum((F.col("w")[c] * (F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}") for c in names), F.col("w")["intercept"])
+    tested = rows.where("part = 'test'").join(w, by).join(scale, by).withColumns({"pred": told, "price": F.lit(1.0)})
+    m = ops.metrics(tested, by).select(*by, "n", "mae", "rmse", "bias", "skill_mae")
+    return all_rounded(m.join(w.select(*by, F.map_entries("w").alias("e")), by).select(*by, "n", "mae", "rmse", "bias", "skill_mae", F.explode("e").alias("f")).select(*by, "n", "mae", "rmse", "bias", "skill_mae", F.regexp_replace("f.key", "^x_", "").alias("feature"), F.col("f.value").alias("weight")))
