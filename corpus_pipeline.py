@@ -37,10 +37,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the certified cutoffs, of all languages together where one has too few labels."""
+    """Documents that pass the base rules and the certified cutoff of their language, or of a pool where it has too few labels."""
     rows = keyed(docs)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").join(rows.select("doc_id", "key"), "doc_id").drop("doc_id")
-    judged = quality_rules.judge(rows, labels, id_col="key", pooled=True)
+    judged = quality_rules.judge(rows, labels, id_col="key")
     return rows.join(judged.where("kept").select("key"), "key", "left_semi").select(*COLUMNS)
 
 
