@@ -389,7 +389,11 @@ def test_junk_goes_in_every_language(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     base = quality_rules.judge(docs, labels).where("NOT base_failed").select("doc_id")
-    kept = corpus_pipeline.quality(spark, docs, sf).select("doc_id", F.lit(1).alias("kept"))
+    from tideline.llm import queries
+
+    kept = queries.op4_quality_rules(spark, sf).where("kept").select("doc_id", F.lit(1).alias("kept"))
+    staged = corpus_pipeline.quality(spark, docs, sf).select("doc_id", F.lit(1).alias("kept"))
+    assert kept.exceptAll(staged).count() == staged.exceptAll(kept).count() == 0
     got = base.join(docs, "doc_id").join(labels, "doc_id").join(kept, "doc_id", "left").groupBy("lang", "quality").agg(F.count("*").alias("n"), F.count("kept").alias("kept")).collect()
     print(sorted(map(tuple, got)))
     junk, clean = ({r.lang: r for r in got if r.quality == q} for q in (0, 1))

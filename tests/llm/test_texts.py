@@ -249,6 +249,43 @@ def test_most_losses(spark):
         assert spark.range(1).select(quality_rules.most_losses(F.lit(n).cast("long"), a, F.lit(level))).first()[0] == want
 
 
+def test_promise_holds_on_resampled_labels(spark):
+    """Forty strata are samples of one population whose losses are known: no certified cutoff loses more than was promised."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    g = np.random.default_rng(44)
+    risk = np.minimum(g.exponential(0.05, 20_000), 1)
+    rows = []
+    for k in range(40):
+        own = g.choice(risk, 420)
+        rows += [(k * 1000 + i, f"s{k}", False, float(r) ** 3, 0.0, 0.0) for i, r in enumerate(own)]
+        rows += [(k * 1000 + 500 + i, f"s{k}", False, float(r) ** 3, 0.0, 0.0) for i, r in enumerate(g.uniform(0.1, 1, 60))]
+    measured = spark.createDataFrame(rows, "id long, stratum string, base_failed boolean, noise double, repeats double, dup_lines double")
+    labels = measured.select(F.col("id").alias("doc_id"), (F.col("id") % 1000 < 500).cast("int").alias("quality"))
+    got = quality_rules.certify(measured, labels, "doc_id").collect()
+    own = [r for r in got if not r.pooled]
+    assert len(own) == 40 and all((risk > r.cutoff).mean() <= quality_rules.ALPHA for r in own)
+    assert all(r.cutoff < 0.6 for r in own)  # and they are of use
+
+
+def test_strata_with_few_labels_take_a_pool(spark):
+    from pyspark.sql import functions as F
+
+    def certified(sizes):
+        rows = [(s * 10_000 + i, None if s == 1 else f"s{s}", False, 0.125 if i % 10 == 0 else 0.0, 0.0, 0.0) for s, n in enumerate(sizes) for i in range(n)]
+        measured = spark.createDataFrame(rows, "id long, stratum string, base_failed boolean, noise double, repeats double, dup_lines double")
+        labels = measured.select(F.col("id").alias("doc_id"), (F.col("id") % 10 != 0).cast("int").alias("quality"))
+        return sorted((r.pooled, repr(r.stratum), r.cutoff) for r in quality_rules.certify(measured, labels, "doc_id").collect())
+
+    # junk has the risk 0.5: the loosest cutoff below it
+    assert certified([400, 400]) == [(False, "'s0'", 0.48), (False, "None", 0.48), (True, "None", 0.48)]  # the pool is for strata without any label
+    assert certified([400, 50, 50]) == [(False, "'s0'", 0.48), (True, "None", 0.48)]  # the pool of all
+    assert certified([400, 150, 150]) == [(False, "'s0'", 0.48), (True, "None", 0.48)]  # the pool of the other two
+    assert certified([100, 60]) == [] and certified([]) == []
+    assert certified([150, 150]) == [(True, "None", 0.48)]
+
+
 def test_cutoffs_keep_their_promise(spark):
     """Clean texts with few symbols, junk with many: the cutoff rejects the junk and next to nothing that is clean."""
     from pyspark.sql import functions as F

@@ -1,18 +1,26 @@
 """Quality rules whose cutoffs are certified on labelled holdouts.
 
-Each document gets a few rule scores (higher is worse). For each stratum the
-tightest cutoff of each rule is chosen at which an exact binomial test still
-rejects "more than ``alpha`` of the clean documents would be lost". The share
-``alpha`` is split over the rules, so that together they lose at most ``alpha``
-of a stratum; the error level ``delta`` is split over all strata and rules
-(Bonferroni). Along the grid a rule's losses only grow as its cutoff tightens, so
-testing from the loosest cutoff on needs no further correction. With ``pooled``,
-strata with too few labels take the cutoffs of all strata together, which are
-tested as one more stratum; the loss is then bounded over all strata together.
+Each document gets a few rule scores (higher is worse). All rules are tightened
+together along one path: at the cutoff t a document is rejected whose share of
+symbols is over the cube of t, or whose repeats or repeated lines are over t. Its risk is the
+tightest cutoff that still keeps it, so a cutoff is one number, and what it loses
+of the clean documents only grows as it tightens. Of a stratum with enough labels,
+all cutoffs are certified at which an exact binomial test rejects "more than
+``alpha`` of the clean documents would be lost"; testing from the loosest on needs
+no correction within a stratum, and the error level ``delta`` is split over the
+strata that have enough labels and one pool (Bonferroni). How many that are depends
+on the numbers of labels alone. Among certified cutoffs the one is taken that
+parts labelled junk from clean documents best, the loosest of equal ones.
+
+Strata with too few labels take the cutoff of a pool: of all such strata together,
+or, if these have too few labels as well, of all strata. A pool's loss is bounded
+over all of its strata together.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +30,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 SPACES, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
 RULES = ("noise", "repeats", "dup_lines")
 #: Cutoffs are GRID-ths of 1. Largest share of a stratum's clean documents that may be lost, and the chance of being wrong.
-GRID, ALPHA, DELTA = 50, 0.01, 0.05
+GRID, ALPHA, DELTA = 50, 0.02, 0.05
 WINDOW = 8
 
 
@@ -81,54 +89,63 @@ def most_losses(n: Column, alpha: float, level: Column) -> Column:
     )
 
 
-def certify(measured: DataFrame, labels: DataFrame, label_id: str, alpha: float = ALPHA, delta: float = DELTA, pooled: bool = False) -> DataFrame:
-    """(pooled, stratum, rule, cutoff) of every rule that can be certified; a document over a cutoff is rejected.
+def risk() -> Column:
+    """The tightest cutoff that keeps a document: no rule's score is over its place on the path."""
+    return F.greatest(F.round(F.cbrt("noise"), 9), "repeats", "dup_lines")
+
+
+def fewest_labels(alpha: float, level: float) -> float:
+    """Clean labels that certify a cutoff if none of them is lost."""
+    return math.log(level) / math.log(1 - alpha)
+
+
+def certify(measured: DataFrame, labels: DataFrame, label_id: str, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """(pooled, stratum, cutoff) of every stratum that can be certified, and of the pool of the others (its stratum is null).
 
-    Clean documents are those whose labels are all 1; what already fails the base
-    rules is no loss of the method. A stratum with too few labels gets no cutoff;
-    with ``pooled``, rows of that mark and no stratum hold the cutoffs of all strata together.
+    Clean documents are those whose labels are all 1, junk is what else has labels;
+    what already fails the base rules is no loss of the method.
     """
-    clean = labels.where(F.col("quality").isNotNull()).groupBy(F.col(label_id).alias("id")).agg(F.min("quality").alias("q")).where("q = 1")
-    held = measured.where("NOT base_failed").join(clean, "id").select(F.lit(False).alias("pooled"), "stratum", *RULES)
-    strata = held.select(F.count_distinct(F.coalesce(F.col("stratum"), F.lit("\0")))).first()[0]
-    if pooled:
-        held = held.union(held.withColumns({"pooled": F.lit(True), "stratum": F.lit(None).cast("string")}))
-    long = held.select("pooled", "stratum", F.expr(f"stack({len(RULES)}, " + ", ".join(f"'{r}', {r}" for r in RULES) + ") AS (rule, score)"))
-    # a cutoff of step j/GRID loses what scores above it, so losses add up from the last step down
-    steps = long.groupBy("pooled", "stratum", "rule", F.least(F.lit(GRID), F.ceil(F.col("score") * GRID)).alias("step")).agg(F.count("*").alias("n"))
-    tables = steps.groupBy("pooled", "stratum", "rule").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("step", "n"))).alias("n_at"))
-    level = F.lit(delta / max(1, (strata + pooled) * len(RULES)))
-    tables = tables.withColumn("most", most_losses(F.col("total"), alpha / len(RULES), level)).where("most >= 0")
-    lost = f"aggregate(sequence(j + 1, {GRID + 1}), 0L, (a, t) -> a + coalesce(n_at[CAST(t AS BIGINT)], 0L))"
-    chosen = tables.withColumn("j", F.expr(f"array_min(filter(sequence(1, {GRID}), j -> {lost} <= most))"))
-    return chosen.select("pooled", "stratum", "rule", (F.col("j") / GRID).alias("cutoff"))
-
-
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA, pooled: bool = False) -> DataFrame:
+    judged = labels.where(F.col("quality").isNotNull()).groupBy(F.col(label_id).alias("id")).agg((F.min("quality") == 1).alias("clean"))
+    step = F.least(F.lit(GRID + 1), F.ceil(risk() * GRID)).cast("int")
+    held = measured.where("NOT base_failed").join(judged, "id").groupBy("stratum", step.alias("step")).agg(F.count_if("clean").alias("clean"), F.count_if(~F.col("clean")).alias("junk"))
+    held = written(held, "held")
+    counts = held.groupBy(F.col("stratum").alias("s")).agg(F.sum("clean").alias("n"))
+    level = delta / (counts.where(F.col("n") >= fewest_labels(alpha, delta)).count() + 1)
+    few = counts.where(F.col("n") < fewest_labels(alpha, level))
+    rest = few.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    one_of_few = F.col("stratum").eqNullSafe(F.col("s"))
+    pool = held if rest < fewest_labels(alpha, level) else held.join(few, one_of_few, "left_semi")
+    groups = held.join(few, one_of_few, "left_anti").withColumn("pooled", F.lit(False)).unionByName(pool.withColumns({"pooled": F.lit(True), "stratum": F.lit(None).cast("string")}))
+    steps = groups.groupBy("pooled", "stratum", "step").agg(F.sum("clean").alias("clean"), F.sum("junk").alias("junk"))
+    tables = steps.groupBy("pooled", "stratum").agg(F.sum("clean").alias("n"), F.sum("junk").alias("all_junk"), F.map_from_entries(F.collect_list(F.struct("step", F.struct("clean", "junk")))).alias("at"))
+    tables = tables.withColumn("most", most_losses(F.col("n"), alpha, F.lit(level))).where("most >= 0")
+    # a cutoff of step j/GRID loses what lies above it
+    above = lambda c: f"aggregate(sequence(j + 1, {GRID + 1}), 0L, (a, t) -> a + coalesce(at[t].{c}, 0L))"
+    lost = F.expr(f"transform(sequence(1, {GRID}), j -> struct({above('clean')} AS lost, {above('junk')} AS caught, j AS j))")
+    best = F.expr("array_max(transform(filter(cuts, c -> c.lost <= most), c -> struct(c.caught * n - c.lost * greatest(all_junk, 1L) AS parted, c.j AS j))).j")
+    return tables.withColumn("cuts", lost).select("pooled", "stratum", (best / GRID).alias("cutoff"))
+
+
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """Counts, scores, ``base_failed`` and ``kept`` of every row, under id_col.
 
     Null and empty texts have no words and fail the base rules. A null stratum is
     a stratum of its own. Rows with null or repeated ids keep their rows; labels
     that are null are not used, and an id with labels of both kinds is not clean.
-    At the defaults and four strata a stratum needs 1,642 clean labels that pass
-    the base rules; with fewer, only the base rules hold in it, or with ``pooled``
-    the cutoffs of all strata together, if these have enough. So the cutoffs that
-    are gathered on the driver are bounded by the labels' number over that.
+    At the defaults and four strata a stratum needs 228 clean labels that pass the
+    base rules for a cutoff of its own; with fewer it takes the pool's, and with too
+    few labels in all only the base rules hold. The cutoffs that are gathered on
+    the driver are at most the labels' number over that, and one.
     """
     measured = written(measure(docs, id_col, text_col, stratum_col), "measured")
-    cutoffs = certify(measured, labels, id_col, alpha, delta, pooled).collect()
-    over = F.lit(False)
-    for rule in RULES:
-        own = [(r.stratum, r.cutoff) for r in cutoffs if r.rule == rule and not r.pooled]
-        known = [F.lit(x) for s, c in own if s is not None for x in (s, c)]
-        for none in [c for s, c in own if s is None]:
-            over = over | (F.col("stratum").isNull() & (F.col(rule) > none))
-        if known:
-            over = over | F.coalesce(F.col(rule) > F.create_map(*known)[F.col("stratum")], F.lit(False))
-        for cutoff in [r.cutoff for r in cutoffs if r.rule == rule and r.pooled]:
-            named = [s for s, _ in own if s is not None]
-            has = F.coalesce(F.col("stratum").isin(named), F.lit(any(s is None for s, _ in own)))
-            over = over | (~has & (F.col(rule) > cutoff))
+    cutoffs = certify(measured, labels, id_col, alpha, delta).collect()
+    own = {r.stratum: r.cutoff for r in cutoffs if not r.pooled}
+    known = [F.lit(x) for s, c in own.items() if s is not None for x in (s, c)]
+    cutoff = F.create_map(*known)[F.col("stratum")] if known else F.lit(None).cast("double")
+    if None in own:
+        cutoff = F.when(F.col("stratum").isNull(), own[None]).otherwise(cutoff)
+    cutoff = F.coalesce(cutoff, *(F.lit(r.cutoff) for r in cutoffs if r.pooled))
+    over = F.coalesce(risk() > cutoff, F.lit(False))
     return measured.withColumn("kept", ~F.col("base_failed") & ~over).withColumnRenamed("id", id_col)
 
 
@@ -152,21 +169,24 @@ m AS (SELECT n.doc_id, lang, n_words, word_chars::BIGINT AS word_chars, n_symbol
         CASE WHEN n_lines > 0 THEN n_dup_lines::DOUBLE / n_lines ELSE 0 END AS dup_lines
         FROM n LEFT JOIN cov USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
-held AS (SELECT lang, noise, repeats, dup_lines FROM b
-        JOIN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1) USING (doc_id) WHERE NOT base_failed),
-scores AS (SELECT lang, 'noise' AS rule, noise AS score FROM held UNION ALL SELECT lang, 'repeats', repeats FROM held UNION ALL SELECT lang, 'dup_lines', dup_lines FROM held),
-strata AS (SELECT lang, count(*) AS n FROM held GROUP BY lang),
-terms AS (SELECT lang, n, k, n * ln(1 - {ALPHA / len(RULES)!r}) + k * ln({ALPHA / len(RULES)!r} / (1 - {ALPHA / len(RULES)!r}))
-          + coalesce(sum(CASE WHEN k > 0 THEN ln((n - k + 1)::DOUBLE / k) END) OVER (PARTITION BY lang ORDER BY k), 0) AS log
-          FROM (SELECT lang, n, unnest(generate_series(0, floor(n * {ALPHA / len(RULES)!r})::BIGINT)) AS k FROM strata)),
-cdf AS (SELECT lang, k, sum(exp(log)) OVER (PARTITION BY lang ORDER BY k) AS p FROM terms),
-most AS (SELECT lang, max(k) AS most FROM cdf WHERE p <= {DELTA!r} / ((SELECT count(*) FROM strata) * {len(RULES)}) GROUP BY lang),
-cut AS (SELECT lang, rule, min(j) / {GRID}.0::DOUBLE AS cutoff FROM (
-          SELECT s.lang, rule, j, count(*) FILTER (WHERE least({GRID}, ceil(score * {GRID})) > j) AS lost FROM scores s, generate_series(1, {GRID}) AS g(j) GROUP BY s.lang, rule, j)
-        t JOIN most ON t.lang IS NOT DISTINCT FROM most.lang WHERE lost <= most GROUP BY lang, rule)
+risks AS (SELECT *, greatest(round(cbrt(noise), 9), repeats, dup_lines) AS risk FROM b),
+held AS (SELECT lang, clean, least({GRID + 1}, ceil(risk * {GRID}))::INT AS step FROM risks
+        JOIN (SELECT doc_id, min(quality) = 1 AS clean FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed),
+counts AS (SELECT lang, count(*) FILTER (WHERE clean) AS n FROM held GROUP BY lang),
+lev AS (SELECT {DELTA!r}::DOUBLE / ((SELECT count(*) FROM counts WHERE n >= {fewest_labels(ALPHA, DELTA)!r}) + 1) AS level),
+few AS (SELECT lang, n FROM counts, lev WHERE n < ln(level) / ln(1 - {ALPHA!r}::DOUBLE)),
+groups AS (SELECT FALSE AS pooled, lang, clean, step FROM held h WHERE NOT EXISTS (SELECT 1 FROM few WHERE few.lang IS NOT DISTINCT FROM h.lang)
+  UNION ALL SELECT TRUE, NULL, clean, step FROM held h, lev WHERE (SELECT coalesce(sum(n), 0) FROM few) < ln(level) / ln(1 - {ALPHA!r}::DOUBLE) OR EXISTS (SELECT 1 FROM few WHERE few.lang IS NOT DISTINCT FROM h.lang)),
+tot AS (SELECT pooled, lang, count(*) FILTER (WHERE clean) AS n, count(*) FILTER (WHERE NOT clean) AS junk FROM groups GROUP BY 1, 2),
+terms AS (SELECT pooled, lang, n, k, n * ln(1 - {ALPHA!r}::DOUBLE) + k * ln({ALPHA!r}::DOUBLE / (1 - {ALPHA!r}::DOUBLE))
+          + coalesce(sum(CASE WHEN k > 0 THEN ln((n - k + 1)::DOUBLE / k) END) OVER (PARTITION BY pooled, lang ORDER BY k), 0) AS log
+          FROM (SELECT pooled, lang, n, unnest(generate_series(0, floor(n * {ALPHA!r}::DOUBLE)::BIGINT)) AS k FROM tot)),
+cdf AS (SELECT pooled, lang, k, sum(exp(log)) OVER (PARTITION BY pooled, lang ORDER BY k) AS p FROM terms),
+most AS (SELECT pooled, lang, max(k) AS most FROM cdf, lev WHERE p <= level GROUP BY 1, 2),
+cuts AS (SELECT g.pooled, g.lang, j, count(*) FILTER (WHERE clean AND step > j) AS lost, count(*) FILTER (WHERE NOT clean AND step > j) AS caught FROM groups g, generate_series(1, {GRID}) AS s(j) GROUP BY 1, 2, 3),
+cut AS (SELECT c.pooled, c.lang, arg_max(j, (caught * n - lost * greatest(junk, 1), j)) / {GRID}.0::DOUBLE AS cutoff FROM cuts c JOIN tot t ON t.pooled = c.pooled AND t.lang IS NOT DISTINCT FROM c.lang
+  JOIN most m ON m.pooled = c.pooled AND m.lang IS NOT DISTINCT FROM c.lang WHERE lost <= most GROUP BY 1, 2)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT EXISTS (SELECT 1 FROM cut c WHERE c.lang IS NOT DISTINCT FROM b.lang AND
-    ((rule = 'noise' AND noise > cutoff) OR (rule = 'repeats' AND repeats > cutoff) OR (rule = 'dup_lines' AND dup_lines > cutoff))) AS kept
-FROM b
+  NOT base_failed AND NOT coalesce(risk > coalesce((SELECT cutoff FROM cut WHERE NOT pooled AND cut.lang IS NOT DISTINCT FROM r.lang), (SELECT cutoff FROM cut WHERE pooled)), FALSE) AS kept
+FROM risks r
 """
-SQL = SQL.replace("SELECT lang, rule, min(j)", "SELECT t.lang, rule, min(j)").replace("GROUP BY lang, rule)\nSELECT", "GROUP BY t.lang, rule)\nSELECT")
