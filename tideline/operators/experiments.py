@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import fits
 from ..functions.kernels import adaptive_widths, order_statistic
 from ..sources.sinks import stored
+from ..sources.tables import dealt
 from .models import shrunk_inverse, simplex
 
 
@@ -326,8 +327,8 @@ def run_grid(rows: DataFrame, registry: Sequence[Spec], design: Design, path: st
     spark = rows.sparkSession
     keys = ["symbol", "horizon", "fold"]
     by_name = {s.name: s for s in registry}
-    dealt = F.explode(F.array(*(F.struct(F.lit(s.name).alias("spec"), F.lit(k % lots).alias("lot"), F.lit(k // lots % slots).alias("slot")) for k, s in enumerate(registry))))
-    wanted = rows.select(*keys).distinct().withColumn("t", dealt).select(*keys, "t.*").toDF(*keys, "spec", "lot", "slot")
+    tasks = F.explode(F.array(*(F.struct(F.lit(s.name).alias("spec"), F.lit(k % lots).alias("lot"), F.lit(k // lots % slots).alias("slot")) for k, s in enumerate(registry))))
+    wanted = rows.select(*keys).distinct().withColumn("t", tasks).select(*keys, "t.*").toDF(*keys, "spec", "lot", "slot")
 
     def fit(key: tuple, fold_rows: pd.DataFrame, tasks: pd.DataFrame) -> pd.DataFrame:
         fold, out = Fold(fold_rows), []
@@ -342,7 +343,7 @@ def run_grid(rows: DataFrame, registry: Sequence[Spec], design: Design, path: st
             continue
         sent = rows.withColumn("slot", F.explode(F.array(*map(F.lit, range(slots)))))
         missing = missing.toDF(*missing.columns)  # columns of their own, for both sides come from the rows
-        grouped = sent.groupBy(*keys, "slot").cogroup(missing.groupBy(*keys, "slot"))
+        grouped = dealt(sent, *keys, "slot").groupBy(*keys, "slot").cogroup(dealt(missing, *keys, "slot").groupBy(*keys, "slot"))
         grouped.applyInPandas(fit, SCHEMA).write.mode("append").parquet(path)
     done = stored(spark, path, SCHEMA)
     return done.join(wanted.select(KEYS), KEYS, "left_semi").dropDuplicates(KEYS)

@@ -11,7 +11,7 @@ from ..functions import fits
 from ..functions.kernels import adaptive_widths
 from ..operators import asof
 from ..operators import evaluate as ops
-from ..sources.tables import BARS, FORECASTS, bars_daily, forecasts, saved
+from ..sources.tables import BARS, FORECASTS, bars_daily, dealt, forecasts, saved
 from .bars import rounded
 from .features import _FOLDS
 from .joins import LABELS
@@ -315,7 +315,7 @@ def mlp_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.features import fold_rows
 
     d = _design(spark, sf_dir)
-    rows = fold_rows(d, keep=[c for c in d.columns if c == "actual" or c.startswith("x_")]).repartition("symbol", "horizon", "fold")
+    rows = dealt(fold_rows(d, keep=[c for c in d.columns if c == "actual" or c.startswith("x_")]), "symbol", "horizon", "fold")
     f = rows.groupBy("symbol", "horizon", "fold").applyInPandas(_mlp, _FOLD)
     n = F.nullif(F.sum("n"), F.lit(0))
     means = {"weight": "weight", "mae": "error", "mae_raw": "raw_error", "mae_zero": "zero_error"} | {f"{c}_{k}": f"{c}_{k}" for k in LEVELS for c in ("width", "covered")}

@@ -14,6 +14,8 @@ from ..operators.windows import engineered, gold_features
 from ..sources.tables import BARS, bars_daily, macro_observations, saved, shared_dir
 from .features import _GOLD_CTE
 from .joins import LABELS
+from .features import _GOLD_CTE
+from .joins import LABELS
 from .registry import query
 from .windows import all_rounded
 
@@ -113,8 +115,34 @@ def legacy_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def linear_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ridge and elastic net on the training rows of every fold, from sums of products that Spark aggregates; weights are those of standardised columns."""
-    from ..operators.models import linear_fits
-
     rows, design = design_rows(spark, sf_dir)
     folds = fold_rows(rows, calibration=0.0, least=126, keep=["actual", *design.full])
     return all_rounded(linear_fits(folds.where("part = 'train'"), design.full, "actual", ["symbol", "horizon", "fold"]))
+
+
+@query()
+def logistic_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The direction of the target by Newton's steps, each one aggregate over the training rows of all folds."""
+    rows, design = design_rows(spark, sf_dir)
+    folds = fold_rows(rows, calibration=0.0, least=126, keep=["actual", *design.technical])
+    train = folds.where("part = 'train'").withColumn("up", (F.col("actual") > 0).cast("double"))
+    return all_rounded(logistic_fits(train, design.technical, "up", ["symbol", "horizon", "fold"]))
+
+
+_STEP = ("return_20", "rsi14")
+
+
+@query(
+    f"""WITH {BARS}, {_GOLD_CTE}, {LABELS}, lg AS (SELECT l.symbol, l.horizon, (target_return > 0)::INT::DOUBLE AS up, return_20 AS a, rsi14 AS b FROM f JOIN labels_ l USING (symbol, day) WHERE f.n > 60 AND target_return IS NOT NULL),
+lz AS (SELECT symbol, horizon, up, (a - avg(a) OVER w) / stddev_pop(a) OVER w AS a, (b - avg(b) OVER w) / stddev_pop(b) OVER w AS b FROM lg WINDOW w AS (PARTITION BY symbol, horizon)),
+ls AS (SELECT symbol, horizon, sum((0.5 - up) * a) AS ga, sum((0.5 - up) * b) AS gb, sum(0.5 - up) AS gc, 0.25 * sum(a * a) + 10 AS aa, 0.25 * sum(a * b) AS ab, 0.25 * sum(a) AS ac, 0.25 * sum(b * b) + 10 AS bb, 0.25 * sum(b) AS bc, 0.25 * count(*) AS cc FROM lz GROUP BY 1, 2),
+ld AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM ls)
+SELECT symbol, horizon, unnest(['return_20', 'rsi14', 'intercept']) AS feature, unnest([round(-(ga * (bb * cc - bc * bc) - ab * (gb * cc - bc * gc) + ac * (gb * bc - bb * gc)) / det, 6),
+  round(-(aa * (gb * cc - bc * gc) - ga * (ab * cc - bc * ac) + ac * (ab * gc - gb * ac)) / det, 6), round(-(aa * (bb * gc - gb * bc) - ab * (ab * gc - gb * ac) + ga * (ab * bc - bb * ac)) / det, 6)]) AS weight FROM ld"""
+)
+def logistic_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One of Newton's steps from zero, on two standardised columns."""
+    b = saved(bars_daily(spark, sf_dir))
+    rows = asof.forward_return(b).where("target_return IS NOT NULL").join(gold_features(b), ["symbol", "day"])
+    rows = rows.withColumn("up", (F.col("target_return") > 0).cast("double"))
+    return all_rounded(logistic_fits(rows, _STEP, "up", ["symbol", "horizon"], steps=1))
