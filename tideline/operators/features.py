@@ -79,9 +79,10 @@ def fold_rows(rows: DataFrame, folds: tuple[float, ...] = (0.55, 0.70, 0.85), ca
     rows is for calibration, and rows whose target matures in it are purged.
     """
     w = Window.partitionBy("symbol", "horizon")
-    r = rows.where("target_day IS NOT NULL").withColumns({"i": F.row_number().over(w.orderBy("day")) - 1, "n": F.count("*").over(w)})
+    kept = [F.struct(*keep).alias("_kept")] if keep else []  # apart from the names used here
+    r = rows.where("target_day IS NOT NULL").select("symbol", "horizon", "day", "target_day", *kept).withColumns({"i": F.row_number().over(w.orderBy("day")) - 1, "n": F.count("*").over(w)})
     bounds = F.explode(F.array(*(F.struct(F.lit(k).alias("fold"), F.floor(F.col("n") * a).alias("start"), (F.floor(F.col("n") * b) if b < 1 else F.col("n")).alias("stop")) for k, (a, b) in enumerate(zip(folds, (*folds[1:], 1.0), strict=True)))))
-    f = r.withColumn("b", bounds).select("symbol", "horizon", "day", "target_day", "i", "b.*", *keep)
+    f = r.withColumn("b", bounds).select("symbol", "horizon", "day", "target_day", "i", "b.*", *(["_kept"] if keep else []))
     g = Window.partitionBy("symbol", "horizon", "fold")
     f = f.withColumn("test_day", F.min(F.when(F.col("i") == F.col("start"), F.col("day"))).over(g))
     f = f.withColumn("usable", (F.col("i") < F.col("start")) & (F.col("target_day") < F.col("test_day")))
@@ -90,7 +91,7 @@ def fold_rows(rows: DataFrame, folds: tuple[float, ...] = (0.55, 0.70, 0.85), ca
     f = f.withColumn("in_tail", F.col("usable") & (F.col("k") > F.col("m") - F.col("tail")))
     f = f.withColumn("tail_day", F.min(F.when(F.col("in_tail"), F.col("day"))).over(g))
     part = F.when((F.col("i") >= F.col("start")) & (F.col("i") < F.col("stop")), "test").when(F.col("in_tail"), "calibrate").when(F.col("usable") & (F.col("target_day") < F.col("tail_day")), "train").when(F.col("i") < F.col("start"), "purged")
-    return f.withColumn("part", part).where("part IS NOT NULL").select("symbol", "horizon", "fold", "day", "target_day", "part", *keep)
+    return f.withColumn("part", part).where("part IS NOT NULL").select("symbol", "horizon", "fold", "day", "target_day", "part", *(F.col("_kept")[c].alias(c) for c in keep))
 
 
 def walk_forward(rows: DataFrame, folds: tuple[float, ...] = (0.55, 0.70, 0.85), calibration: float = 0.2, least: int = 30) -> DataFrame:

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from .publication import Conflict, DuplicateRows, Releases, Table  # noqa: F401
 
-class DuplicateRows(ValueError):
-    """Rows that an append-only table already holds."""
 
-
-def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The table at ``path``, empty if nothing has been written there."""
+def stored(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """The table at ``path``, with a log of its changes or without, empty if nothing has been written there."""
+    table = Table(spark, path, StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+    if table.log.number():
+        return table.read()
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
@@ -27,31 +29,23 @@ def content_id(*columns: str) -> Column:
 
 
 def append_new(rows: DataFrame, path: str, key: str = "id") -> None:
-    """Append rows whose key the table does not hold; of rows with one key, one."""
-    old = stored(rows.sparkSession, path, rows.schema).select(key)
-    first = rows.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(key))).where("_k = 1").drop("_k")
-    first.join(old, key, "left_anti").select(*rows.columns).write.mode("append").parquet(path)
+    """Append rows whose key the table does not hold; of rows with one key, one. Two writers never double a key."""
+    Table(rows.sparkSession, path, rows.schema).append_new(rows, key)
 
 
 def append_once(rows: DataFrame, path: str, key: str = "id") -> None:
     """Append rows; DuplicateRows if a key occurs twice or is there already, and nothing is written."""
-    old = stored(rows.sparkSession, path, rows.schema).select(key)
-    twice = rows.select(key).union(old.join(rows.select(key), key, "left_semi")).groupBy(key).count().where("count > 1").limit(1).count()
-    if twice:
-        raise DuplicateRows(key)
-    rows.write.mode("append").parquet(path)
+    Table(rows.sparkSession, path, rows.schema).append_once(rows, key)
 
 
 def publish(rows: DataFrame, root: str, version: str) -> None:
-    """Write a version of a table; an existing one is an error."""
-    rows.write.mode("errorifexists").parquet(f"{root}/version={version}")
+    """Publish a version of a table; an existing one is a Conflict."""
+    Releases(rows.sparkSession, root).publish(rows, version)
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
-    """The rows of the last version."""
-    rows = spark.read.parquet(root)
-    last = rows.agg(F.max("version")).first()[0]
-    return rows.where(F.col("version") == last)
+    """The rows of the version that was published last, found by the log alone."""
+    return Releases(spark, root).current()
 
 
 def retained(artifacts: DataFrame, keep: int) -> DataFrame:
