@@ -41,6 +41,8 @@ def differences(spark_df, sql: str, sf_dir: str) -> list[str]:
     columns = sorted(got.column_names)
     out = [f"{c}: {got.schema.field(c).type} and {want.schema.field(c).type}" for c in columns if kind(got.schema.field(c).type) != kind(want.schema.field(c).type)]
     a, b = rows(got, columns), rows(want, columns)
+    if not a and not b:
+        out.append("no rows on either side")
     if len(a) != len(b):
         out.append(f"{len(a)} and {len(b)} rows")
     else:

@@ -209,3 +209,53 @@ def matured_so_far(rows: pd.DataFrame, last: int) -> pd.DataFrame:
     sign = np.where(np.cumsum(y > 0) >= 0.5 * n, 1.0, -1.0)
     out = rows.assign(at=rows["target_day"], mean=run / n, rolling=rolling, majority=sign * running_median(np.abs(y)))
     return out.drop_duplicates("at", keep="last")[["symbol", "horizon", "at", "mean", "rolling", "majority"]]
+
+
+def _digamma(n: np.ndarray) -> np.ndarray:
+    """Of whole numbers from 1 on."""
+    harmonic = np.concatenate(([0.0], np.cumsum(1 / np.arange(1, max(2, int(n.max()))))))
+    return harmonic[n - 1] - 0.5772156649015329
+
+
+def neighbour_radius(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """Distance of each point to its k-th neighbour, the larger of both coordinates' differences.
+
+    ``x`` is sorted. Neighbours are sought among those next in it, twice as many
+    for the points that may have nearer ones beyond.
+    """
+    n, width = len(x), min(len(x) - 1, 4 * k)
+    out, left = np.empty(n), np.arange(n)
+    while len(left):
+        at = left[:, None] + np.concatenate((np.arange(-width, 0), np.arange(1, width + 1)))
+        inside = (at >= 0) & (at < n)
+        near = at.clip(0, n - 1)
+        d = np.where(inside, np.maximum(np.abs(x[near] - x[left, None]), np.abs(y[near] - y[left, None])), np.inf)
+        kth = np.partition(d, k - 1, axis=1)[:, k - 1]
+        before = np.where(left - width - 1 >= 0, x[left] - x[(left - width - 1).clip(0)], np.inf)
+        after = np.where(left + width + 1 < n, x[(left + width + 1).clip(max=n - 1)] - x[left], np.inf)
+        done = kth <= np.minimum(before, after)
+        out[left[done]] = kth[done]
+        left, width = left[~done], min(n - 1, 2 * width)
+    return out
+
+
+def _around(values: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """How many values lie within each one's radius, itself included."""
+    ordered = np.sort(values)
+    return np.searchsorted(ordered, values + radius, side="right") - np.searchsorted(ordered, values - radius, side="left")
+
+
+def neighbour_information(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
+    """Mutual information of two continuous variables in nats, from the distances to the k-th neighbours (Kraskov and others, 2004); NaN with k rows or fewer, 0 at least.
+
+    Both are divided by their deviations. Neighbours in each alone are those nearer than the k-th in both.
+    """
+    if len(x) <= k:
+        return float("nan")
+    x, y = (v / (v.std() or 1.0) for v in (x, y))
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    radius = neighbour_radius(x, y, k) * (1 - 1e-9)  # the k-th itself is not nearer
+    nx, ny = np.maximum(_around(x, radius), 1), np.maximum(_around(y, radius), 1)
+    of = lambda n: float(_digamma(np.array([n]))[0])
+    return max(0.0, of(len(x)) + of(k) - float(_digamma(nx).mean() + _digamma(ny).mean()))

@@ -90,9 +90,9 @@ def pinball(actual: Column, forecast: Column, q: float) -> Column:
 
 
 def distribution(rows: DataFrame, by: list[str], x: str, tail: float) -> DataFrame:
-    """Moments (population; excess kurtosis), range and the share beyond ``tail``."""
+    """Moments (population; excess kurtosis), range, quantiles and the share beyond ``tail``."""
     return rows.groupBy(*by).agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.percentile(x, 0.5).alias("median"), F.stddev_pop(x).alias("sd"), F.kurtosis(x).alias("kurtosis"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg((F.abs(x) > tail).cast("double")).alias("tail")
+        F.count(x).alias("n"), F.avg(x).alias("mean"), F.percentile(x, 0.5).alias("median"), F.stddev_pop(x).alias("sd"), F.skewness(x).alias("skew"), F.kurtosis(x).alias("kurtosis"), *(F.percentile(x, q).alias(f"q{round(100 * q):02}") for q in (0.05, 0.25, 0.75, 0.95)), F.min(x).alias("min"), F.max(x).alias("max"), F.avg((F.abs(x) > tail).cast("double")).alias("tail")
     )
 
 
@@ -166,6 +166,30 @@ def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return r.groupBy(*by).agg(F.corr(x, y).alias("pearson"), F.corr(f"rank_{x}", f"rank_{y}").alias("spearman"))
 
 
+def correlations(rows: DataFrame, columns: list[str], by: list[str], keys: list[str]) -> DataFrame:
+    """(by, a, b, n, pearson, spearman) of all pairs of columns; tied values have their average rank, rows that lack any column are left out.
+
+    ``keys`` identify a row of a group. Each column of each group is ranked by
+    itself; then one aggregate of products, over values and ranks, gives all pairs.
+    """
+    known = rows.dropna(subset=columns).select(*by, *keys, *(F.col(c).cast("double").alias(c) for c in columns))
+    each = F.posexplode(F.array(*columns)).alias("c", "v")
+    long = known.select(*by, *keys, each)
+    w = Window.partitionBy(*by, "c")
+    ranked = long.withColumn("r", F.rank().over(w.orderBy("v")) + (F.count("*").over(Window.partitionBy(*by, "c", "v")) - 1) / 2)
+    wide = ranked.groupBy(*by, *keys).agg(F.array_sort(F.collect_list(F.struct("c", "v", "r"))).alias("x"))
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    flat = [F.col("x")[i][f].alias(f"{f}{i}") for i in range(len(columns)) for f in "vr"]
+    g = wide.select(*by, *flat)
+    sums = [F.count("*").alias("n")]
+    for f in "vr":
+        sums += [F.stddev_pop(f"{f}{i}").alias(f"s{f}{i}") for i in range(len(columns))]
+        sums += [F.covar_pop(f"{f}{i}", f"{f}{j}").alias(f"p{f}{i}_{j}") for i, j in pairs]
+    one = lambda f, i, j: F.when((F.col(f"s{f}{i}") > 0) & (F.col(f"s{f}{j}") > 0), F.col(f"p{f}{i}_{j}") / F.nullif(F.col(f"s{f}{i}") * F.col(f"s{f}{j}"), F.lit(0.0)))
+    out = F.explode(F.array(*(F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), one("v", i, j).alias("pearson"), one("r", i, j).alias("spearman")) for i, j in pairs)))
+    return g.groupBy(*by).agg(*sums).select(*by, "n", out.alias("o")).select(*by, "o.a", "o.b", "n", "o.pearson", "o.spearman")
+
+
 def block_bootstrap(rows: DataFrame, by: tuple[str, ...], block: int = 30, reps: int = 500, seed: int = 104) -> DataFrame:
     """The 2.5 and 97.5 % points of error, direction and skill of (day, pred, actual) under a moving-block bootstrap.
 

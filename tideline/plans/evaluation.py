@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fits
-from ..functions.kernels import adaptive_widths
+from ..functions.kernels import adaptive_widths, neighbour_information
 from ..operators import asof
 from ..operators import evaluate as ops
 from ..sources.tables import BARS, FORECASTS, bars_daily, dealt, forecasts, saved
 from .bars import rounded
-from .features import _FOLDS
+from .features import _FOLDS, _GOLD_CTE
 from .joins import LABELS
 from .registry import SQL, query
 from .windows import all_rounded
@@ -101,7 +101,8 @@ def regime_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {BARS}, {LABELS} SELECT symbol, horizon, count(target_return) AS n, round(avg(target_return), 6) AS mean, round(quantile_cont(target_return, 0.5), 6) AS median, round(stddev_pop(target_return), 6) AS sd, round(kurtosis_pop(target_return), 6) AS kurtosis,
+    f"""WITH {BARS}, {LABELS} SELECT symbol, horizon, count(target_return) AS n, round(avg(target_return), 6) AS mean, round(quantile_cont(target_return, 0.5), 6) AS median, round(stddev_pop(target_return), 6) AS sd, round((avg(target_return ** 3) - 3 * avg(target_return) * avg(target_return ** 2) + 2 * avg(target_return) ** 3) / stddev_pop(target_return) ** 3, 6) AS skew, round(kurtosis_pop(target_return), 6) AS kurtosis,
+  round(quantile_cont(target_return, 0.05), 6) AS q05, round(quantile_cont(target_return, 0.25), 6) AS q25, round(quantile_cont(target_return, 0.75), 6) AS q75, round(quantile_cont(target_return, 0.95), 6) AS q95,
   round(min(target_return), 6) AS min, round(max(target_return), 6) AS max, round(avg((abs(target_return) > 0.5)::INT), 6) AS tail FROM labels_ GROUP BY symbol, horizon"""
 )
 def target_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,6 +118,38 @@ def corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_rounded(ops.spearman(pairs(spark, sf_dir), ["symbol", "horizon"], "pred", "actual"))
 
 
+_FEATURES = ("return_1", "return_5", "return_20", "ma50_distance", "rsi14", "atr14", "volatility_20", "drawdown_60")
+
+
+@query(
+    f"""WITH {BARS}, {_GOLD_CTE}, lg AS (SELECT symbol, day, unnest([{", ".join(f"'{c}'" for c in _FEATURES)}]) AS c, unnest([{", ".join(_FEATURES)}]) AS v, unnest(generate_series(1, {len(_FEATURES)})) AS k FROM f WHERE n > 60),
+rk AS (SELECT *, rank() OVER (PARTITION BY symbol, c ORDER BY v) + (count(*) OVER (PARTITION BY symbol, c, v) - 1) / 2.0::DOUBLE AS r FROM lg)
+SELECT x.symbol, x.c AS a, y.c AS b, count(*) AS n, round(corr(x.v, y.v), 6) AS pearson, round(corr(x.r, y.r), 6) AS spearman FROM rk x JOIN rk y ON x.symbol = y.symbol AND x.day = y.day AND x.k < y.k GROUP BY 1, 2, 3"""
+)
+def feature_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of bar features of each symbol, by values and by ranks."""
+    from ..operators.windows import gold_features
+
+    return all_rounded(ops.correlations(gold_features(bars_daily(spark, sf_dir)), list(_FEATURES), ["symbol"], ["day"]))
+
+
+@query()
+def feature_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mutual information of each bar feature with the target by nearest neighbours, on the earlier half of the labelled rows."""
+    d = _design(spark, sf_dir)
+    w = Window.partitionBy("symbol", "horizon")
+    early = d.withColumns({"i": F.row_number().over(w.orderBy("day")), "of": F.count("*").over(w)}).where("i <= of div 2")
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"x_{c}").alias("x")) for c in _FEATURES)))
+    long = early.select("symbol", "horizon", F.col("actual").alias("y"), each.alias("f")).select("symbol", "horizon", "f.feature", "f.x", "y").where("x IS NOT NULL AND NOT isnan(x)")
+
+    def information(rows: pd.DataFrame) -> pd.DataFrame:
+        one = rows.iloc[0]
+        return pd.DataFrame([(one.symbol, one.horizon, one.feature, len(rows), neighbour_information(rows["x"].to_numpy(), rows["y"].to_numpy()))], columns=["symbol", "horizon", "feature", "n", "information"])
+
+    keys = ("symbol", "horizon", "feature")
+    return all_rounded(dealt(long, *keys).groupBy(*keys).applyInPandas(information, "symbol string, horizon int, feature string, n long, information double"))
+
+
 @query(
     f"WITH {BARS}, {LABELS} SELECT horizon, CAST(greatest(0, least(41, floor((target_return + 0.2) / 0.011) + 1)) AS BIGINT) AS bin, count(*) AS n FROM labels_ WHERE target_return IS NOT NULL GROUP BY 1, 2"
 )

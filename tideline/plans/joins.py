@@ -101,12 +101,19 @@ def forecast_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(f.join(hits, ["symbol", "due"]).select("id", "due", F.col("seen").alias("settled"), "price"), "price")
 
 
-@query(f"WITH {FORECASTS}, {BARS} SELECT id, origin, horizon FROM forecasts f WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE b.symbol = 'A' AND b.day = f.origin + f.horizon)")
+_AS_OF = "1998-06-30"
+
+
+@query(
+    f"""WITH {FORECASTS}, {BARS}, outcomes AS (SELECT f.id FROM forecasts f JOIN bars b ON b.symbol = 'A' AND b.day = f.origin + f.horizon WHERE b.day <= DATE '{_AS_OF}')
+SELECT id, origin, horizon FROM forecasts f WHERE origin <= DATE '{_AS_OF}' AND NOT EXISTS (SELECT 1 FROM outcomes o WHERE o.id = f.id)"""
+)
 def unresolved_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anti join: forecasts whose due day has no bar."""
-    days = bars_daily(spark, sf_dir).where("symbol = 'A'").select(F.col("day").alias("due"))
-    f = forecasts(spark, sf_dir).select("id", "origin", "horizon", F.date_add("origin", F.col("horizon")).alias("due"))
-    return f.join(days, "due", "left_anti").select("id", "origin", "horizon")
+    """Anti join: forecasts issued by a day that have no outcome by then, as their due day has had no bar."""
+    days = bars_daily(spark, sf_dir).where((F.col("symbol") == "A") & (F.col("day") <= _AS_OF)).select(F.col("day").alias("due"))
+    f = forecasts(spark, sf_dir).where(F.col("origin") <= _AS_OF).select("id", "origin", "horizon", F.date_add("origin", F.col("horizon")).alias("due"))
+    outcomes = f.join(days, "due", "left_semi").select("id")
+    return f.join(outcomes, "id", "left_anti").select("id", "origin", "horizon")
 
 
 @query(f"WITH {FORECASTS}, {BARS} SELECT id FROM forecasts f WHERE EXISTS (SELECT 1 FROM bars b WHERE b.symbol = 'A' AND b.day = f.origin + f.horizon)")

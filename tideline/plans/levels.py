@@ -46,13 +46,17 @@ def fib_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {BARS}, {_PERIOD}, {_PIVOTS}, {_LAST}, l AS (SELECT piv.*, close, CASE WHEN price > close THEN 'resistance' ELSE 'support' END AS side FROM piv JOIN last_ USING (symbol) WHERE abs(price / close - 1) <= 0.12),
+    f"""WITH {BARS}, {_PERIOD}, {_PIVOTS}, {_LAST}, every_ AS (SELECT symbol, name, price FROM piv UNION ALL SELECT symbol, 'round ' || price, price FROM (SELECT symbol, unnest(generate_series(CAST(ceil(close * 0.94 / 50) * 50 AS BIGINT), CAST(floor(close * 1.06 / 50) * 50 AS BIGINT), 50)) AS price FROM last_)),
+l AS (SELECT every_.*, close, CASE WHEN price > close THEN 'resistance' ELSE 'support' END AS side FROM every_ JOIN last_ USING (symbol) WHERE abs(price / close - 1) <= 0.12),
 r AS (SELECT *, row_number() OVER (PARTITION BY symbol, side ORDER BY abs(price - close), name) AS rank FROM l)
 SELECT symbol, side, CAST(rank AS INTEGER) AS rank, name, round(price, 6) AS price, round(price / close - 1, 6) AS gap FROM r WHERE rank <= 3"""
 )
 def level_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pivots and round numbers around the last close."""
     b = bars_daily(spark, sf_dir)
-    return all_rounded(ops.ladder(_pivots(b), _last(b)))
+    last = _last(b)
+    tens = ops.round_levels(last).select("symbol", F.concat(F.lit("round "), F.col("price").cast("long").cast("string")).alias("name"), F.col("price").cast("double").alias("price"))
+    return all_rounded(ops.ladder(_pivots(b).select("symbol", "name", "price").unionByName(tens), last))
 
 
 @query(f"WITH {BARS}, {_PERIOD}, {_PIVOTS}, {_LAST} SELECT symbol, round(max(price) FILTER (WHERE price < close), 6) AS support, round(min(price) FILTER (WHERE price > close), 6) AS resistance FROM piv JOIN last_ USING (symbol) GROUP BY symbol")

@@ -88,8 +88,9 @@ def frame_scores(scores: DataFrame) -> DataFrame:
 
 
 def aligned(scores: DataFrame) -> DataFrame:
-    """(symbol, daily, weekly, monthly, state): the frames' signs beyond 20, and whether they agree."""
-    sign = F.when(F.col("score") > 20, 1).when(F.col("score") < -20, -1).otherwise(0)
+    """(symbol, daily, weekly, monthly, state): the signs beyond 20 of the frames' scores, as reported with one decimal, and whether they agree."""
+    shown = F.round("score", 1)
+    sign = F.when(shown > 20, 1).when(shown < -20, -1).otherwise(0)
     s = scores.groupBy("symbol").agg(*(F.coalesce(F.max(F.when(F.col("frame") == f, sign)), F.lit(0)).alias(f) for f in WEIGHTS))
     d, w, m = F.col("daily"), F.col("weekly"), F.col("monthly")
     state = F.when((d == 1) & (w == 1) & (m == 1), "aligned up").when((d == -1) & (w == -1) & (m == -1), "aligned down").when((m == 1) & (d == -1), "correction in an uptrend").when((m == -1) & (d == 1), "reaction in a downtrend")
@@ -139,7 +140,7 @@ def momentum_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {BARS}, {_SCORES}, sg AS (SELECT symbol, frame, CASE WHEN score > 20 THEN 1 WHEN score < -20 THEN -1 ELSE 0 END AS s FROM fs),
+    f"""WITH RECURSIVE {BARS}, {_SCORES}, sg AS (SELECT symbol, frame, CASE WHEN round(score, 1) > 20 THEN 1 WHEN round(score, 1) < -20 THEN -1 ELSE 0 END AS s FROM fs),
 al AS (SELECT symbol, coalesce(max(s) FILTER (WHERE frame = 'daily'), 0) AS daily, coalesce(max(s) FILTER (WHERE frame = 'weekly'), 0) AS weekly, coalesce(max(s) FILTER (WHERE frame = 'monthly'), 0) AS monthly FROM sg GROUP BY symbol)
 SELECT *, CASE WHEN daily + weekly + monthly = 3 THEN 'aligned up' WHEN daily + weekly + monthly = -3 THEN 'aligned down' WHEN monthly = 1 AND daily = -1 THEN 'correction in an uptrend' WHEN monthly = -1 AND daily = 1 THEN 'reaction in a downtrend' ELSE 'mixed' END AS state FROM al"""
 )

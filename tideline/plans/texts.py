@@ -80,12 +80,15 @@ def locale_number_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH d AS (SELECT doc_id AS id, list_transform(regexp_extract_all(text, '\d{1,3}(?:\.\d{3})+(?:,\d+)?|\d+(?:,\d+)?'), lambda x: replace(replace(x, '.', ''), ',', '.')::DOUBLE) AS nums, n_chars FROM documents)
-SELECT id, len(nums)::INTEGER AS n, len(list_filter(nums, lambda x: NOT (x <= 31 OR (x = floor(x) AND x BETWEEN 1900 AND 2100) OR abs(x - n_chars) <= greatest(0.06, 0.006 * n_chars))))::INTEGER AS unsupported FROM d"""
+    rf"""WITH d AS (SELECT doc_id AS id, list_transform(regexp_extract_all(text, '{fn.NUMBER}'), lambda x: replace(replace(x, '.', ''), ',', '.')::DOUBLE) AS nums,
+  list_filter([n_chars::DOUBLE, doc_id::DOUBLE, n_chars / 7.0::DOUBLE, len(string_split(text, chr(10)))::DOUBLE * 100], lambda h: h IS NOT NULL AND h <> 0) AS pool FROM documents)
+SELECT id, len(nums)::INTEGER AS n, len(list_filter(nums, lambda x: NOT (x <= {fn.SMALL} OR x BETWEEN {fn.YEARS[0]} AND {fn.YEARS[1]} OR x IN {fn.EXEMPT}
+  OR len(list_filter(pool, lambda h: abs(x - h) <= 0.06 OR abs(x / h - 1) <= 0.006 OR abs(x - round_even(h, 0)) < 1e-9 OR abs(x - round_even(h, 1)) < 1e-9)) > 0)))::INTEGER AS unsupported FROM d"""
 )
 def number_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers in each text that its own length does not support."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), fn.locale_numbers(F.col("text")).alias("nums"), F.array(F.col("n_chars").cast("double")).alias("pool"))
+    """Numbers in each text that none of what is known of the document supports: its length, its number, a seventh of the length, a hundred for each line."""
+    pool = F.array(F.col("n_chars").cast("double"), F.col("doc_id").cast("double"), F.col("n_chars") / 7, F.size(F.split("text", "\n")).cast("double") * 100)
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), fn.locale_numbers(F.col("text")).alias("nums"), pool.alias("pool"))
     return d.select("id", F.size("nums").alias("n"), F.size(fn.unsupported_numbers(F.col("nums"), F.col("pool"))).alias("unsupported"))
 
 
