@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import HOURS, bars_hourly, table
-from ..streaming import feeds
+from ..streaming import feeds, policies
 from .registry import query
 
 
@@ -64,3 +64,30 @@ def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
     g = e.groupBy(F.col("event_type").alias("symbol"), "day").agg(F.count("*").alias("n"), F.sum(F.when(F.col("value") > 0, 1).otherwise(0)).alias("positive"))
     return g.withColumn("partial", F.col("day") == F.lit("2024-01-30").cast("date"))
+
+
+_QUOTA = policies.Quota()
+
+
+@query(
+    f"""WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS id, ts, epoch_us(ts) / 1e6::DOUBLE AS sec, event_type = 'error' AS failed, event_type = 'purchase' AS forced,
+  CAST(CAST(timezone('{_QUOTA.zone}', timezone('UTC', ts)) AS DATE) AS VARCHAR) AS day, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR),
+s AS (SELECT key, 0::BIGINT AS n, NULL::BIGINT AS id, NULL::TIMESTAMP AS ts, '' AS decision, '' AS day, 0 AS attempts, NULL::DOUBLE AS ok, NULL::DOUBLE AS tried, NULL::DOUBLE AS rest FROM (SELECT DISTINCT key FROM e) UNION ALL
+  SELECT key, n, id, ts, decision, day, CASE WHEN goes THEN used + 1 ELSE used END, CASE WHEN goes AND NOT failed THEN sec ELSE ok END, CASE WHEN goes THEN sec ELSE tried END, CASE WHEN goes AND failed THEN sec + {60 * _QUOTA.cooldown} ELSE rest END FROM (
+    SELECT *, decision IN ('force', 'allowed') AS goes FROM (SELECT e.*, used, ok, tried, rest, CASE WHEN forced THEN 'force' WHEN sec < rest THEN 'rest' WHEN used >= {_QUOTA.daily} THEN 'limit' WHEN sec - ok < {60 * _QUOTA.interval} THEN 'interval' WHEN sec - tried < {60 * _QUOTA.retry} THEN 'retry' ELSE 'allowed' END AS decision
+      FROM (SELECT e.*, ok, tried, rest, CASE WHEN e.day = s.day THEN s.attempts ELSE 0 END AS used FROM s JOIN e ON e.key = s.key AND e.n = s.n + 1) e)))
+SELECT key AS user_id, id AS event_id, decision, attempts::INT AS attempts FROM s WHERE n > 0"""
+)
+def stream_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of each user against a quota: an error rests, a purchase is forced. What the last hour brought still waits."""
+    e = spark.readStream.schema(feeds.EVENTS).parquet(f"{sf_dir}/event[s].parquet")
+    requests = e.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("failed"), (F.col("event_type") == "purchase").alias("forced"))
+    return feeds.drained(policies.quota_decisions(requests, _QUOTA), "append").select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "decision", "attempts")
+
+
+@query("SELECT DISTINCT event_type AS symbol, ts, value FROM events")
+def stream_dedup_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event comes again under another id, and its content is kept once."""
+    again = feeds.ticks(spark, sf_dir).withColumn("event_id", F.explode(F.array("event_id", -F.col("event_id") - 1)))
+    once = policies.once_by_content(again, ["symbol", "ts", "value"])
+    return feeds.drained(once.select("symbol", "ts", "value"), "append").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
