@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import HOURS, bars_hourly, table
-from ..streaming import feeds, policies
+from ..sources.tables import HOURS, bars_hourly, shared_dir, table
+from ..streaming import feeds, messages, policies
 from .registry import query
 
 
@@ -91,3 +93,18 @@ def stream_dedup_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = feeds.ticks(spark, sf_dir).withColumn("event_id", F.explode(F.array("event_id", -F.col("event_id") - 1)))
     once = policies.once_by_content(again, ["symbol", "ts", "value"])
     return feeds.drained(once.select("symbol", "ts", "value"), "append").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query(
+    """WITH e AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS "offset", CASE event_type WHEN 'click' THEN 'ALTIN' WHEN 'view' THEN 'CEYREK_YENI' WHEN 'signup' THEN 'ATA_YENI' WHEN 'purchase' THEN 'ONS' ELSE 'USDTRY' END AS code, value, ts FROM events)
+SELECT "offset", CASE WHEN code IN ('ONS', 'USDTRY') THEN 'pair' ELSE 'quote' END AS kind, code, value AS bid, value + 0.5 AS ask, CASE WHEN code NOT IN ('ONS', 'USDTRY') THEN strftime(ts, '%H:%M:%S') END AS clock FROM e"""
+)
+def stream_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as messages of a price feed, stored and replayed through the source; errors come under the older code of their pair."""
+    code = F.expr("CASE event_type WHEN 'click' THEN 'ALTIN' WHEN 'view' THEN 'CEYREK_YENI' WHEN 'signup' THEN 'ATA_YENI' WHEN 'purchase' THEN 'ONS' ELSE 'USD' END")
+    body = F.struct(F.col("value").cast("string").alias("alis"), (F.col("value") + 0.5).alias("satis"), F.date_format("ts", "dd-MM-yyyy HH:mm:ss").alias("tarih"))
+    payload = F.to_json(F.struct(F.create_map(code, body).alias("data")))
+    path = f"{shared_dir(spark)}/messages-{uuid.uuid4().hex}"
+    messages.store(table(spark, sf_dir, "events").select("ts", "event_id", payload.alias("payload")), path, ["ts", "event_id"])
+    q = feeds.drained(messages.quotes(messages.replay(spark, path)), "append")
+    return q.select("offset", "kind", "code", "bid", "ask", "clock")
