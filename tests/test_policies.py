@@ -4,6 +4,7 @@ import datetime as dt
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tideline.streaming import feeds, policies
@@ -59,3 +60,10 @@ def test_batches_do_not_matter(spark, requests, tmp_path, cuts):
             said, state[key] = decide(ts, failed, forced, state.get(key, Counters()), Q)
             want.append((key, id_, said, state[key].attempts))
     assert got == sorted(want) and {d for *_, d, _ in got} >= {"allowed", "rest", "limit", "force"}
+
+
+def test_forced_triggers_pass_all_limits():
+    ticks = pd.DataFrame({"event_id": range(5), "ts": [pd.Timestamp(2024, 1, 1, 9, m) for m in (0, 1, 2, 3, 4)], "value": 100.0, "force": [False, True, False, True, False]})
+    out, state = feeds.decide(ticks, None, daily=1)
+    assert [r for *_, r in out] == ["first", "force", "force"] and state[2] == 3
+    assert [r for *_, r in feeds.decide(ticks.drop(columns="force"), None)[0]] == ["first"]

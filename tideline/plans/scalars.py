@@ -34,6 +34,29 @@ def series_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.series_csv(o.select(F.col("o_orderstatus").alias("series"), line.alias("line")), "line", ["series"])
 
 
+_LAGS = {"1-URGENT": 45, "2-HIGH": 10, "3-MEDIUM": 2, "4-NOT SPECIFIED": 2, "5-LOW": 45}
+
+
+def _store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The primary source answers with pages for two series, and the second one knows one of them."""
+    o = table(spark, sf_dir, "orders")
+    line = F.concat_ws(",", F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_totalprice").cast("string"))
+    broken = F.col("o_orderpriority").isin("4-NOT SPECIFIED", "5-LOW")
+    answers = F.array_compact(F.array(F.struct(F.lit("primary").alias("source"), F.when(broken, "<html>error</html>").otherwise(line).alias("line")), F.when(F.col("o_orderpriority") == "5-LOW", F.struct(F.lit("second").alias("source"), line.alias("line")))))
+    lines = o.select(F.col("o_orderpriority").alias("series"), F.explode(answers).alias("a")).select("series", "a.*")
+    return feeds.macro_store(lines, ["primary", "second"], spark.createDataFrame(list(_LAGS.items()), "series string, lag_days int"))
+
+
+@query("SELECT o_orderpriority AS series, CASE o_orderpriority WHEN '5-LOW' THEN 'second' ELSE 'primary' END AS source, CAST(o_orderdate AS DATE) AS obs_date, o_totalprice AS value, CAST(CAST(o_orderdate AS DATE) + CASE substr(o_orderpriority, 1, 1) WHEN '2' THEN 10 WHEN '3' THEN 2 ELSE 45 END AS DATE) AS available FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED'")
+def macro_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _store(spark, sf_dir)[0].select("series", "source", "obs_date", "value", F.to_date("available_at").alias("available"))
+
+
+@query("SELECT DISTINCT o_orderpriority AS series, CASE o_orderpriority WHEN '5-LOW' THEN 'primary' ELSE 'primary,second' END AS failed, CASE o_orderpriority WHEN '5-LOW' THEN 'second' END AS used FROM orders WHERE o_orderpriority IN ('4-NOT SPECIFIED', '5-LOW')")
+def macro_store_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _store(spark, sf_dir)[1]
+
+
 @query("SELECT o_custkey % 50 AS k, o_orderkey AS id FROM orders o WHERE CASE WHEN EXISTS (SELECT 1 FROM orders p WHERE p.o_custkey % 50 = o.o_custkey % 50 AND p.o_orderstatus = 'P') THEN o_orderstatus = 'P' ELSE o_orderstatus = 'O' END")
 def source_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each key has the rows of its first source only."""

@@ -65,6 +65,24 @@ def one_source(rows: DataFrame, order: list[str], keys: list[str]) -> DataFrame:
     return known.join(first, keys).where("_rank = _first").drop("_rank", "_first")
 
 
+def macro_store(lines: DataFrame, order: list[str], lags: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The store of all series of ``lags`` (series, lag_days), and what went wrong.
+
+    ``lines`` (series, source, line) are ``date,value`` lines as the sources of
+    ``order`` gave them. A series is taken whole from the first source that gave a
+    valid row of it; others go on if one fails. The store has (series, obs_date,
+    value, available_at, source); the errors (series, failed, used) name the sources
+    before the one that was used, which is null if all failed.
+    """
+    parsed = series_csv(lines, "line", ["series", "source"]).join(lags.select("series"), "series", "left_semi")
+    rows = one_source(parsed, order, ["series"]).withColumnRenamed("day", "obs_date")
+    used = rows.groupBy("series").agg(F.first("source").alias("used"))
+    names = F.array(*map(F.lit, order))
+    tried = F.when(F.col("used").isNull(), names).otherwise(F.slice(names, 1, F.array_position(names, F.col("used")).cast("int") - 1))
+    errors = lags.select("series").distinct().join(used, "series", "left").select("series", F.array_join(tried, ",").alias("failed"), "used").where("failed != ''")
+    return available(rows, lags).select("series", "obs_date", "value", "available_at", "source"), errors
+
+
 def latest(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """The last row of each key, so that a later one replaces an earlier one."""
     rest = [c for c in rows.columns if c not in keys]

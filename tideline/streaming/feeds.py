@@ -53,16 +53,18 @@ def deduplicated(stream: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def decide(rows: pd.DataFrame, state: tuple | None, move: float = 0.5, wait: int = 60, longest: int = 240, daily: int = 6) -> tuple[list[tuple], tuple]:
-    """Trigger decisions of ticks in time order: first tick, a move of ``move`` % after ``wait`` minutes, or ``longest`` minutes without one; ``daily`` a day at most."""
+    """Trigger decisions of ticks in time order: a tick marked ``force``, if there is such a column, whatever the limits say; the first tick, a move of ``move`` % after ``wait`` minutes, or ``longest`` minutes without one; ``daily`` a day at most."""
     out = []
     at, price, runs, day = state or (None, None, 0, None)
-    for ts, value in rows.sort_values(["ts", "event_id"])[["ts", "value"]].itertuples(index=False):
+    rows = rows.sort_values(["ts", "event_id"])
+    forced = rows["force"] if "force" in rows else [False] * len(rows)
+    for ts, value, force in zip(rows["ts"], rows["value"], forced, strict=True):
         if str(ts.date()) != day:
             day, runs = str(ts.date()), 0
-        if runs >= daily:
+        if runs >= daily and not force:
             continue
         age = None if at is None else (ts.timestamp() - at) / 60
-        reason = "first" if age is None else "age" if age >= longest else "move" if age >= wait and abs(value / price - 1) * 100 >= move else None
+        reason = "force" if force else "first" if age is None else "age" if age >= longest else "move" if age >= wait and abs(value / price - 1) * 100 >= move else None
         if reason:
             at, price, runs = ts.timestamp(), value, runs + 1
             out.append((ts, value, reason))
