@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from ..operators import bars as bar_ops
 from ..operators import levels as ops
+from ..operators import trend
 from ..operators import windows as win
 from ..sources.tables import BARS, bars_daily, saved, table
 from .bars import rounded
-from .registry import query
+from .recursion import _indicators as strength
+from .registry import SQL, query
+from .windows import _channel as channel_sql
 from .windows import all_rounded, frame, swing_sql
 
 TODAY = "1998-06-18"
@@ -276,3 +279,27 @@ def quote_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     ask = F.col("p_retailprice")
     q = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (ask - F.col("p_size")).alias("bid"), ask.alias("ask"), (ask * (F.col("p_partkey") % 10) / 8.0).alias("low"), (ask * (1 + (F.col("p_size") % 7 - 1) / 20.0)).alias("high"), (ask * (F.col("p_size") % 5) / 3.0).alias("previous"))
     return all_rounded(ops.read_quotes(q))
+
+
+def _last_of(sql: str, *columns: str, as_: str = "") -> str:
+    return f"(SELECT symbol, {', '.join(f'arg_max({c}, day) AS {c}{as_}' for c in columns)} FROM ({sql}) GROUP BY symbol)"
+
+
+_LINE = "(SELECT symbol, pa + (pb - pa) / (xb - xa) * (n - xa) AS now, pa + (pb - pa) / (xb - xa) * (n + 5 - xa) AS later, broken = 1 AS broken FROM ({lines}) l JOIN cnt USING (symbol) WHERE kind = '{kind}')"
+
+
+@query(
+    f"""WITH {BARS}, cnt AS (SELECT symbol, count(*) AS n, max(day) AS day, arg_max(close, day) AS price FROM bars GROUP BY symbol),
+av AS (SELECT symbol, arg_max(m50, day) AS m50, arg_max(m200, day) AS m200 FROM (SELECT symbol, day, avg(close) OVER {frame(50)} AS m50, avg(close) OVER {frame(200)} AS m200 FROM bars) GROUP BY symbol),
+sw AS (SELECT symbol, string_agg(substr(kind, 1, 1) || ' ' || day, ', ' ORDER BY r DESC) AS swings FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY day DESC, kind) AS r FROM ({SQL["fractal_swings"]})) WHERE r <= 8 GROUP BY symbol)
+SELECT symbol, cnt.day, round(price, 4) AS price, round(atr, 4) AS atr, round(0.5 * atr, 4) AS tolerance, round(adx, 4) AS adx, state AS structure, round(low_1, 4) AS last_low, round(high_1, 4) AS last_high,
+  CASE WHEN n >= 50 THEN round(price / m50 - 1, 4) END AS from_sma_50, CASE WHEN n >= 200 THEN round(price / m200 - 1, 4) END AS from_sma_200, CASE WHEN n >= 200 THEN m50 > m200 END AS sma_50_above,
+  round(su.now, 4) AS support, round(su.later, 4) AS support_ahead, su.broken AS support_broken, round(re.now, 4) AS resistance, round(re.later, 4) AS resistance_ahead, re.broken AS resistance_broken,
+  {", ".join(f"round({c}_{n}, 4) AS {c}_{n}" for n in (60, 120, 250) for c in ("slope", "r2", "place"))}, swings
+FROM cnt JOIN av USING (symbol) LEFT JOIN {_last_of(SQL["atr_adx"], "atr", "adx")} st USING (symbol) LEFT JOIN ({SQL["dow_state"]}) d USING (symbol)
+LEFT JOIN {_LINE.format(lines=SQL["trend_lines"], kind="low")} su USING (symbol) LEFT JOIN {_LINE.format(lines=SQL["trend_lines"], kind="high")} re USING (symbol)
+{" ".join(f"LEFT JOIN {_last_of(channel_sql(n), 'slope', 'r2', 'place', as_=f'_{n}')} c{n} USING (symbol)" for n in (60, 120, 250))} LEFT JOIN sw USING (symbol)"""
+)
+def trend_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = saved(bars_daily(spark, sf_dir))
+    return all_rounded(trend.report(b, strength(b)), 4)
