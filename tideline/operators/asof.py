@@ -35,8 +35,8 @@ def forward(probes: DataFrame, observations: DataFrame, by: list[str], at: str,
     return filled.where("_probe = 1").select(*by, F.col("_at").alias(at), value, "seen")
 
 
-def change(days: DataFrame, observations: DataFrame, by: list[str], at: str, value: str, lag_days: int) -> DataFrame:
-    """Value as of a day, as of ``lag_days`` calendar days before, their difference and their ratio (null over null or 0)."""
+def change(days: DataFrame, observations: DataFrame, by: list[str], at: str, value: str, lag_days: int | Column) -> DataFrame:
+    """Value as of a day, as of ``lag_days`` calendar days before (a number, or one by the key columns), their difference and their ratio (null over null or 0)."""
     now = backward(days, observations, by, at, value).select(*by, at, value)
     earlier = days.select(*by, F.date_sub(at, lag_days).alias(at))
     then = backward(earlier, observations, by, at, value).select(*by, F.date_add(at, lag_days).alias(at), F.col(value).alias("before"))

@@ -156,3 +156,17 @@ def nearest_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The horizon nearest to the one asked for; the first of equally near ones."""
     near = F.array_min(F.transform(F.array(F.lit(7), F.lit(14), F.lit(30)), lambda h: F.struct(F.abs(h - F.col("asked")).alias("gap"), h.alias("h"))))["h"]
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 40).alias("asked")).withColumn("horizon", near)
+
+
+_LAG = "CASE substr(series, 1, 1) WHEN '1' THEN 45 WHEN '2' THEN 10 ELSE 2 END"
+
+
+@query(
+    f"""WITH {BARS}, {MACRO}, {_FIRST}, {_ALL_DAYS}, lagged AS (SELECT *, {_LAG} AS lag FROM days), n AS (SELECT d.series, d.day, f.value FROM lagged d ASOF LEFT JOIN first f ON d.series = f.series AND d.day >= f.day),
+b AS (SELECT d.series, d.day, f.value AS before FROM (SELECT *, day - CAST(lag AS INTEGER) AS at_ FROM lagged) d ASOF LEFT JOIN first f ON d.series = f.series AND d.at_ >= f.day)
+SELECT n.series, n.day, value, before, round(value - before, 6) AS difference, round(value / nullif(before, 0) - 1, 6) AS ratio FROM n JOIN b ON n.series = b.series AND n.day = b.day"""
+)
+def macro_change_by_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes over each series' own look-back: 45, 10 or 2 days."""
+    lag = F.expr(_LAG)
+    return rounded(asof.change(_all_days(spark, sf_dir), _first(spark, sf_dir), ["series"], "day", "value", lag), "difference", "ratio", digits=6)

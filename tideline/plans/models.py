@@ -197,6 +197,14 @@ def impact_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_rounded(i.withColumns({"share": F.abs(usd) / F.max(F.abs(usd)).over(w), "up": F.sum(F.when(usd > 0, usd).otherwise(0.0)).over(w), "down": F.sum(F.when(usd < 0, usd).otherwise(0.0)).over(w)}))
 
 
+@query("SELECT grp, rank::INT AS rank, id, round(usd, 6) AS usd FROM (SELECT s_nationkey AS grp, s_suppkey AS id, s_acctbal / 100 AS usd, row_number() OVER (PARTITION BY s_nationkey ORDER BY abs(s_acctbal / 100) DESC, s_suppkey) AS rank FROM supplier WHERE abs(s_acctbal / 100) >= 1) WHERE rank <= 3")
+def top_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three largest impacts of each group, up or down."""
+    i = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("grp"), F.col("s_suppkey").alias("id"), (F.col("s_acctbal") / 100).alias("usd")).where("abs(usd) >= 1")
+    rank = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc(F.abs("usd")), "id"))
+    return all_rounded(i.withColumn("rank", rank).where("rank <= 3").select("grp", "rank", "id", "usd"))
+
+
 @query("SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN p_retailprice WHEN p_size % 3 = 1 THEN p_retailprice * 1.01::DOUBLE ELSE p_size * 50.0::DOUBLE END AS price, CASE p_size % 3 WHEN 0 THEN 'spot' WHEN 1 THEN 'token' ELSE 'futures' END AS source FROM part")
 def live_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first known of spot, token and futures times basis."""
