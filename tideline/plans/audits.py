@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as num
 from ..functions import text as fn
+from ..operators import products
 from ..sources.tables import table
 from .registry import query
 
@@ -158,12 +159,8 @@ def ticker_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four slots of known, different choices, filled up with the usual ones; then euro is put first, changing places if it has one."""
     k = F.col("c_custkey")
     raw = F.array(F.when(k % 3 == 0, "euro").when(k % 3 == 1, "bitcoin").otherwise("silver"), F.lit("silver"), F.when(k % 2 == 0, "nonsense").otherwise("dollar"))
-    known = F.array(*map(F.lit, (*_SLOTS, "bitcoin")))
-    picked = F.array_distinct(F.filter(raw, lambda x: F.array_contains(known, x)))
-    slots = F.slice(F.concat(picked, F.array_except(F.array(*map(F.lit, _SLOTS)), picked)), 1, 4)
-    s = table(spark, sf_dir, "customer").select(k.alias("id"), slots.alias("slots"))
-    swapped = F.transform("slots", lambda x, i: F.when(i == 0, "euro").when(x == "euro", F.col("slots")[0]).otherwise(x))
-    return s.withColumn("swapped", swapped).select("id", *(F.array_join(c, ",").alias(c) for c in ("slots", "swapped")))
+    s = table(spark, sf_dir, "customer").select(k.alias("id"), products.slots(raw, (*_SLOTS, "bitcoin"), _SLOTS).alias("slots"))
+    return s.withColumn("swapped", products.put_first(F.col("slots"), "euro")).select("id", *(F.array_join(c, ",").alias(c) for c in ("slots", "swapped")))
 
 
 @query(
@@ -177,10 +174,7 @@ def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = o.groupBy(F.col("o_orderstatus").alias("model"), h.alias("horizon")).agg((F.avg("o_totalprice") / 1e6).alias("mae"), ((F.avg("o_custkey") % 10) / 20).alias("weight"), F.count("*").alias("oof_rows"))
     m = m.withColumn("mae", F.when(~((F.col("model") == "P") & (F.col("horizon") == 14)), F.col("mae")))
     cards = m.groupBy("model").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("horizon").cast("string"), F.struct("mae", "weight", "oof_rows"))))).alias("card"))
-    read = F.explode(F.from_json("card", "map<string,struct<mae:double,weight:double,oof_rows:bigint>>")).alias("horizon", "m")
-    rows = cards.select("model", read).select("model", F.col("horizon").try_cast("int").alias("horizon"), "m.*").where("horizon IS NOT NULL AND mae IS NOT NULL AND weight IS NOT NULL AND oof_rows IS NOT NULL")
-    best = rows.groupBy("model").agg(F.max("oof_rows").alias("measured"))
-    return rows.join(best, "model").select("model", "horizon", F.round("mae", 6).alias("mae"), F.round("weight", 6).alias("weight"), (F.col("weight") >= 0.2).alias("confident"), "oof_rows", "measured")
+    return products.scorecard(cards).withColumns({"mae": F.round("mae", 6), "weight": F.round("weight", 6)})
 
 
 @query(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as num
 from ..functions import text as fn
 from ..operators import bars as bar_ops
+from ..operators import products
 from ..operators import windows as win
 from ..sources import feeds, sinks
 from ..sources.tables import BARS, HOURS, MACRO, bars_daily, bars_hourly, macro_observations, saved, shared_dir, table
@@ -133,13 +134,7 @@ def positioning_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.to_json(F.struct(F.date_format(F.trunc("o_orderdate", "week"), "yyyy-MM-dd").alias("day"), (F.col("o_custkey") % 900).cast("string").alias("longs"), (F.col("o_custkey") % 700).cast("string").alias("shorts"), F.col("o_totalprice").cast("string").alias("interest")))
     read = F.from_json(text, "STRUCT<day: DATE, longs: STRING, shorts: STRING, interest: STRING>")
     r = o.select(F.col("o_orderpriority").alias("market"), "o_orderkey", read.alias("r")).select("market", "o_orderkey", "r.day", *(F.col(f"r.{c}").try_cast("double").alias(c) for c in ("longs", "shorts", "interest")))
-    d = r.groupBy("market", "day").agg(F.max_by(F.struct("longs", "shorts"), F.struct("interest", -F.col("o_orderkey"))).alias("t")).select("market", "day", (F.col("t.longs") - F.col("t.shorts")).cast("long").alias("net"))
-    d = d.withColumn("change", F.col("net") - F.lag("net").over(Window.partitionBy("market").orderBy("day")))
-    last = d.groupBy("market").agg(F.max_by(F.struct("day", "net", "change"), "day").alias("l")).select("market", "l.*")
-    past = d.select("market", F.col("day").alias("d"), F.col("net").alias("n"))
-    p = last.join(past, "market").where(F.col("d") >= F.date_sub("day", 1095)).groupBy("market", "day", "net", "change").agg((100 * F.avg((F.col("n") < F.col("net")).cast("double"))).alias("percentile"))
-    reading = F.when(F.col("percentile") >= 80, "crowded").when(F.col("percentile") <= 20, "sparse").otherwise("medium")
-    return p.select("market", "day", "net", "change", F.round("percentile", 6).alias("percentile"), reading.alias("reading"))
+    return products.positioning(r, F.col("o_orderkey")).withColumn("percentile", F.round("percentile", 6))
 
 
 @query(
@@ -151,9 +146,7 @@ def promotion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     when = lambda c, a, b: F.when(c, a).otherwise(b)
     p = F.struct((k % 2 == 0).alias("validated"), when(k % 3 == 0, "latest", "point_in_time").alias("availability"), F.lit("point_in_time").alias("macro_vintage"), when(k % 5 == 0, "futures", "XAUUSD_spot").alias("price_instrument"))
     m = table(spark, sf_dir, "customer").select(k.alias("id"), F.to_json(F.struct(p.alias("provenance"))).alias("manifest"))
-    r = F.from_json("manifest", "STRUCT<provenance: STRUCT<validated: BOOLEAN, availability: STRING, macro_vintage: STRING, price_instrument: STRING>>")["provenance"]
-    ready = r["validated"] & (r["availability"] == "point_in_time") & (r["macro_vintage"] == "point_in_time") & (r["price_instrument"] == "XAUUSD_spot")
-    return m.select("id", F.coalesce(ready, F.lit(False)).alias("ready"))
+    return m.select("id", products.promotion_ready(F.col("manifest")).alias("ready"))
 
 
 @query(
@@ -165,10 +158,7 @@ def artifact_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.when(k % 7 == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b")))
     mean = F.when(k % 5 == 0, F.array(F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(2.0)))
     a = table(spark, sf_dir, "customer").select(k.alias("id"), F.to_json(F.struct(names.alias("features"), mean.alias("mean"), F.array(F.lit(1.0), F.when(k % 3 == 0, 0.0).otherwise(2.0)).alias("spread"), F.when(k % 11 == 0, 1.5).otherwise(0.5).alias("weight"))).alias("artifact"))
-    r = F.from_json("artifact", "STRUCT<features: ARRAY<STRING>, mean: ARRAY<DOUBLE>, spread: ARRAY<DOUBLE>, weight: DOUBLE>")
-    known = F.array(F.lit("a"), F.lit("b"))
-    problem = F.when(~r["features"].eqNullSafe(known), "features").when((F.size(r["mean"]) != 2) | (F.size(r["spread"]) != 2), "scaler").when(F.exists(r["spread"], lambda x: F.isnan(x) | (x <= 0)), "spread").when(~F.coalesce(r["weight"].between(0, 1), F.lit(False)), "weight")
-    return a.select("id", problem.alias("problem"))
+    return a.select("id", products.artifact_problem(F.col("artifact"), ("a", "b")).alias("problem"))
 
 
 @query(
@@ -225,10 +215,7 @@ SELECT symbol, round(avg(close), 6) AS mean, round(stddev_pop(close), 6) AS spre
 )
 def fallback_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a page shows without a model: means and deviations, the length of the recent history, and its highs."""
-    n = bars_daily(spark, sf_dir).withColumn("r", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("day"))))
-    last = lambda k, x: F.when(F.col("r") <= k, x)
-    g = n.groupBy("symbol").agg(F.avg("close").alias("mean"), F.stddev_pop("close").alias("spread"), F.count(last(365, F.lit(1))).alias("history"), F.max(last(20, F.col("close"))).alias("high_20"), F.max(last(60, F.col("close"))).alias("high_60"), F.max("day").alias("last"))
-    return all_rounded(g)
+    return all_rounded(products.fallback_artifact(bars_daily(spark, sf_dir)))
 
 
 @query(
@@ -253,12 +240,7 @@ SELECT symbol, day, round(close * (1 + exp(CASE WHEN k <= 7 THEN ln(1.01) * k /
 def forecast_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A price for every day up to the last horizon: returns of 1, 3 and -2 % after 7, 14 and 30 days, with logarithms between."""
     last = bars_daily(spark, sf_dir).groupBy("symbol").agg(F.max_by(F.struct("day", "close"), "day").alias("l")).select("symbol", "l.*")
-    days = last.select("symbol", "close", F.posexplode(F.sequence("day", F.date_add("day", 30))).alias("k", "day"))
-    anchors = [(0, 0.0), (7, 0.01), (14, 0.03), (30, -0.02)]
-    r = F.lit(None).cast("double")
-    for (a, x), (b, y) in reversed(list(zip(anchors, anchors[1:], strict=False))):
-        r = F.when(F.col("k") <= b, num.path_return(F.lit(x), F.lit(y), (F.col("k") - a) / (b - a))).otherwise(r)
-    return days.select("symbol", "day", F.round(F.col("close") * (1 + r), 6).alias("price"))
+    return products.forecast_path(last, [(0, 0.0), (7, 0.01), (14, 0.03), (30, -0.02)]).withColumn("price", F.round("price", 6))
 
 
 @query(
@@ -282,6 +264,4 @@ def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = b.groupBy("symbol").agg(F.max_by(F.struct("day", "close"), "day").alias("l"), F.count("*").alias("n")).select("symbol", "l.*", "n")
     live = last.where("symbol != 'R'").select("symbol", F.col("close").alias("live"))
     vendor = last.where("symbol != 'R'").select("symbol", (F.col("close") + 1).alias("vendor"))
-    s = last.join(live, "symbol", "left").join(vendor, "symbol", "left")
-    warnings = F.array_join(F.array_compact(F.array(F.when(F.col("live").isNull(), "live quote"), F.when(F.col("n") < 10, "history"))), ",")
-    return s.select("symbol", "day", F.round(F.coalesce("live", "close"), 6).alias("price"), F.when(F.col("live").isNull(), "stored").otherwise("live").alias("origin"), F.round("vendor", 6).alias("vendor"), warnings.alias("warnings"))
+    return all_rounded(products.snapshot(last, live, vendor))
