@@ -39,3 +39,10 @@ def test_a_failing_series_does_not_stop_the_others(spark):
     store, errors = feeds.macro_store(lines, ["p", "q"], lags)
     assert sorted((r.series, r.value, r.source, str(r.available_at)[:10]) for r in store.collect()) == [("a", 1.5, "p", "2024-01-11"), ("b", 2.0, "q", "2024-02-03")]
     assert sorted((r.series, r.failed, r.used) for r in errors.collect()) == [("b", "p", "q"), ("c", "p,q", None), ("d", "p,q", None)]
+
+
+def test_csv_with_quoted_fields(spark):
+    header = '"Top, queries",Clicks,"Position"'
+    lines = spark.createDataFrame([(1, header), (2, '"gold, price",12,"3,4"'), (3, "plain,5"), (4, '"with ""quotes""",,7')], "n int, line string")
+    got = feeds.csv_columns(lines, "line", header, {"query": ["query", "top, queries"], "clicks": ["clicks"], "position": ["position"], "none": ["other"]}, ["n"])
+    assert [tuple(r) for r in got.orderBy("n").collect()] == [(2, "gold, price", "12", "3,4", None), (3, "plain", "5", None, None), (4, 'with "quotes"', None, "7", None)]

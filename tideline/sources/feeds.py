@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -119,13 +120,14 @@ def fixings(payloads: DataFrame, payload: str, keys: list[str]) -> DataFrame:
 def csv_columns(lines: DataFrame, line: str, header: str, names: Mapping[str, Sequence[str]], keys: list[str]) -> DataFrame:
     """Columns of CSV lines chosen by name: ``names`` maps a column to what its header may be called; a column that no header names is null.
 
-    ``header`` is the file's first line, whose names are compared without regard to case.
+    ``header`` is the file's first line, whose names are compared without regard to
+    case. Quoted fields may hold commas; lines that are too short have nulls.
     """
-    heads = [h.strip().strip('"').lower() for h in header.split(",")]
-    parts = F.split(F.col(line), ",")
+    heads = [h.strip().lower() for h in next(csv.reader([header]))]
+    parts = F.from_csv(F.col(line), ", ".join(f"c{k} STRING" for k in range(len(heads))), {"escape": '"'})
     place = {c: next((heads.index(n.lower()) for n in called if n.lower() in heads), None) for c, called in names.items()}
-    value = lambda k: F.lit(None).cast("string") if k is None else F.nullif(F.trim(F.regexp_replace(F.get(parts, F.lit(k)), '^"|"$', "")), F.lit(""))
-    return lines.where(F.col(line) != header).select(*keys, *(value(k).alias(c) for c, k in place.items()))
+    value = lambda k: F.lit(None).cast("string") if k is None else F.nullif(F.trim(F.col("_parts")[f"c{k}"]), F.lit(""))
+    return lines.where(F.col(line) != header).withColumn("_parts", parts).select(*keys, *(value(k).alias(c) for c, k in place.items()))
 
 
 def with_provenance(bars: DataFrame, order: list[tuple[str, str]], valid: Column) -> DataFrame:
