@@ -1,6 +1,7 @@
 """Small cases whose results are known by hand."""
 
 import datetime as dt
+import json
 import math
 
 import numpy as np
@@ -240,6 +241,16 @@ def test_chart_payloads(spark):
     assert [r.day for r in feeds.chart_days(p, "payload", ["s"]).orderBy("day").collect()] == [dt.date(1970, 1, 2), dt.date(1970, 1, 3)]
 
 
+def test_chart_payloads_are_parsed_once(spark):
+    n = 30000
+    payload = json.dumps({"chart": {"result": [{"timestamp": list(range(n)), "indicators": {"quote": [{"high": [1.0] * n, "low": [1.0] * (n - 1), "close": [1.0] * n}]}}]}})
+    empty = [json.dumps({"chart": c}) for c in ({"result": []}, {"result": [{"timestamp": [1], "indicators": {"quote": []}}]})]
+    p = spark.createDataFrame([(x,) for x in (payload, *empty)], "payload string")
+    b = feeds.chart_bars(p, "payload", [])
+    assert b._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert b.agg(F.count("*"), F.sum("v")).first()[:] == (n - 1, 0)
+
+
 def test_series_csv_skips_what_does_not_parse(spark):
     l = spark.createDataFrame([("DATE,X",), ("2024-01-01,.",), ("2024-01-02,1.5",), ("",), (None,)], "line string")
     assert [(r.day, r.value) for r in feeds.series_csv(l, "line", []).collect()] == [(dt.date(2024, 1, 2), 1.5)]

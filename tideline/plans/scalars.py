@@ -13,9 +13,9 @@ from .registry import query
 
 @query("SELECT event_type AS symbol, CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS n, round(max(greatest(value, value)), 6) AS high, round(sum(CASE WHEN event_id % 5 = 0 THEN 0 ELSE event_id % 9 END), 6)::BIGINT AS volume FROM events WHERE event_id % 7 <> 0 GROUP BY 1, 2")
 def chart_json_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events packed as provider charts of a day, with gaps in the arrays, and read again."""
-    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
-    e = e.groupBy("event_type", "day").agg(F.collect_list(F.struct("event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"), "value")).alias("x"))
+    """Events packed as provider charts of a day, in pages of 10,000 event numbers and with gaps in the arrays, and read again."""
+    e = table(spark, sf_dir, "events").withColumns({"day": F.to_date("ts"), "page": F.floor(F.col("event_id") / 10000)})
+    e = e.groupBy("event_type", "day", "page").agg(F.collect_list(F.struct("event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"), "value")).alias("x"))
     col = lambda f: F.transform("x", f)
     close = col(lambda r: F.when(r["event_id"] % 7 != 0, r["value"]))
     volume = col(lambda r: F.when(r["event_id"] % 5 != 0, r["event_id"] % 9))

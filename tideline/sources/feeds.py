@@ -13,12 +13,14 @@ ITEM = r"(?s)<item>.*?</item>"
 
 
 def _points(payloads: DataFrame, payload: str, keys: list[str]) -> DataFrame:
-    r = F.from_json(F.col(payload), CHART)["chart"]["result"][0]
-    q = r["indicators"]["quote"][0]
-    # arrays may differ in length; a missing element is null
-    at = lambda a: lambda i: F.get(a, i)
-    points = F.transform(F.sequence(F.lit(0), F.greatest(F.size(r["timestamp"]) - 1, F.lit(0))), lambda i: F.struct(F.get(r["timestamp"], i).alias("t"), *(at(q[c])(i).alias(c[0]) for c in ("open", "high", "low", "close", "volume"))))
-    return payloads.select(*keys, F.explode(points).alias("p")).select(*keys, "p.*").where("t IS NOT NULL")
+    # a payload is parsed once, in a projection of its own, and its arrays are zipped: within a function of an element it would be parsed for each
+    r = F.get(F.col("r")["chart"]["result"], F.lit(0))
+    q = F.get(r["indicators"]["quote"], F.lit(0))
+    # arrays may differ in length; a missing element is null, as is a missing array's
+    array = lambda a, kind, name: F.coalesce(a, F.array().cast(f"array<{kind}>")).alias(name)
+    arrays = [array(r["timestamp"], "bigint", "t"), *(array(q[c], "bigint" if c == "volume" else "double", c[0]) for c in ("open", "high", "low", "close", "volume"))]
+    parsed = payloads.select(*keys, F.from_json(F.col(payload), CHART).alias("r")).select(*keys, *arrays)
+    return parsed.select(*keys, F.explode(F.arrays_zip("t", *"ohlcv")).alias("p")).select(*keys, "p.*").where("t IS NOT NULL")
 
 
 def chart_bars(payloads: DataFrame, payload: str, keys: list[str]) -> DataFrame:
