@@ -241,6 +241,13 @@ def test_chart_payloads(spark):
     assert [r.day for r in feeds.chart_days(p, "payload", ["s"]).orderBy("day").collect()] == [dt.date(1970, 1, 2), dt.date(1970, 1, 3)]
 
 
+def test_checksums_wrap(spark):
+    most = 2**63 - 1
+    rows = spark.createDataFrame([(1, most), (1, most), (2, most), (2, 1), (3, 5), (3, -7), (4, None)], "k int, x long")
+    got = dict(rows.groupBy("k").agg(features.wrapped_sum(F.col("x")).alias("s")).collect())
+    assert got == {1: -2, 2: -(2**63), 3: -2, 4: None}
+
+
 def test_chart_payloads_are_parsed_once(spark):
     n = 30000
     payload = json.dumps({"chart": {"result": [{"timestamp": list(range(n)), "indicators": {"quote": [{"high": [1.0] * n, "low": [1.0] * (n - 1), "close": [1.0] * n}]}}]}})

@@ -64,11 +64,18 @@ def missing_names(rows: DataFrame, columns: list[str]) -> Column:
     return F.array_compact(F.array(*bad))
 
 
+def wrapped_sum(c: Column) -> Column:
+    """A sum of whole numbers modulo 2^64 as a signed long: their sum where that fits, and no overflow where it does not."""
+    whole, half = (F.expr(f"CAST('{2**n}' AS DECIMAL(20,0))") for n in (64, 63))
+    left = F.pmod(F.sum(c.cast("decimal(20,0)")), whole)
+    return F.when(left < half, left).otherwise(left - whole).cast("long")
+
+
 def manifest(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Row count, and a hash of all rows that does not depend on their order, for each of ``keys``."""
+    """Row count, and a hash of all rows that does not depend on their order (a sum modulo 2^64), for each of ``keys``."""
     line = F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in rows.columns)), 256)
     part = F.conv(F.substring(line, 1, 12), 16, 10).cast("long")
-    return rows.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum(part).alias("checksum"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("rows"), wrapped_sum(part).alias("checksum"))
 
 
 def fold_rows(rows: DataFrame, folds: tuple[float, ...] = (0.55, 0.70, 0.85), calibration: float = 0.2, least: int = 30, keep: Sequence[str] = ()) -> DataFrame:

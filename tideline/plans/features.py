@@ -86,10 +86,11 @@ def dq_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey % 4 AS part, count(*) AS rows, sum(('0x' || substr(sha256(c_custkey || chr(31) || c_name || chr(31) || c_mktsegment), 1, 12))::BIGINT)::BIGINT AS checksum FROM customer GROUP BY 1".replace("SELECT c_custkey % 4 AS part", "SELECT c_custkey % 4 AS part"))
 def dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and checksum of each part; a checksum is a sum modulo 2^64, so it is the SQL's as long as that one fits a BIGINT."""
     c = table(spark, sf_dir, "customer")
     rows = c.select("c_custkey", "c_name", "c_mktsegment")
     m = ops.manifest(rows, ["c_custkey"])
-    return m.groupBy((F.col("c_custkey") % 4).alias("part")).agg(F.sum("rows").alias("rows"), F.sum("checksum").alias("checksum"))
+    return m.groupBy((F.col("c_custkey") % 4).alias("part")).agg(F.sum("rows").alias("rows"), ops.wrapped_sum(F.col("checksum")).alias("checksum"))
 
 
 @query(
