@@ -206,6 +206,20 @@ def test_conformal_rank(spark):
     assert evaluate.conformal(s, ["k"], 0.99).first().width == 9.0
 
 
+def test_pairs_are_judged_where_they_meet(spark):
+    g = np.random.default_rng(5)
+    titles = [" ".join(f"word{w}" for w in set((g.zipf(1.4, int(g.integers(1, 12))) % 25).tolist())) for _ in range(300)]
+    sets = {}
+    for i, t in enumerate(titles):
+        sets.setdefault(frozenset(t.split()), i // 2)  # two titles share an id
+    of = [(i, w) for w, i in sets.items()]
+    want = sorted((i, j, len(v & w) / len(v | w)) for i, v in of for j, w in of if i < j and 10 * len(v & w) >= 6 * len(v | w))
+    pairs = dedupe.jaccard_pairs(spark.createDataFrame([(i // 2, t) for i, t in enumerate(titles)], "id long, title string"), 0.6)
+    assert sorted(tuple(r) for r in pairs.collect()) == want and len(want) > 50
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Aggregate" not in plan
+
+
 def test_keep_first_is_order_dependent(spark):
     pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a long, b long")
     ids = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5)], "id long")

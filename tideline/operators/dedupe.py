@@ -20,19 +20,25 @@ def jaccard_pairs(rows: DataFrame, least: float) -> DataFrame:
 
     Equal word sets count once, by their smallest id. A set's rarest words are
     its prefix: similar sets share one, so only rows with a common prefix word
-    are compared.
+    are compared. Sets travel with their prefix words, and a pair is judged where
+    it meets, at its first common word: no table of candidates is shuffled, so what
+    travels grows with the rows.
     """
     t = rows.select("id", F.array_sort(word_set(F.col("title"))).alias("words")).where("size(words) > 0")
-    t = t.groupBy("words").agg(F.min("id").alias("id"))
-    each = t.select("id", F.size("words").alias("n"), F.explode("words").alias("w"))
+    t = saved(t.groupBy("words").agg(F.min("id").alias("id")).withColumn("row", F.monotonically_increasing_id()))
+    each = t.select("row", "id", F.explode("words").alias("w"))
     df = each.groupBy("w").agg(F.count("*").alias("df"))
-    ranked = each.join(df, "w").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("df", "w")))
-    prefix = ranked.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("id", "n", "w")
-    a, b = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "w"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "w")
-    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least)
-    pairs = a.join(b, "w").where(near).select("a", "b").distinct()
-    both = pairs.join(t.select(F.col("id").alias("a"), F.col("words").alias("x")), "a").join(t.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
-    return both.select("a", "b", jaccard(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= least)
+    ranked = each.join(df, "w").groupBy("row", "id").agg(F.sort_array(F.collect_list(F.struct("df", "w")))["w"].alias("words"))
+    ranked = saved(ranked.withColumn("n", F.size("words")))
+    up = lambda c: F.ceil(c - 1e-9).cast("int")
+    heads = ranked.select("id", "n", "words", F.posexplode(F.slice("words", F.lit(1), F.col("n") - up(F.col("n") * least) + 1)).alias("k", "w"))
+    a, b = heads.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("k").alias("ka"), F.col("words").alias("x"), "w"), heads.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb"), F.col("words").alias("y"), "w")
+    # so many common words are needed; none comes before the first one, so the sets' rests bound them
+    need = up((F.col("na") + F.col("nb")) * (least / (1 + least)))
+    near = (F.col("a") < F.col("b")) & (F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb")) >= need)
+    common = F.array_intersect("x", "y")
+    met = a.join(b, "w").where(near & (F.size(common) >= need) & (F.get(common, F.lit(0)) == F.col("w")))
+    return met.select("a", "b", jaccard(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= least)
 
 
 def keep_first(pairs: DataFrame, ids: DataFrame) -> DataFrame:
