@@ -255,6 +255,20 @@ def test_chart_payloads(spark):
     assert [r.day for r in feeds.chart_days(p, "payload", ["s"]).orderBy("day").collect()] == [dt.date(1970, 1, 2), dt.date(1970, 1, 3)]
 
 
+def test_ticks_come_in_time_order_hour_by_hour():
+    g = np.random.default_rng(3)
+    n = 5000
+    ticks = pd.DataFrame({"symbol": "x", "event_id": g.permutation(n), "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(g.integers(0, 3000, n) * 60, unit="s"), "value": g.uniform(90, 110, n)})
+    hours = list(streams.in_time([ticks[k : k + 70] for k in range(0, n, 70)], run=700))
+    assert len(hours) == 50 and max(map(len, hours)) < n / 20 and "symbol" not in hours[0]
+    out, now = [], None
+    for rows in hours:
+        assert rows["ts"].dt.floor("h").nunique() == 1
+        said, now = streams.decide(rows, now)
+        out += said
+    assert (out, now) == streams.decide(ticks, None) and len(out) > 10
+
+
 def test_checksums_wrap(spark):
     most = 2**63 - 1
     rows = spark.createDataFrame([(1, most), (1, most), (2, most), (2, 1), (3, 5), (3, -7), (4, None)], "k int, x long")

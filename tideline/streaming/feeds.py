@@ -7,7 +7,7 @@ checkpoint, and returns the table that its sink has written.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -71,12 +71,41 @@ def decide(rows: pd.DataFrame, state: tuple | None, move: float = 0.5, wait: int
     return out, (at, price, runs, day)
 
 
+def in_time(batches: Iterable[pd.DataFrame], run: int = 1 << 16) -> Iterator[pd.DataFrame]:
+    """The rows of unordered batches in time order, hour by hour; ticks of one time stay together.
+
+    What is held are runs sorted by themselves, with the columns that decisions need
+    and without copies of the whole.
+    """
+    runs: list[pd.DataFrame] = []
+    part: list[pd.DataFrame] = []
+
+    def close() -> None:
+        runs.append(pd.concat(part).sort_values(["ts", "event_id"], ignore_index=True))
+        part.clear()
+
+    for rows in batches:
+        part.append(rows[[c for c in ("event_id", "ts", "value", "force") if c in rows]].copy())
+        if sum(map(len, part)) >= run:
+            close()
+    if part:
+        close()
+    hours = sorted(set().union(*(r["ts"].dt.floor("h").dropna().unique() for r in runs)))
+    starts = [0] * len(runs)
+    for edge in [*hours[1:], None]:
+        stops = [len(r) if edge is None else int(r["ts"].searchsorted(edge)) for r in runs]
+        yield pd.concat([r.iloc[a:b] for r, a, b in zip(runs, starts, stops, strict=True)])
+        starts = stops
+
+
 def triggers(stream: DataFrame) -> DataFrame:
     """Trigger decisions of each symbol, with its state kept between batches."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches))
-        out, now = decide(rows, state.get if state.exists else None)
+        out, now = [], state.get if state.exists else None
+        for rows in in_time(batches):
+            said, now = decide(rows, now)
+            out += said
         state.update(now)
         yield pd.DataFrame([(key[0], *r) for r in out], columns=["symbol", "ts", "value", "reason"])
 
